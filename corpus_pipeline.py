@@ -1,4 +1,67 @@
-STAGES = []
+"""A training corpus from raw documents: five stages, each a table of documents to the next.
+
+Each stage is written as Parquet and read again, so a lost executor costs one stage's work at
+most.  Every stage but the last returns the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomgraph.llm import decontam, langid, ngram_join, packing, secrets
+from loomgraph.llm.common import fold, materialise, release
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and texts of no likely language."""
+    return langid.keep_known(docs, langid.train(docs, fold("doc_id", 4) != 2))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each class of near copies, once."""
+    classes = ngram_join.similarity_classes(docs)
+    first = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a copy, whole or edited, of a benchmark item."""
+    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(materialise(leaks.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; no document is dropped."""
+    found = secrets.redact(docs, secrets.train(), path_col="source")
+    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packing_stage),
+]
+
+#: Models, signatures and packing are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, from the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+        release(spark, keep=1)
+    return STAGES[-1][1](spark, docs, sf_dir)

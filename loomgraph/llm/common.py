@@ -36,11 +36,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every scratch table that this application wrote; call it once results are stored."""
-    jvm = spark.sparkContext._jvm
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path).getParent()
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the scratch tables of this application but for the ``keep`` latest."""
+    jvm, paths = spark.sparkContext._jvm, _written.get(spark.sparkContext.applicationId, [])
+    while len(paths) > keep:
+        p = jvm.org.apache.hadoop.fs.Path(paths.pop(0)).getParent()
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -206,3 +206,14 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(score, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.35) -> DataFrame:
+    """The rows, with all columns, whose text has a language of probability ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            good = [p[0] != "und" and p[1] >= least for p in map(model.predict, column(b, text_col).to_pylist())]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -46,7 +46,7 @@ def cache_of(path: str, use: str) -> PieceCache:
 
 def stem(piece: str) -> tuple[str, str]:
     """A piece without a closing mark, and that mark, where the tokenizer always parts them."""
-    if len(piece) > 1 and piece[-1] in MARKS and piece[-2].isalnum():
+    if len(piece) > 1 and piece[-1] in MARKS and piece[-2].lower().isalnum():
         return piece[:-1], piece[-1]
     return piece, ""
 
