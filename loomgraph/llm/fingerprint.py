@@ -101,10 +101,10 @@ def following(docs: DataFrame, key: str, columns: list[str], parts: int = 0) ->
     docs = docs.withColumn("_range", below)
     guest = F.when(F.array_contains(table, F.col("_key")), F.array(F.struct(F.col("_range").alias("at"), F.lit(False).alias("guest")), F.struct(((F.col("_range") + 1) % n).alias("at"), F.lit(True).alias("guest"))))
     rows = docs.withColumn("_to", F.explode(F.coalesce(guest, F.array(F.struct(F.col("_range").alias("at"), F.lit(False).alias("guest"))))))
-    order = Window.partitionBy("_to.at").orderBy(F.col("_to.guest"), F.desc("_key"), F.xxhash64(*columns))
-    for c in columns:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(order))
-    return rows.where(~F.col("_to.guest")).drop("_key", "_range", "_to")
+    rows = rows.select(docs.columns + [F.col("_to.at").alias("_at"), F.col("_to.guest").alias("_guest")])
+    order = Window.partitionBy("_at").orderBy("_guest", F.desc("_key"), F.xxhash64(*columns))
+    rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(order)).where(~F.col("_guest"))
+    return rows.select("*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns]).drop("_key", "_range", "_at", "_guest", "_next")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 0) -> DataFrame:
