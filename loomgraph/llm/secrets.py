@@ -21,7 +21,7 @@ from .common import column, slices
 
 #: Candidates: values assigned to telling names, and long runs (kept if they have a digit or mixed case).
 ASSIGNED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"',;]{8,})")
-LONG = re.compile(r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/=_.-]{16,}")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}={0,2}")
 #: Words before or after a candidate that speak for or against a secret.
 FOR = frozenset("token secret key apikey api_key password passwd pwd auth authorization bearer credential credentials private access session cookie jwt signature".split())
 AGAINST = frozenset("sha sha1 sha256 md5 digest checksum hash commit revision integrity etag uuid guid id example sample dummy placeholder test card phone order invoice isbn doi http https www mail email file image version build".split())
@@ -48,7 +48,7 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
             found.append(m.span())
     out: list[tuple[int, int]] = []
     for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
-        while b > a and text[b - 1] in ".,=":
+        while b > a and text[b - 1] in ".,":
             b -= 1
         if b - a >= 8 and (not out or a >= out[-1][1]):
             out.append((a, b))

@@ -1,0 +1,133 @@
+"""Classifiers: held-out accuracy on the driver's tables, edge cases, and the parts by brute force."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.llm import langid, quality, registry, secrets, urlfilter
+from loomgraph.llm.common import fold
+
+EDGE = "doc_id long, text string, lang string, score string, id string, quality int"
+
+
+def test_langid_held_out(spark, sf):
+    got = registry.op5_langid(spark, sf).join(registry.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
+    n, good = got.agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
+    assert n > 30 and good / n > 0.95
+
+
+def test_langid_counts_by_brute_force():
+    from collections import Counter
+
+    text = "Ab, c--déf 12 g"
+    cleaned = " ab c déf g "
+    want = Counter()
+    for n in langid.ORDERS:
+        for i in range(len(cleaned) - n + 1):
+            want[cleaned[i : i + n]] += 1
+    at, n = langid.ngram_counts(text)
+    assert n.sum() == sum(want.values()) and sorted(n.tolist()) == sorted(want.values())
+
+
+def test_langid_long_text_in_chunks(monkeypatch):
+    text = "le chat et la souris " * 400
+    whole = langid.ngram_counts(text)
+    monkeypatch.setattr(langid, "CHUNK", 97)
+    parts = langid.ngram_counts(text)
+    assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+
+
+def test_langid_edges(spark):
+    rows = [(1, "der Hund und die Katze", "de", "", "", 1), (2, "the dog and the cat", "en", "", "", 1), (2, "the dog and the cat", "en", "", "", 1), (3, None, "en", "", "", 1), (4, "123 !!", None, "", "", 1), (None, "die Katze", "de", "", "", 0), (5, "", "en", "", "", 0)]
+    docs = spark.createDataFrame(rows, EDGE)
+    model = langid.train(docs, F.lit(True))
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect()]
+    assert len(got) == 7 and {x[1] for x in got if x[0] in (3, 4, 5)} == {"und"} and all(0 <= x[2] <= 1 for x in got)
+    empty = langid.train(docs.limit(0), F.lit(True))
+    assert {r["lang_pred"] for r in langid.identify(docs, empty).collect()} == {"und"}
+    assert langid.identify(docs.limit(0), model).count() == 0
+    assert sorted(r["doc_id"] or 0 for r in langid.keep_known(docs, model).collect()) == [0, 1, 2, 2]
+
+
+def test_quality_held_out(spark, sf):
+    got = registry.op2_quality(spark, sf).join(registry.table(spark, sf, "labels"), "doc_id").where("held_out")
+    n, good = got.agg(F.count("*"), F.count_if(F.col("quality") == F.col("predicted"))).first()
+    assert n > 10 and good / n > 0.9
+
+
+def test_quality_gradient_lowers_loss_and_orders_bags():
+    rng = np.random.default_rng(0)
+    bags = [rng.normal(0, 0.3, (rng.integers(1, 6), quality.WIDTH)).astype(np.float32) for _ in range(120)]
+    y = np.arange(120) % 2
+    for b, v in zip(bags, y):
+        if v:
+            b[0, :3] += 2  # one telling passage
+    model = quality.fit(bags, y)
+    p = [quality.forward(model.parts, (b - model.mean) / model.scale, np.array([0]))[0][0] for b in bags]
+    assert np.mean((np.array(p) > 0.5) == (y == 1)) > 0.95
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(1, "some words here and there", "", "", "", 1), (2, None, "", "", "", 1), (3, "", "", "", "", 0), (3, "", "", "", "", 0), (None, "x", "", "", "", 0), (4, "word " * 200_000, "", "", "", 0)], EDGE)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (4, None), (None, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels, F.lit(True))
+    got = quality.score(docs, model).collect()
+    assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got)
+    none = quality.train(docs, labels.limit(0), F.lit(True))
+    assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
+    assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_passages_cover_the_whole_text():
+    assert quality.passages(None).shape == quality.passages(" \n").shape == (0, quality.WIDTH)
+    assert len(quality.passages("  w" * 130)) == 3
+    assert quality.passages("Ea " * 64)[0, -3] == pytest.approx(63 / 64)  # repeats of the word before
+
+
+def test_folds(spark):
+    import zlib
+
+    got = spark.range(50).select("id", fold("id", 5).alias("f")).collect()
+    assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got)
+
+
+def test_forest_and_candidates():
+    model = secrets.train()
+    rows = secrets.labelled_findings(600, 77)
+    p = model.predict(np.array([secrets.features(*r[:4]) for r in rows]))
+    assert np.mean((p >= 0.5) == np.array([r[4] for r in rows])) > 0.97
+    text = 'a token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e" and 78@mail9.example.com, 2669109448945250 é'
+    found = [(text[a:b], q) for a, b, q in secrets.judged(text, "src1", model)]
+    assert [s for s, q in found if q >= 0.5] == ["4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"]
+    assert secrets.coverage("user-name") > 0.8 and secrets.coverage("zqxj9") == 0
+
+
+def test_secret_scan_edges(spark):
+    model = secrets.train()
+    secret = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    rows = [(1, f"x token = \"{secret}\" y", None, "s", "i", 1), (1, f"x token = \"{secret}\" y", None, "s", "i", 1), (2, None, "p", "", "", 1), (3, "", "p", "", "", 1), (4, "é " * 100_000 + f"token={secret}", "", "", "", 1), (None, f"token={secret}", "", "", "", 1)]
+    docs = spark.createDataFrame(rows, EDGE)
+    got = secrets.scan(docs, model, path_col="lang").where("is_secret").collect()
+    assert sorted((r["doc_id"] or 0, r["start"], r["length"]) for r in got) == [(0, 6, 40), (1, 11, 40), (1, 11, 40), (4, 200_006, 40)]
+    clean = secrets.redact(docs, model)
+    assert clean.columns == docs.columns and clean.count() == 6 and clean.where(F.contains("text", F.lit(secret))).count() == 0
+    assert secrets.scan(docs.limit(0), model).count() == 0
+
+
+URLS = ["https://www.Example.com/en/1?x=/net/es/", "http://example.com/en/2", "http://example.com/enx", "http://a.b.net/es/", "http://net/fr/9#a", "http://x.com", "http://x.com?q=/a", "nothing", None, "", "http://notexample.com/en/7", "ftp://É.NET/fr/", "http://www.example.com/en/", "x://y://z.com/a"]
+
+
+def test_urls_by_brute_force(spark):
+    model = urlfilter.train()
+    docs = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(URLS)], "page_id long, url string, host string, path string")
+    got = {r["page_id"]: r for r in urlfilter.judge_urls(docs, model).collect()}
+    for i, u in enumerate(URLS):
+        host, path = urlfilter.split_url(u)
+        fits = [(len(h + p), h + p, a) for a, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        r = got[i]
+        assert (r["host"], r["path"]) == (host, path)
+        assert r["rule"] == (max(fits)[1] if fits else None)
+        assert r["verdict"] == (max(fits)[2] if fits else "block" if model.score(host, path) >= 0.5 else "allow")
+    assert urlfilter.judge_urls(docs.limit(0), model).count() == 0
+    held = [("http://ads-track.shop.example/9", 1), ("http://www.spam-farm.other/x", 1), ("https://www.school.other/en/lessons", 0), ("https://library.town.example/de/2", 0)]
+    assert all((model.score(*urlfilter.split_url(u)) >= 0.5) == bool(y) for u, y in held)
