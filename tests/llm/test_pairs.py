@@ -79,7 +79,7 @@ def test_bands_reach_the_recall():
         b, r = ngram_join.bands_for(t, 0.99)
         assert 1 - (1 - t**r) ** b >= 0.99 and b * r <= ngram_join.HASHES
     with pytest.raises(ValueError):
-        ngram_join.bands_for(0.05, 0.99)
+        ngram_join.bands_for(0.01, 0.99)
 
 
 def test_components(spark):
