@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, column, materialise, slices
+from .common import BATCH_BYTES, Memo, column, materialise, slices
 from .components import components
 
 NGRAM, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 128
@@ -89,23 +89,28 @@ def band_hashes(grams: np.ndarray, multipliers: np.ndarray, bands: int, rows: in
     return h.view(np.int64)
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, key, grams, bands) of every text that has an n-gram; key identifies the set."""
+def describe(docs: DataFrame, n: int, bands: int, rows: int, keep: bool = False) -> DataFrame:
+    """Rows of ``docs`` (id, text, …) with the key of the text's set instead of the text, and its
+    band hashes, or with ``keep`` the set itself.  Texts without an n-gram have no key."""
     multipliers = np.random.default_rng(20240607).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    others = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         memo = Memo(_word_hash)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", BATCH_BYTES // 4):
             sets = [ngrams(t, n, memo) for t in column(b, "text").to_pylist()]
             raw = [g.tobytes() for g in sets]
-            keys = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
-            hashes = [band_hashes(g, multipliers, bands, rows).tolist() if len(g) else [] for g in sets]
-            yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "key", "grams", "bands"])
+            keys = pa.array([hashlib.blake2b(r, digest_size=16).digest() if r else None for r in raw], pa.binary())
+            if keep:
+                made = pa.array(raw, pa.binary())
+            else:
+                made = pa.array([band_hashes(g, multipliers, bands, rows).tolist() if len(g) else [] for g in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(column(b, f.name) for f in others), keys, made], names=[*(f.name for f in others), "set_key", "made"])
 
-    rows_ = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows_.mapInArrow(run, "id long, key binary, grams binary, bands array<long>")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others)
+    return docs.mapInArrow(run, f"{schema}, set_key binary, made {'binary' if keep else 'array<long>'}").withColumnRenamed("made", "grams" if keep else "bands")
 
 
 class _Links:
@@ -165,19 +170,19 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are ignored; an empty table gives an empty one.
     """
     bands, rows = bands_for(threshold, recall, hashes)
-    known = materialise(describe(docs, id_col, text_col, ngram, bands, rows), "sets")
-    some = known.where(F.size("bands") > 0)
-    classes = materialise(some.groupBy("id").agg(F.min("key").alias("key")).groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    # one row of each representative: an id that repeats with other texts stays where its key says
-    reps = classes.select("key", "rep", "copies")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    known = materialise(describe(texts, ngram, bands, rows).withColumnRenamed("set_key", "key"), "sets")
+    some = known.where(F.col("key").isNotNull())
+    reps = materialise(some.groupBy("id").agg(F.min("key").alias("key")).groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     banded = some.join(reps, (some["key"] == reps["key"]) & (some["id"] == reps["rep"])).select("rep", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where(F.col("head") != F.col("last"))
     stars = banded.join(buckets, ["band", "h"]).where(F.col("rep") != F.col("head")).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    groups = materialise(components(stars), "groups")
+    groups = components(stars)
 
-    # sets of the candidates, dealt to blocks of their group
-    found = some.join(groups, some["id"] == groups["node"]).join(reps, (some["key"] == reps["key"]) & (some["id"] == reps["rep"]))
-    found = materialise(found.select("component", "rep", "copies", "grams").dropDuplicates(["rep"]), "candidates")
+    # only the texts of candidates become sets again; sets are dealt to blocks of their group
+    chosen = materialise(groups.join(reps, groups["node"] == reps["rep"]).select(F.col("rep").alias("id"), "component", "copies", "key"), "groups")
+    found = describe(texts.join(chosen, "id"), ngram, bands, rows, keep=True).where(F.col("key") == F.col("set_key"))
+    found = materialise(found.select("component", F.col("id").alias("rep"), "copies", "grams").dropDuplicates(["rep"]), "candidates")
     sizes = found.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("grams") / 8).alias("g"))
     sizes = sizes.select("component", F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("g") / block_grams), F.lit(1)).cast("int").alias("blocks"))
     dealt = found.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -201,7 +206,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = verified.where(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     merged = components(verified.where(F.col("b").isNotNull()).select("a", "b")).withColumnsRenamed({"node": "rep", "component": "class"})
     of_class = reps.join(counts, "rep", "left").join(merged, "rep", "left").select("key", "rep", F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = known.select("id", F.when(F.size("bands") > 0, F.col("key")).alias("key")).join(of_class, "key", "left")
+    out = known.select("id", "key").join(of_class, "key", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "id").alias("representative"))
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("representative"))
     return out.unionByName(nameless)
