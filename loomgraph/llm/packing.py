@@ -9,9 +9,12 @@ sequences of powers of two, so nothing is padded.
 
 from __future__ import annotations
 
-import re
+import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,55 +22,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, column, materialise, slices
-from .tokens import PieceCache, cache_of, load, stem, tokenizer_path
+from .tokens import load, tokenizer_path
 
 LENGTH, END = 2048, 1
 #: Tokens of a shard (in expectation) and of the pieces that long documents are dealt in.
 SHARD_TOKENS, PIECE_TOKENS = 1_000_000, 32_768
 #: Rarest terms of a seed that query the index, and BM25's constants.
 QUERY_TERMS, K1, B = 16, 1.2, 0.75
-#: A blank beside other white space on both sides: where splitting at blanks would not be safe.
-_UNSAFE = re.compile(r"\s \s| {2}")
 
 
-def encode_ids(texts: list[str | None], path: str, cache: PieceCache) -> list[bytes]:
-    """The ids of whole texts as little-endian unsigned 32-bit numbers, as the library gives them.
+class Encoder:
+    """The ids that the tokenizers library gives for a file, faster where that is safe.
 
-    For byte-level BPE with the usual pre-tokeniser a blank before another character begins a
-    pre-token, so texts are split there and each distinct piece is encoded once.  Texts with
-    special strings or runs of blanks are encoded whole.
+    For byte-level BPE without normaliser whose ids are numbered in the order of the merges, merging
+    by smallest id is the library's algorithm.  Such files are also loaded into a byte-pair encoder
+    that works on ranks, from the same vocabulary.  It takes the texts in Latin-1, where both
+    engines' character classes agree for certain; others, and texts with special strings, go to
+    the library itself, as do all texts of other files.
     """
-    tok = load(path)
-    special = [str(t.content) for t in tok.get_added_tokens_decoder().values()]
-    raw = lambda e: np.array(e.ids, "<u4").tobytes()
-    split: list[list[str] | None] = []
-    for t in texts:
-        if not t:
-            split.append([])
-        elif _UNSAFE.search(t) or any(x in t for x in special):
-            split.append(None)
-        else:
-            first, *rest = t.split(" ")
-            split.append([first, *[" " + x for x in rest]])
-    whole = iter([raw(e) for e in tok.encode_batch_fast([t for t, s in zip(texts, split) if s is None], add_special_tokens=False)])
-    if new := cache.lacking({p for s in split if s for p in s}):
-        parts = {p: _parts(p) for p in new}
-        known = cache.known
-        words = list({w for ws in parts.values() for w in ws}.difference(known))
-        known.update(zip(words, map(raw, tok.encode_batch_fast(words, add_special_tokens=False))))
-        known.update([(p, b"".join([known[w] for w in ws])) for p, ws in parts.items() if len(ws) != 1])
-    return [next(whole) if s is None else b"".join([cache.known[p] for p in s]) for s in split]
-
-
-def _parts(piece: str) -> list[str]:
-    """Cuts a piece at single line feeds between other characters and before closing marks."""
-    lines = piece.split("\n")
-    if len(lines) > 1 and (any(not x or x[0].isspace() or x[-1].isspace() for x in lines[1:]) or not lines[0] or lines[0][-1].isspace()):
-        return [piece]
-    found = []
-    for k, line in enumerate(lines):
-        found += ["\n"] * bool(k) + [x for x in stem(line) if x]
-    return found
+
+    def __init__(self, path: str):
+        self.tok = load(path)
+        self.special = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.ranked = self._ranked(json.loads(self.tok.to_str()))
+
+    @staticmethod
+    def _ranked(spec: dict):
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        vocab, merges = model.get("vocab"), model.get("merges")
+        usual = model.get("type") == "BPE" and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        if not usual or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        if any(vocab.get("".join(m if isinstance(m, list) else m.split(" "))) != 256 + i for i, m in enumerate(merges)):
+            return None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
+        hidden = [b for b in range(256) if b not in shown]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        import tiktoken
+
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        added = {t["content"] for t in spec.get("added_tokens", [])}
+        return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks={bytes(byte[c] for c in k): i for k, i in vocab.items() if k not in added}, special_tokens={})
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of whole texts."""
+        quick = [self.ranked is not None and (not t or _latin(t) and not any(x in t for x in self.special)) for t in texts]
+        rest = iter(self.tok.encode_batch_fast([t or "" for t, q in zip(texts, quick) if not q], add_special_tokens=False))
+        return [_little(self.ranked.encode_ordinary(t) if t else []) if q else _little(next(rest).ids) for t, q in zip(texts, quick)]
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def _latin(t: str) -> bool:
+    if t.isascii():
+        return True
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _little(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
 
 
 def tokenised(docs: DataFrame, path: str | None, tokenizer: str, id_col: str, text_col: str, piece_tokens: int, batch_bytes: int) -> DataFrame:
@@ -76,12 +99,11 @@ def tokenised(docs: DataFrame, path: str | None, tokenizer: str, id_col: str, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = path or tokenizer_path(tokenizer)
-        cache = cache_of(file, "ids")
         frequency = np.zeros(load(file).get_vocab_size() + 2, np.int64)
         size = np.dtype("<u2") if len(frequency) <= 1 << 16 else np.dtype("<u4")
         for b in slices(batches, "text", batch_bytes):
             keys, starts, totals, ids, docs_ = column(b, "id").to_pylist(), [], [], [], []
-            for key, raw in zip(keys, encode_ids(column(b, "text").to_pylist(), file, cache)):
+            for key, raw in zip(keys, encoder(file)(column(b, "text").to_pylist())):
                 x = np.append(np.frombuffer(raw, "<u4"), np.uint32(END)).astype(size)
                 seen = np.unique(x) if len(x) < 4096 else np.flatnonzero(np.bincount(x, minlength=1))
                 frequency[seen] += 1

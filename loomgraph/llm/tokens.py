@@ -39,8 +39,8 @@ class PieceCache:
 
 
 @lru_cache(maxsize=4)
-def cache_of(path: str, use: str) -> PieceCache:
-    """The cache of this worker process for a tokenizer file and a use of it."""
+def cache_of(path: str) -> PieceCache:
+    """The cache of this worker process for a tokenizer file."""
     return PieceCache()
 
 
@@ -110,7 +110,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = path or tokenizer_path(tokenizer)
-        cache = cache_of(file, "lengths")
+        cache = cache_of(file)
         for b in slices(batches, "text", batch_bytes):
             n = count_lengths(column(b, "text").to_pylist(), file, cache)
             yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "n_bytes"), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])

@@ -25,11 +25,20 @@ def test_counts_equal_the_library(text):
     assert tokens.count_lengths([text], path, tokens.PieceCache()) == [len(tok.encode(text, add_special_tokens=False).ids)]
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from(ODD), max_size=14).map("".join) | st.text(max_size=20))
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(ODD), max_size=14).map("".join) | st.text(max_size=20) | st.text(st.characters(max_codepoint=255), max_size=20))
 def test_ids_equal_the_library(text):
     path, tok = _load("byte_bpe_50k.json")
-    assert np.frombuffer(packing.encode_ids([text], path, tokens.PieceCache())[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder(path)([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_whole_documents(sf):
+    import pyarrow.parquet as pq
+
+    path, tok = _load("byte_bpe_50k.json")
+    assert packing.encoder(path).ranked is not None and packing.encoder(tokens.tokenizer_path("word_bpe_49k.json")).ranked is None
+    texts = pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()
+    assert packing.encoder(path)(texts) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_cache_generations():
