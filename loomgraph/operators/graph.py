@@ -18,7 +18,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, *, most: int | None = None, undirect
     e = edges.select(F.col("src").alias("to"), F.col("dst").alias("at")) if reverse else edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
     if undirected:
         e = e.unionByName(e.select(F.col("to").alias("at"), F.col("at").alias("to")))
-    e = cut(e.distinct())
+    e = cut(e)
     seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while most is None or depth < most:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
-from loomgraph.operators import graph, search
+from loomgraph.operators import context, graph, intents, reports, search
 from loomgraph.operators import relational as R
 from loomgraph.plans import adapters as A
 from loomgraph.streaming import batches
@@ -575,3 +575,112 @@ def exported_by_case(spark, sf):
 @query(f"SELECT module_id, count(*) AS total, string_agg(path, ',' ORDER BY path) AS first_files FROM (SELECT module_id, path, row_number() OVER (PARTITION BY module_id ORDER BY path) AS n FROM {A.FILES}) WHERE n <= 3 GROUP BY module_id")
 def module_files(spark, sf):
     return R.top_in(A.files(spark, sf), ["module_id"], [F.col("path")], 3).groupBy("module_id").agg(F.count("*").alias("total"), F.array_join(F.array_sort(F.collect_list("path")), ",").alias("first_files"))
+
+
+@query(f"SELECT m.module_id AS module_id, c.ord FROM (SELECT DISTINCT module_id FROM {A.FUNCTIONS}) m JOIN (VALUES (0, 'Economy parts stay cheap'), (1, 'No promo in large'), (2, 'other')) AS c(ord, raw) ON contains(lower(c.raw), lower(m.module_id))")
+def module_constraints(spark, sf):
+    c = A.small(spark, ["Economy parts stay cheap", "No promo in large", "other"], "raw")
+    m = A.functions(spark, sf).select("module_id").distinct()
+    return m.join(F.broadcast(c), F.contains(F.lower("raw"), F.lower("module_id"))).select("module_id", "ord")
+
+
+@query(f"SELECT g AS glob_module, count(*) AS files, sha256(string_agg(h, '' ORDER BY h)) AS hash FROM (SELECT DISTINCT file, sha256(file) AS h FROM {A.FUNCTIONS}) f JOIN (VALUES ('cheap', '^src/economy/.*$'), ('cheap', '^src/small/[^/]*\\.ts$'), ('brand1', '^src/(?:.+/)?Brand1[^/]*\\.ts$'), ('large', '^src/large/.*$')) AS m(g, r) ON regexp_matches(f.file, m.r) GROUP BY g")
+def modules_by_glob(spark, sf):
+    globs = spark.createDataFrame([(m, S.glob_regex(g)) for m, gs in _MODULES for g in gs], "glob_module string, r string")
+    f = A.functions(spark, sf).select("file").distinct().withColumn("hash", F.sha2("file", 256))
+    hit = f.join(F.broadcast(globs), F.rlike("file", F.col("r"))).select(F.col("glob_module").alias("module_id"), "hash")
+    n = hit.groupBy("module_id").agg(F.count("*").alias("files"))
+    return R.merkle(hit).join(n, "module_id").select(F.col("module_id").alias("glob_module"), "files", "hash")
+
+
+@query(f"SELECT a.file, count(DISTINCT b.file) AS imports, string_agg(DISTINCT b.file, ',' ORDER BY b.file) AS targets FROM {A.CALLS} e JOIN {A.FUNCTIONS} a ON a.id = e.src JOIN {A.FUNCTIONS} b ON b.id = e.dst WHERE a.file <> b.file GROUP BY a.file")
+def file_imports(spark, sf):
+    f, e = A.functions(spark, sf).select("id", "file"), A.part_calls(spark, sf)
+    x = e.join(f.select(F.col("id").alias("src"), "file"), "src").join(f.select(F.col("id").alias("dst"), F.col("file").alias("target")), "dst").where("file <> target").select("file", "target").distinct()
+    return x.groupBy("file").agg(F.count("*").alias("imports"), F.array_join(F.array_sort(F.collect_list("target")), ",").alias("targets"))
+
+
+@query(f"SELECT e.src AS id, string_agg(f.name, ',' ORDER BY f.name, f.id) AS callees FROM {A.CALLS} e JOIN {A.FUNCTIONS} f ON f.id = e.dst GROUP BY e.src")
+def callee_names(spark, sf):
+    n = A.functions(spark, sf).select(F.col("id").alias("dst"), "name")
+    return A.part_calls(spark, sf).join(n, "dst").groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "dst"))), lambda x: x["name"]), ",").alias("callees"))
+
+
+@query(f"SELECT from_module, to_module, count(DISTINCT a.name || '>' || b.name) AS name_pairs FROM {A.PMODED} e JOIN {A.FUNCTIONS} a ON a.id = e.src JOIN {A.FUNCTIONS} b ON b.id = e.dst WHERE from_module <> to_module GROUP BY ALL")
+def distinct_name_pairs(spark, sf):
+    n = A.functions(spark, sf).select("id", "name")
+    x = A.part_moded(spark, sf).where("from_module <> to_module").join(n.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst")
+    return x.groupBy("from_module", "to_module").agg(F.count_distinct(F.struct("a", "b")).alias("name_pairs"))
+
+
+_PURPOSES = f"(SELECT *, CASE WHEN size % 2 = 0 THEN name || ' does it. Really.' ELSE '' END AS purpose FROM {A.FUNCTIONS})"
+
+
+@query(f"""SELECT module_id, string_agg(short, '; ' ORDER BY rank) AS description FROM (SELECT module_id, short, row_number() OVER (PARTITION BY module_id ORDER BY id) AS rank FROM (SELECT module_id, purpose, min(id) AS id, trim(string_split(purpose, '.')[1]) AS short FROM {_PURPOSES} WHERE purpose <> '' GROUP BY module_id, purpose)) WHERE rank <= 3 GROUP BY module_id""")
+def module_descriptions(spark, sf):
+    f = A.functions(spark, sf).withColumn("purpose", F.when(F.col("size") % 2 == 0, F.concat("name", F.lit(" does it. Really."))).otherwise(""))
+    return context.describe_modules(f)
+
+
+@query(f"SELECT id FROM {A.FUNCTIONS} WHERE contains(name, 'ring') OR contains(lower(file), 'ring')")
+def context_seeds(spark, sf):
+    f = A.functions(spark, sf)
+    mods = f.select(F.col("module_id").alias("id"), F.col("module_id").alias("name")).distinct()
+    return context.seeds(f, mods, "polish the ring", ["polish", "ring"])
+
+
+@query(f"SELECT f.id, f.name AS entry, f.module_id, coalesce(c.calls, '') AS calls FROM {A.FUNCTIONS} f LEFT JOIN (SELECT e.src, string_agg(DISTINCT g.name, ',' ORDER BY g.name) AS calls FROM {A.CALLS} e JOIN {A.FUNCTIONS} g ON g.id = e.dst GROUP BY e.src) c ON c.src = f.id WHERE f.id NOT IN (SELECT dst FROM {A.CALLS})")
+def entry_flow(spark, sf):
+    return context.entry_flow(A.functions(spark, sf), A.part_calls(spark, sf)).withColumn("calls", F.array_join("calls", ","))
+
+
+@query()
+def context_pack(spark, sf):
+    f, e = A.functions(spark, sf), A.part_calls(spark, sf)
+    return context.pack(context.scores(f, e, context_seeds(spark, sf), ["polish", "ring"]))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT module_id AS grp, regexp_replace(file, '/[^/]*$', '') || '/' || substr(name, 1, 1) AS path FROM {A.FUNCTIONS}), d AS (SELECT grp, array_to_string(list_slice(string_split(path, '/'), 1, n), '/') AS prefix, n FROM p, (VALUES (1), (2), (3)) AS k(n) WHERE n <= len(string_split(path, '/'))),
+h AS (SELECT d.grp, prefix, n, count(*) AS hits FROM d GROUP BY ALL) SELECT h.grp AS "group", arg_max(prefix, (n, prefix)) AS prefix FROM h JOIN (SELECT grp, count(*) AS total FROM p GROUP BY grp) t ON t.grp = h.grp WHERE hits >= ceil(total * 0.6) GROUP BY h.grp""")
+def path_prefixes(spark, sf):
+    p = A.functions(spark, sf).select(F.col("module_id").alias("group"), F.concat(F.regexp_replace("file", "/[^/]*$", ""), F.lit("/"), F.substring("name", 1, 1)).alias("path")).distinct()
+    return context.collapse_paths(p)
+
+
+@query("SELECT * FROM (VALUES (0, 'widget'), (1, 'red_widget'), (2, 'gear'), (3, 'book'), (4, 'economy'), (5, 'bolts'), (6, 'status')) AS t(ord, name)")
+def intent_names(spark, sf):
+    return A.small(spark, A.PROMPTS, "prompt").select("ord", intents.name_in(F.col("prompt")).alias("name"))
+
+
+@query(f"SELECT module_id AS id, module_id AS name, 1.0::DOUBLE AS score FROM (SELECT DISTINCT module_id FROM {A.FUNCTIONS}) WHERE module_id = 'economy'")
+def module_match(spark, sf):
+    m = A.functions(spark, sf).select(F.col("module_id").alias("id"), F.col("module_id").alias("name")).distinct()
+    score = intents.module_score("refactor the economy module", intents.keywords_of("refactor the economy module"))
+    return m.select("id", "name", score.alias("score")).where("score > 0.3").orderBy(F.desc("score"), "id").limit(1)
+
+
+@query(_HIT + "SELECT id, 'impacted' AS kind FROM risk UNION ALL SELECT 's:1', 'changed'")
+def changed_and_impacted(spark, sf):
+    seen = graph.bfs(A.edges(spark, sf), _changed(spark))
+    return seen.select("id", F.when(F.col("depth") == 0, "changed").otherwise("impacted").alias("kind"))
+
+
+@query(f"SELECT module_id, count(*) AS selected FROM {A.FUNCTIONS} WHERE contains(name, 'ring') GROUP BY module_id ORDER BY selected DESC, module_id LIMIT 3")
+def modules_by_selection(spark, sf):
+    return A.functions(spark, sf).where("contains(name, 'ring')").groupBy("module_id").agg(F.count("*").alias("selected")).orderBy(F.desc("selected"), "module_id").limit(3)
+
+
+@query(f"SELECT path, left(sha256(left(text, 8192)), 16) AS quick FROM (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, text FROM documents WHERE text IS NOT NULL)")
+def quick_hash(spark, sf):
+    d = A.table(spark, sf, "documents").where("text IS NOT NULL")
+    return d.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.left(F.sha2(F.left("text", F.lit(8192)), 256), F.lit(16)).alias("quick"))
+
+
+@query(f"SELECT kind, count(*) AS n FROM {_VIOLATIONS} GROUP BY kind")
+def violations_by_kind(spark, sf):
+    return boundary_violations(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'graph LR' || chr(10) || string_agg('    ' || from_module || ' ==>|' || calls || '| ' || to_module, chr(10) ORDER BY from_module, to_module) AS report FROM (SELECT from_module, to_module, count(*) AS calls FROM " + A.MODED + " WHERE from_module <> to_module GROUP BY ALL HAVING count(*) > 10)")
+def module_diagram(spark, sf):
+    return reports.module_diagram(cross_module_calls(spark, sf).where("calls > 10"))
