@@ -91,13 +91,14 @@ FILES = "(SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, sha25
 
 
 def disk(spark: SparkSession, sf: str) -> DataFrame:
-    """The files as they are now: every 7th modified, every 11th gone, every 13th also as a new one."""
-    f = files(spark, sf)
-    now = f.where("doc_id % 11 <> 0").select("path", F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("hash", F.lit("!")), 256)).otherwise(F.col("hash")).alias("hash"))
-    return now.unionByName(f.where("doc_id % 13 = 0").select(F.concat("path", F.lit(".new")).alias("path"), "hash"))
+    """The files as a later state: the first digit of a file's digest tells whether it was
+    modified (0, 1), is gone (f) or also stands under a new path (2)."""
+    f, digit = files(spark, sf), F.left("hash", F.lit(1))
+    now = f.where(digit != "f").select("path", F.when(digit.isin("0", "1"), F.sha2(F.concat("hash", F.lit("!")), 256)).otherwise(F.col("hash")).alias("hash"))
+    return now.unionByName(f.where(digit == "2").select(F.concat("path", F.lit(".new")).alias("path"), "hash"))
 
 
-DISK = f"(SELECT path, CASE WHEN doc_id % 7 = 0 THEN sha256(hash || '!') ELSE hash END AS hash FROM {FILES} WHERE doc_id % 11 <> 0 UNION ALL SELECT path || '.new', hash FROM {FILES} WHERE doc_id % 13 = 0)"
+DISK = f"(SELECT path, CASE WHEN left(hash, 1) IN ('0', '1') THEN sha256(hash || '!') ELSE hash END AS hash FROM {FILES} WHERE left(hash, 1) <> 'f' UNION ALL SELECT path || '.new', hash FROM {FILES} WHERE left(hash, 1) = '2')"
 
 #: Boundary rules between regions in the rule grammar.
 RULES = ["module:0 cannot import module:1", "module:2 is isolated", "module:3 can only import module:3, module:4", "module:0 cannot import module:1, module:2", "Never call setTimeout in the payment flow"]
