@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE, SCALE, FLOOR = 5, 8, 64
+#: Ranges of ids at most, which bounds the table of bounds that every task holds.
+MOST_RANGES = 20_000
 #: Hashes are signed 64-bit numbers; those below this one are a SCALE-th of all.
 LIMIT = -(1 << 63) + (1 << 64) // SCALE
 _TOP = (1 << 63) - 1
@@ -88,7 +90,7 @@ def following(docs: DataFrame, key: str, columns: list[str], parts: int = 0) ->
     of the key are ordered by the hash of the columns; null keys come last.
     """
     spark = docs.sparkSession
-    parts = parts or max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or min(MOST_RANGES, max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     docs = docs.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")))
     cuts = docs.agg(F.percentile_approx("_key", [(i + 1) / parts for i in range(parts)], 20 * parts), F.max("_key")).first()
     bounds = sorted({*(cuts[0] or []), *([] if cuts[1] is None else [cuts[1]])})
