@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontam, langid, ngram_join, packing, secrets
-from loomgraph.llm.common import fold, materialise, release
+from loomgraph.llm.common import checked, fold, materialise, release
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +22,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each class of near copies, once."""
-    classes = ngram_join.similarity_classes(docs)
-    first = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    classes = materialise(ngram_join.similarity_classes(docs), "classes")
+    dropped = materialise(classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "dropped")
+    kept = docs.join(checked(dropped), "doc_id", "left_anti").select(docs.columns)
+    # rows that repeat an id: the first of them in order of the text
+    again = materialise(classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    one = kept.join(checked(again), "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return kept.join(checked(again), "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a copy, whole or edited, of a benchmark item."""
     leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(materialise(leaks.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(checked(materialise(leaks.select("doc_id").distinct(), "leaks")), "doc_id", "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

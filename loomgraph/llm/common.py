@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one Python batch holds at most (a longer single text is a batch alone).
 BATCH_BYTES = 8 << 20
+#: Rows of a narrow table (an id or two) that is broadcast at most, see checked().
+BROADCAST_ROWS = 1_000_000
 _written: dict[str, list[str]] = {}
 
 
@@ -44,6 +46,12 @@ def release(spark: SparkSession, keep: int = 0) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def checked(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow side of a join, marked for broadcast if it has at most ``most`` rows; a larger one
+    is left to a shuffled join."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text modulo ``n``; a null id falls in fold -1."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, slices
+from .common import checked, column, materialise, slices
 
 NGRAM, THRESHOLD = 3, 0.5
 #: An n-gram is rare for an item up to this multiple of the item's lower quartile of frequencies.
@@ -229,6 +229,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["id", "item_id", "score", "start_word", "end_word"])
 
-    found = rows.join(chosen, "id", "left_semi").mapInArrow(align, "id long, item_id long, score double, start_word long, end_word long")
+    found = rows.join(checked(chosen), "id", "left_semi").mapInArrow(align, "id long, item_id long, score double, start_word long, end_word long")
     found = found.groupBy("id", "item_id").agg(F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("b"))
     return found.select(F.col("id").alias(id_col), "item_id", "b.score", "b.start_word", "b.end_word")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, Memo, column, materialise, slices
+from .common import BATCH_BYTES, Memo, checked, column, materialise, slices
 from .components import components
 
 NGRAM, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 128
@@ -98,7 +98,7 @@ def describe(docs: DataFrame, n: int, bands: int, rows: int, keep: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        memo = Memo(_word_hash)
+        memo = Memo(_word_hash, 200_000)
         for b in slices(batches, "text", BATCH_BYTES // 4):
             sets = [ngrams(t, n, memo) for t in column(b, "text").to_pylist()]
             raw = [g.tobytes() for g in sets]
@@ -181,6 +181,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # only the texts of candidates become sets again; sets are dealt to blocks of their group
     chosen = materialise(groups.join(reps, groups["node"] == reps["rep"]).select(F.col("rep").alias("id"), "component", "copies", "key"), "groups")
+    texts = texts.join(checked(chosen.select("id")), "id", "left_semi")  # few enough: before the shuffle
     found = describe(texts.join(chosen, "id"), ngram, bands, rows, keep=True).where(F.col("key") == F.col("set_key"))
     found = materialise(found.select("component", F.col("id").alias("rep"), "copies", "grams").dropDuplicates(["rep"]), "candidates")
     sizes = found.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("grams") / 8).alias("g"))

@@ -184,3 +184,11 @@ def test_stages_keep_the_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).schema.names == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_near_duplicates_with_repeated_ids(spark, sf):
+    a, b = "a b c d e f g", "quite another text than that"
+    rows = [(1, a), (1, a), (2, a), (None, a), (3, b), (3, b), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
+    assert got == [0, 1, 3, 4, 5]
