@@ -7,6 +7,7 @@ most.  Every stage but the last returns the columns of documents.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,21 @@ from loomgraph.llm import decontam, langid, ngram_join, packing, secrets
 from loomgraph.llm.common import checked, fold, materialise, release
 
 
+#: Documents of an Arrow batch at most, so that a batch of long texts stays small in both processes.
+BATCH_ROWS = "2000"
+
+
+def small_batches(stage):
+    """A stage whose Python batches hold at most BATCH_ROWS documents."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts of no likely language."""
     return langid.keep_known(docs, langid.train(docs, fold("doc_id", 4) != 2))
@@ -52,11 +68,11 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("secret_scan", secret_scan),
-    ("packing", packing_stage),
+    ("language_id", small_batches(language_id)),
+    ("near_duplicates", small_batches(near_duplicates)),
+    ("decontamination", small_batches(decontamination)),
+    ("secret_scan", small_batches(secret_scan)),
+    ("packing", small_batches(packing_stage)),
 ]
 
 #: Models, signatures and packing are beyond SQL; tests hold each stage against brute force.
