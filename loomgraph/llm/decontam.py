@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman scores them.
 
-1. One pass over the corpus finds, for each document, the n-grams that benchmark items have.
-2. Document frequencies over the whole corpus tell which n-grams of an item are rare for it.
-3. Documents that hold a rare n-gram of an item are aligned with it locally, word by word, in
-   windows around the seeds; the score is that of the best alignment over that of an exact copy.
+1. A document that holds an n-gram of an item, however common, is a candidate for the item.
+2. Windows around the seeds are as wide as an alignment that reaches the threshold can be.
+3. Those that lack the words to reach it are passed over; the others are aligned with the item
+   locally, word by word.  The score is that of the best alignment over that of an exact copy.
 """
 
 from __future__ import annotations
@@ -17,11 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, column, materialise, slices
+from .common import column, slices
 
 NGRAM, THRESHOLD = 3, 0.5
-#: An n-gram is rare for an item up to this multiple of the item's lower quartile of frequencies.
-RARE = 8
 #: Characters of benchmark text that are sent to every task at most; a larger table is an error.
 BENCHMARK_LIMIT = 64 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -31,13 +29,16 @@ _M = np.uint64(0xC2B2AE3D27D4EB4F)
 
 @dataclass
 class Benchmark:
-    """Items as word numbers, and the n-grams of all items in order of their hashes."""
+    """Items as word numbers, the n-grams of all items in order of their hashes, and the items of each."""
 
     ids: list
     items: list[np.ndarray]
     words: dict[str, int]
     grams: np.ndarray
     n: int
+    owner: np.ndarray  # item and place in it of all item n-grams, in the order of grams
+    place: np.ndarray
+    bounds: np.ndarray  # the n-gram of index g has the rows bounds[g] to bounds[g + 1] of these
 
     @classmethod
     def of(cls, rows: list[tuple], n: int) -> Benchmark:
@@ -49,7 +50,12 @@ class Benchmark:
                 ids.append(key)
                 items.append(np.array([words.setdefault(x, len(words) + 1) for x in w], np.int64))
         grams = [cls.hashes(i, n) for i in items]
-        return cls(ids, items, words, np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64), n)
+        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        known, spot = np.unique(flat, return_inverse=True)
+        owner = np.repeat(np.arange(len(items)), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, int)
+        order = np.lexsort((place, owner, spot))
+        return cls(ids, items, words, known, n, owner[order], place[order], np.searchsorted(spot[order], np.arange(len(known) + 1)))
 
     @staticmethod
     def hashes(numbers: np.ndarray, n: int) -> np.ndarray:
@@ -135,43 +141,62 @@ def _load(items: DataFrame, id_col: str, text_col: str, n: int, limit: int) -> B
     return Benchmark.of(sorted({(r[0], r[1] or "") for r in rows}), n)
 
 
-def rare_grams(bench: Benchmark, frequency: np.ndarray, factor: float = RARE) -> list[np.ndarray]:
-    """For each item the indices of its rare n-grams: those at most ``factor`` times as frequent
-    as its lower quartile.  An item that leaks everywhere keeps its n-grams, as all are frequent."""
-    found = []
-    for item in bench.items:
-        spot = np.unique(np.searchsorted(bench.grams, bench.hashes(item, bench.n)))
-        f = frequency[spot]
-        found.append(spot[f <= factor * max(np.quantile(f, 0.25), 1)])
-    return found
-
-
-def best_alignment(bench: Benchmark, k: int, rare: np.ndarray, numbers: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[float, int, int]:
-    """The best alignment of item ``k`` in windows around its rare seeds: (score, start, end)."""
-    item = bench.items[k]
-    grams = np.searchsorted(bench.grams, bench.hashes(item, bench.n))
-    own = np.isin(which, rare)
-    reach = len(item) + len(item) // 2 + 2
-    offset = {int(g): i for i, g in reversed(list(enumerate(grams)))}
-    starts = np.sort(at[own] - np.array([offset[int(g)] for g in which[own]], int)) if own.any() else np.zeros(0, int)
+def possible(bench: Benchmark, numbers: np.ndarray, at: np.ndarray, which: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(item, places of seeds in the text, their places in the item) for each item that has an
+    n-gram of the text and enough of whose words the text has for ``threshold``."""
+    if not len(at):
+        return
+    count = bench.bounds[which + 1] - bench.bounds[which]
+    rows = np.repeat(bench.bounds[which] - np.cumsum(count) + count, count) + np.arange(count.sum())
+    owner, text_at, item_at = bench.owner[rows], np.repeat(at, count), bench.place[rows]
+    order = np.argsort(owner, kind="stable")
+    owner, text_at, item_at = owner[order], text_at[order], item_at[order]
+    cut = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner))
+    held = np.zeros(len(bench.words) + 1, bool) if len(cut) > 64 else None
+    if held is not None:
+        held[numbers] = True
+    words = np.unique(numbers)
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        k = int(owner[lo])
+        item = bench.items[k]
+        n = held[item].sum() if held is not None else (words[np.minimum(np.searchsorted(words, item), len(words) - 1)] == item).sum()
+        if n >= threshold * len(item):
+            yield k, text_at[lo:hi], item_at[lo:hi]
+
+
+def best_alignment(item: np.ndarray, numbers: np.ndarray, at: np.ndarray, place: np.ndarray, threshold: float) -> tuple[float, int, int]:
+    """The best alignment of an item in windows around seeds: (score, start, end), or a score of 0
+    where none reaches ``threshold``.
+
+    M matches and X other words score 2 M - X, so an alignment that reaches it has M of at least
+    ``threshold`` times the item's words, and puts at most 2 (1 - threshold) times as many words
+    between those of the item: no window is narrower, and one with fewer words of the item is
+    passed over.
+    """
+    size = len(item)
+    need, slack = threshold * size, int(2 * max(1 - threshold, 0) * size) + 1
+    reach = size + 2 * slack  # the words around a seed that any such alignment of it can take
+    starts = np.unique(at - place)
     best = (0.0, 0, 0)
     i = 0
     while i < len(starts):
         j = i
         while j + 1 < len(starts) and starts[j + 1] - starts[j] <= reach:
             j += 1
-        lo, hi = max(0, int(starts[i]) - reach // 2), min(len(numbers), int(starts[j]) + reach + len(item) // 2)
+        lo, hi = max(0, int(starts[i]) - slack), min(len(numbers), int(starts[j]) + size + slack)
         # a long run of seeds is aligned in overlapping windows, each longer than any alignment
         for at0 in range(lo, max(lo + 1, hi), 8 * reach):
             part = numbers[at0 : min(hi, at0 + 10 * reach)]
+            if np.isin(item, part).sum() < need or np.isin(part, item).sum() < need:
+                continue
             score, s, e = smith_waterman(item, part)
-            if score / (MATCH * len(item)) > best[0]:
-                best = (score / (MATCH * len(item)), at0 + s, at0 + e)
+            if score / (MATCH * size) > best[0]:
+                best = (score / (MATCH * size), at0 + s, at0 + e)
         i = j + 1
     return best
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, factor: float = RARE, limit: int = BENCHMARK_LIMIT) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, limit: int = BENCHMARK_LIMIT) -> DataFrame:
     """(id, item_id, score, start_word, end_word) for each document and item whose best local
     alignment scores at least ``threshold`` of an exact copy.
 
@@ -179,41 +204,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Null and empty texts and items without words never match; rows with a null id are not
     reported; rows that repeat an id are read as texts of one document (the best score counts).
     Either table may be empty.  Benchmark tables are bounded by ``limit`` characters because
-    every task holds them; the corpus is read whole, twice, and only seed hits are shuffled.
+    every task holds them; the corpus is read whole, once, and only leaks are shuffled.  A document
+    is aligned with every item that it shares an n-gram of ``ngram`` words with, whatever the
+    frequency of the n-gram; alignments without one are not looked for.
     """
     bench = _load(items, item_id, item_text, ngram, limit)
     lengths = bench.lengths
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            ids, grams = [], []
-            for key, text in zip(column(b, "id").to_pylist(), column(b, "text").to_pylist()):
-                if text and len(which := np.unique(bench.seeds(bench.numbers(text), lengths)[1])):
-                    ids.append(key)
-                    grams.append(which.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.list_(pa.int32()))], names=["id", "grams"])
-
-    seen = materialise(rows.mapInArrow(hits, "id long, grams array<int>"), "seeds")
-    frequency = np.zeros(len(bench.grams) + 1)
-    for r in seen.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect():
-        frequency[r["g"]] = r["n"]  # at most as many rows as the benchmark has n-grams
-    rare = rare_grams(bench, frequency[:-1], factor)
-    wanted = np.unique(np.concatenate(rare)) if rare else np.zeros(0, int)
-    flag = np.zeros(len(bench.grams), bool)
-    flag[wanted] = True
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [k for k, g in zip(column(b, "id").to_pylist(), column(b, "grams").to_pylist()) if flag[g].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["id"])
-
-    chosen = materialise(seen.mapInArrow(candidates, "id long").distinct(), "candidates")
-    of_gram: dict[int, list[int]] = {}
-    for k, spots in enumerate(rare):
-        for g in spots.tolist():
-            of_gram.setdefault(g, []).append(k)
-
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             out = []
@@ -222,13 +220,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     continue
                 numbers = bench.numbers(text)
                 at, which = bench.seeds(numbers, lengths)
-                for k in sorted({k for g in np.unique(which).tolist() for k in of_gram.get(g, ())}):
-                    score, s, e = best_alignment(bench, k, rare[k], numbers, at, which)
+                for k, text_at, item_at in possible(bench, numbers, at, which, threshold):
+                    score, s, e = best_alignment(bench.items[k], numbers, text_at, item_at, threshold)
                     if score >= threshold:
                         out.append((key, bench.ids[k], score, s, e))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["id", "item_id", "score", "start_word", "end_word"])
 
-    found = rows.join(checked(chosen), "id", "left_semi").mapInArrow(align, "id long, item_id long, score double, start_word long, end_word long")
+    found = rows.mapInArrow(align, "id long, item_id long, score double, start_word long, end_word long")
     found = found.groupBy("id", "item_id").agg(F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("b"))
     return found.select(F.col("id").alias(id_col), "item_id", "b.score", "b.start_word", "b.end_word")

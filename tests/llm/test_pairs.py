@@ -159,6 +159,38 @@ def test_leak_that_is_everywhere(spark):
     assert decontam.find_leaks(d, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 300
 
 
+@pytest.mark.parametrize("copies", [9, 100, 3000])
+def test_edited_and_truncated_copies_that_repeat(spark, copies):
+    """Forms that break over a quarter of an item's n-grams and stand in many documents."""
+    w, v = VOCAB[:30], VOCAB[100:130]
+    edited = [f"x{i}" if i in (7, 15, 23) else x for i, x in enumerate(w)]
+    forms = [(1, " ".join(edited)), (2, " ".join(v[:21]))]
+    rows = [(k * 10_000 + i, f"{VOCAB[200 + i % 50]} {t} {VOCAB[250 + i % 50]}") for k, t in forms for i in range(copies)]
+    items = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(v))], "item_id long, text string")
+    got = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted((i, i // 10_000) for i, _ in rows)
+    assert {(r["item_id"], round(r["score"], 6)) for r in got} == {(1, 0.85), (2, 0.7)}
+
+
+def test_windows_take_in_every_alignment_of_a_seed():
+    """Against brute force over whole texts, with long gaps before and after the seed."""
+    r = random.Random(4)
+    for _ in range(150):
+        item = [r.randrange(12) for _ in range(r.randint(3, 14))]
+        text = [r.randrange(40) for _ in range(r.randint(0, 20))]
+        for x in item:
+            text += [x] if r.random() < 0.9 else []
+            text += [99] * (r.randint(1, len(item)) if r.random() < 0.12 else 0)
+        text += [r.randrange(40) for _ in range(r.randint(0, 20))]
+        bench = decontam.Benchmark.of([(1, " ".join(f"t{x}" for x in item))], 3)
+        numbers = bench.numbers(" ".join(f"t{x}" for x in text))
+        at, which = bench.seeds(numbers, bench.lengths)
+        got = max((decontam.best_alignment(bench.items[k], numbers, a, p, 0.5)[0] for k, a, p in decontam.possible(bench, numbers, at, which, 0.5)), default=0)
+        want = brute_sw(item, text) / (2 * len(item))
+        if len(at) and want >= 0.5:
+            assert got == pytest.approx(want)
+
+
 def test_pipeline(spark, sf, tmp_path):
     """Every stage on small documents against brute force."""
     items, leaky, leaks = leak_corpus()
