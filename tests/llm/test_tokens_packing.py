@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,6 +102,31 @@ def test_packing_edges(spark):
     assert sum(r["length"] for r in twice if r["start"] == 0 and r["doc_id"] == 1) == 4
 
 
+def test_near_copies_share_a_shard(spark):
+    """Copies with a few words changed lie in one shard of many; copies beyond a shard's size are split."""
+    r = np.random.default_rng(6)
+    make = lambda n: [f"{a}{b}" for a, b in zip(r.choice(["red", "blue", "lamp", "stone", "river", "cloud"], n), r.integers(0, 3000, n))]
+    texts = {}
+    for g in range(60):
+        base = make(120)
+        for c in range(3):
+            own = list(base)
+            own[int(r.integers(120))] = make(1)[0]
+            texts[g * 3 + c] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = packing.pack(docs, shard_tokens=8000).collect()
+    check_packed(rows, texts, 2048)
+    shard = {x["doc_id"]: x["sequence_id"] >> 32 for x in rows}
+    assert len(set(shard.values())) > 5
+    assert sum(len({shard[g * 3 + c] for c in range(3)}) == 1 for g in range(60)) > 40
+    hot = spark.createDataFrame([(i, texts[0]) for i in range(300)], "doc_id long, text string")
+    rows = packing.pack(hot, shard_tokens=8000).collect()
+    size = Counter()
+    for x in rows:
+        size[x["sequence_id"] >> 32] += x["length"]
+    assert len(size) > 5 and max(size.values()) < 3 * 8000
+
+
 def test_bm25_by_brute_force():
     r = np.random.default_rng(2)
     docs = [r.integers(0, 40, r.integers(5, 60)) for _ in range(30)]
