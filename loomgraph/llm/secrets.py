@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import column, slices
 
-#: Candidates: values assigned to telling names, and long runs (kept if they have a digit or mixed case).
-ASSIGNED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"',;]{8,})")
+#: Candidates: values assigned to telling names (see telling), and long runs (kept if they have a digit or mixed case).
+ASSIGNED = re.compile(r"(?<!\w)(\w[\w-]*+)[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?(?=([^\s\"',;]{8,}))")
+TELLING = frozenset("password passwd passphrase pwd secret token auth credential apikey accesskey secretkey privatekey".split())
+TELLING_KEYS = frozenset("api access private secret signing encryption".split())
+_ENDS = tuple(sorted(TELLING - {"auth"}))
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 LONG = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}={0,2}")
 #: Words before or after a candidate that speak for or against a secret.
 FOR = frozenset("token secret key apikey api_key password passwd pwd auth authorization bearer credential credentials private access session cookie jwt signature".split())
@@ -37,11 +41,21 @@ _NEAR = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 CONTEXT = 48
 
 
+def telling(name: str) -> bool:
+    """Whether a part of an identifier in snake, kebab or camel case tells of a secret, alone
+    (db_password), at the end of a run of words (authtoken) or with the next part (API_KEY)."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    parts = [p[:-1] if p.endswith("s") and p[:-1] in TELLING else p for p in parts]
+    if any(p in TELLING or p.endswith(_ENDS) for p in parts):
+        return True
+    return any(a in TELLING_KEYS and b in ("key", "keys") for a, b in zip(parts, parts[1:]))
+
+
 def candidates(text: str | None) -> list[tuple[int, int]]:
     """Spans (start, end) of candidates in the whole text, in order and without overlap."""
     if not text:
         return []
-    found = [m.span(1) for m in ASSIGNED.finditer(text)] if ("=" in text or ":" in text) else []
+    found = [m.span(2) for m in ASSIGNED.finditer(text) if telling(m[1])] if ("=" in text or ":" in text) else []
     for m in LONG.finditer(text):
         s = m[0]
         if any(c.isdigit() for c in s) or (s != s.lower() and s != s.upper()):
@@ -71,19 +85,19 @@ def coverage(s: str) -> float:
 
 def features(secret: str, before: str, after: str, path: str | None) -> list[float]:
     """Length, entropy, class shares and transitions, coverage, path and neighbouring words."""
-    s = secret[:512]
+    s = secret
     kinds = "".join(_KIND.get(c, "o") for c in s)
     n = len(s)
     moves = {t: 0 for t in TRANSITIONS}
     for a, b in zip(kinds, kinds[1:]):
         moves[a + b] += 1
     entropy = -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
-    near = [w.lower() for w in _NEAR.findall(before)][-3:] + [w.lower() for w in _NEAR.findall(after)][:1]
-    parts = {p for w in near for p in [w, *w.split("_")]}
+    near = _NEAR.findall(before)[-3:] + _NEAR.findall(after)[:1]
+    parts = {p for w in near for p in [w.lower(), *w.lower().split("_"), *(x.lower() for x in _PART.findall(w))]}
     return [
         math.log(len(secret)), entropy, *(kinds.count(k) / n for k in "ludo"), *(moves[t] / max(n - 1, 1) for t in TRANSITIONS), coverage(s),
         float(all(c in "0123456789abcdefABCDEF" for c in s)), float(s.isdigit()), s.count(".") / n, s.count("-") / n,
-        float(bool(parts & FOR)), float(bool(parts & AGAINST)), float(before.rstrip()[-1:] in ("=", ":") or before.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in "\"'" if before else False), float("@" in before[-1:] or "@" in after[:1]),
+        float(bool(parts & FOR) or any(map(telling, near))), float(bool(parts & AGAINST)), float(before.rstrip()[-1:] in ("=", ":") or before.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in "\"'" if before else False), float("@" in before[-1:] or "@" in after[:1]),
         float(bool(_TEST_PATH.search(path or ""))), float(bool(_LOCK_PATH.search(path or ""))),
     ]
 
@@ -95,15 +109,17 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
     words = sorted(DICTIONARY)
     text = lambda: " ".join("".join(r.choices(low, k=r.randint(2, 9))) for _ in range(5)) + " "
     make = lambda a, k: "".join(r.choices(a, k=k))
+    # passwords that people choose: letters with digits and signs among them
+    short = lambda: "".join(r.sample(s := make(low, r.randint(4, 9)) + make(b64[:26], r.randint(0, 3)) + make("0123456789", r.randint(1, 4)) + make("!@#$%&*?", r.randint(0, 3)) + make(low, 3), len(s)))
     paths = ["src/app/settings.py", "config/prod.env", "deploy/values.yaml", "lib/client.js", "src7", "notes.txt", ""]
     out = []
     for _ in range(n):
-        name, quote, sign = r.choice(["token", "secret", "api_key", "password", "access_key", "auth", "client_secret", "private_key"]), r.choice(["", '"', "'"]), r.choice([" = ", "=", ": ", ":"])
+        name, quote, sign = r.choice(["token", "secret", "api_key", "password", "access_key", "auth", "client_secret", "private_key", "db_password", "DB_PASSWORD", "access_token", "secret_key", "clientSecret", "accessToken"]), r.choice(["", '"', "'"]), r.choice([" = ", "=", ": ", ":"])
         if r.random() < 0.5:
-            s = r.choice([make(hexa, r.choice([32, 40, 48, 64])), make(b64, r.randint(20, 64)), "AKIA" + make(b64[:26] + "0123456789", 16), "ghp_" + make(b64[:62], 36), "sk-" + make(b64[:62], 40), make(b64[:62], r.randint(16, 40))])
+            s = r.choice([make(hexa, r.choice([32, 40, 48, 64])), make(b64, r.randint(20, 64)), "AKIA" + make(b64[:26] + "0123456789", 16), "ghp_" + make(b64[:62], 36), "sk-" + make(b64[:62], 40), make(b64[:62], r.randint(16, 40)), short(), short()])
             out.append((s, text() + name + sign + quote, quote + " " + text(), r.choice(paths), 1))
             continue
-        k = r.randrange(9)
+        k = r.randrange(10)
         before, after, path = text(), " " + text(), r.choice(paths)
         if k == 0:  # words
             s = r.choice("-_.").join(r.choices(words, k=r.randint(3, 6))) + str(r.randint(0, 99))
@@ -122,6 +138,9 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
             s = "/".join(r.choices(words, k=4)) + f"/{r.choice(words)}{r.randint(0, 999)}.html"
         elif k == 7:  # names in camel case
             s = "".join(w.title() for w in r.choices(words, k=4))
+        elif k == 8:  # words and code after a telling name
+            w = r.choices(words, k=3)
+            s, before = r.choice([f"{w[0]}.{w[1]}", f"{w[0]}_{w[1]}", f"{w[0]}{w[1].title()}", f"{w[0]}.{w[1]}({w[2]})", f"{w[0]}{w[1].title()}()", f"${{{w[0].upper()}_{w[1].upper()}}}", make(low, r.randint(8, 12))]), before + name + sign + quote
         else:  # of tests and lock files
             s, before, path = make(hexa, 40), before + name + sign + quote, r.choice(["tests/fixtures/keys.py", "package-lock.json", "go.sum", "docs/example.md"])
         out.append((s, before, after, path, 0))

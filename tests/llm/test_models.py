@@ -102,6 +102,25 @@ def test_forest_and_candidates():
     assert secrets.coverage("user-name") > 0.8 and secrets.coverage("zqxj9") == 0
 
 
+NAMED = {
+    "db_password = 'Tr0ub4dor&3!'": "Tr0ub4dor&3!", 'client_secret: "q8Zk!2vPw#x9"': "q8Zk!2vPw#x9", "access_token=ab12cd34ef56": "ab12cd34ef56", "DB_PASSWORD=hunter2hunter": "hunter2hunter",
+    "secret_key = 'a1B2c3D4e5F6'": "a1B2c3D4e5F6", "private_key: k9Q2w7E4r1T8": "k9Q2w7E4r1T8", 'dbPassword = "xk29fj3!vq"': "xk29fj3!vq", "clientSecretValue: 7hq2Lm9xPz": "7hq2Lm9xPz", "AWS_SECRET_ACCESS_KEY=w9Xz3kQ7pL2m": "w9Xz3kQ7pL2m",
+    "authtoken=k3j9x2m7q1": "k3j9x2m7q1", "apiKey: 'zq81mxp04k'": "zq81mxp04k", "a=password=hunter2hunter": "hunter2hunter",
+}
+
+
+def test_secrets_of_compound_names(spark):
+    model = secrets.train()
+    for text, value in NAMED.items():
+        assert value in [text[a:b] for a, b in secrets.candidates(text)], text
+        assert max(p for a, b, p in secrets.judged(f"x y {text} z", "src/a.py", model) if f"x y {text} z"[a:b] == value) >= 0.5, text
+    for name in ("author", "tokenizer", "keyboard", "monkey", "secretary", "description", "key"):
+        assert not secrets.candidates(f"{name} = somebody")
+    docs = spark.createDataFrame([(i, t, None, "s", "i", 1) for i, t in enumerate(NAMED)], EDGE)
+    assert not [r["text"] for r in secrets.redact(docs, model).collect() if any(v in r["text"] for v in NAMED.values())]
+    assert secrets.features("a" * 512 + "1" * 512, "", "", None)[2:5] == [0.5, 0.0, 0.5]  # the whole candidate
+
+
 def test_secret_scan_edges(spark):
     model = secrets.train()
     secret = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
