@@ -684,3 +684,22 @@ def violations_by_kind(spark, sf):
 @query("SELECT 'graph LR' || chr(10) || string_agg('    ' || from_module || ' ==>|' || calls || '| ' || to_module, chr(10) ORDER BY from_module, to_module) AS report FROM (SELECT from_module, to_module, count(*) AS calls FROM " + A.MODED + " WHERE from_module <> to_module GROUP BY ALL HAVING count(*) > 10)")
 def module_diagram(spark, sf):
     return reports.module_diagram(cross_module_calls(spark, sf).where("calls > 10"))
+
+
+#: Queries of the returned lines' calls that are also registered over the calls of all lines, as <name>_all.
+OVER_ALL_LINES = """dead_nodes dead_by_module dead_top_per_module entry_points called_by_exported_in_file fan_in_out_topk adjacency_lists snapshot_functions coupling_scores cluster_confidence reachable_cycles important_functions
+context_scores call_resolution find_usages file_connectivity file_imports callee_names distinct_name_pairs entry_flow context_pack""".split()
+
+
+def _all(name: str) -> None:
+    def run(spark, sf):
+        with A.all_lines():
+            return _QUERIES[name](spark, sf)
+
+    run.__name__ = f"{name}_all"
+    # the recursive SQL holds every pair that a path joins; tests hold that query against brute force
+    query("" if name == "reachable_cycles" else A.over_all_lines(_SQL.get(name, "")))(run)
+
+
+for _name in OVER_ALL_LINES:
+    _all(_name)

@@ -93,3 +93,25 @@ def test_drift(spark, digits, n):
     disk = spark.createDataFrame([("a", "0" * 16 + "9" * 48), ("b", "1" * 64), ("d", "3" * 64)], "path string, hash string")
     got = {r["path"]: r["status"] for r in R.drift(disk, lock, digits).collect()}
     assert len(got) == n and got["c"] == "deleted" and got["d"] == "added"
+
+
+def test_queries_over_the_calls_of_all_lines(spark, sf):
+    """The whole graph against brute force from the lines; the filtered one stays as it was."""
+    from loomgraph.plans import adapters, catalog
+
+    lines = {(r[0], r[1], r[2]) for r in adapters.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").collect()}
+    at = {}
+    for o, n, p in lines:
+        at.setdefault((o, n), set()).add(p)
+    want = {(f"p:{p}", f"p:{q}") for o, n, p in lines for q in at.get((o, n + 1), ())}
+    few = adapters.part_calls(spark, sf).count()
+    with adapters.all_lines():
+        got = {tuple(r) for r in adapters.part_calls(spark, sf).select("src", "dst").collect()}
+    assert got == want and few < len(want) / 2 and adapters.part_calls(spark, sf).count() == few
+    core = set(want)
+    while (left := {e for e in core if e[1] in {a for a, _ in core}}) != core:
+        core = left
+    run = catalog.queries()
+    assert {r["id"] for r in run["reachable_cycles_all"](spark, sf).collect()} == {a for a, _ in core}
+    parts = {f"p:{r[0]}" for r in adapters.table(spark, sf, "part").select("p_partkey").collect()}
+    assert {r["id"] for r in run["entry_points_all"](spark, sf).collect()} == parts - {b for _, b in want}
