@@ -32,19 +32,17 @@ def brute_hashes(text):
     return {signed(xxhash.xxh64_intdigest(text.encode(), 42))} if text else set()
 
 
+LIMIT = -(1 << 63) + (1 << 64) // fp.SCALE
+
+
 def brute_sketch(text):
-    h = brute_hashes(text)
-    low = sorted(x for x in h if x < fp.LIMIT)
-    return low if len(low) >= fp.FLOOR else sorted(h)[: fp.FLOOR]
+    return sorted(x for x in brute_hashes(text) if x < LIMIT)
 
 
 def brute_near(a, b):
-    def limit(s):
-        return (1 << 63) - 1 if len(s) < fp.FLOOR else max(s[-1], fp.LIMIT - 1)
-
-    t = min(limit(a), limit(b))
-    a, b = {x for x in a if x <= t}, {x for x in b if x <= t}
-    return 1.0 if not a and not b else len(a & b) / len(a | b)
+    """Likeness of two texts by their sketches; without a hash, whether the shingles are the same."""
+    x, y = set(brute_sketch(a)), set(brute_sketch(b))
+    return len(x & y) / len(x | y) if x | y else float(brute_hashes(a) == brute_hashes(b))
 
 
 @pytest.fixture(scope="module")
@@ -70,9 +68,10 @@ def test_fingerprints(spark, texts, parts):
         edited = a[: len(a) - half] + b[:half]
         r = got[i]
         assert r["n_chars"] == len(a) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["sketch"] == brute_sketch(a) and r["edited_sketch"] == brute_sketch(edited)
-        assert r["near_edited"] == pytest.approx(brute_near(brute_sketch(a), brute_sketch(edited)))
-        assert r["near_next"] == pytest.approx(brute_near(brute_sketch(a), brute_sketch(b)))
+        assert r["sketch"]["hashes"] == brute_sketch(a) and r["edited_sketch"]["hashes"] == brute_sketch(edited)
+        assert (r["sketch"]["whole"] is None) == (bool(brute_sketch(a)) or not brute_hashes(a))
+        assert r["near_edited"] == pytest.approx(brute_near(a, edited))
+        assert r["near_next"] == pytest.approx(brute_near(a, b))
 
 
 def test_sketches_merge_and_contain(spark, texts):
@@ -81,7 +80,41 @@ def test_sketches_merge_and_contain(spark, texts):
     r = df.select(fp.containment(F.col("a"), F.col("b")).alias("ab"), fp.containment(F.col("b"), F.col("a")).alias("ba"), fp.merge(F.col("a"), F.col("b")).alias("m")).first()
     assert r["ab"] == 1.0 and 0.8 < r["ba"] < 1.0
     h = brute_hashes(a) | brute_hashes(b)
-    assert r["m"] == sorted(x for x in h if x < fp.LIMIT)
+    assert r["m"]["hashes"] == sorted(x for x in h if x < LIMIT) and r["m"]["whole"] is None
+
+
+def test_the_fraction_is_the_same_at_every_length(spark, texts):
+    """No text keeps a hash above the limit, and none drops one below it."""
+    rows = spark.createDataFrame([(t,) for t in texts.values()], "t string").select("t", fp.sketch(F.col("t"))["hashes"].alias("s")).collect()
+    assert all(r["s"] == brute_sketch(r["t"]) for r in rows)
+    assert any(0 < len(r["s"]) < 8 for r in rows) and any(not r["s"] for r in rows)
+
+
+def test_ids_beyond_the_precision_of_doubles(spark):
+    rows = [((1 << 62) + 3 * i, f"text {i}") for i in range(700)] + [(-(1 << 63), "least")]
+    got = {r["text"]: r["next_text"] for r in fp.following(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", ["text"], 40).collect()}
+    order = [t for _, t in sorted(rows, reverse=True)]
+    assert got == dict(zip(order, order[1:] + order[:1]))
+
+
+def test_short_texts_without_a_hash(spark):
+    bare = [t for t in (f"word{i} here" for i in range(40)) if not brute_sketch(t)][:2]
+    df = spark.createDataFrame([(bare[0], bare[0].upper(), bare[1], "")], "a string, b string, c string, d string")
+    s = {c: fp.sketch(F.col(c)) for c in "abcd"}
+    r = df.select(*[fp.resemblance(s["a"], s[c]).alias(f"a{c}") for c in "bcd"], fp.resemblance(s["d"], s["d"]).alias("dd"), fp.text_form(s["a"]).alias("fa"), fp.text_form(s["c"]).alias("fc"), fp.containment(s["a"], s["c"]).alias("k")).first()
+    assert (r["ab"], r["ac"], r["ad"], r["dd"], r["k"]) == (1.0, 0.0, 0.0, 1.0, 0.0) and r["fa"] != r["fc"]
+
+
+def test_a_key_of_most_rows_is_cut(spark):
+    """Null ids hold most rows: the following row is right and no range holds them all."""
+    rows = [(None, f"text {i} of the many") for i in range(400)] + [(i, f"own {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = fp._ranked(docs, "doc_id", ["text"])
+    bounds = fp._bounds(keyed, 20)
+    assert len(bounds) > 15 and sum(k == fp._NONE for k, _ in bounds) > 12
+    order = [t for t, in keyed.orderBy(F.desc("_rank"), F.desc("_hash")).select("text").collect()]
+    got = {r["text"]: r["next_text"] for r in fp.following(docs, "doc_id", ["text"], 20).collect()}
+    assert got == dict(zip(order, order[1:] + order[:1]))
 
 
 def test_fingerprint_edges(spark):
