@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 #: Rows of a narrow table (an id or two) that is broadcast at most, see checked().
 BROADCAST_ROWS = 1_000_000
-_written: dict[str, list[str]] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -26,24 +28,37 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, into: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared scratch folder and returns the table read again.
 
     This cuts lineage: later stages survive lost executors without recomputing what stands before.
+    The table stays until the scope() that it was written in ends, or for good without one, or
+    where its path is put ``into`` a list.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loomgraph-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (own := _scope.get() if into is None else into) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Deletes the scratch tables of this application but for the ``keep`` latest."""
-    jvm, paths = spark.sparkContext._jvm, _written.get(spark.sparkContext.applicationId, [])
-    while len(paths) > keep:
-        p = jvm.org.apache.hadoop.fs.Path(paths.pop(0)).getParent()
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+@contextmanager
+def scope(spark: SparkSession, also: list[str] | None = None) -> Iterator[None]:
+    """Deletes, at its end, the tables that materialise() wrote within it and in no inner scope,
+    and those of the paths ``also``.
+
+    Results that read them have to be written or collected before; other results are untouched.
+    """
+    own = [*(also or [])]
+    mark = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(mark)
+        for path in own:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def checked(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -87,14 +102,19 @@ def code_points(text: str) -> np.ndarray:
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks and forgets all when it holds ``limit`` entries."""
+    """A dictionary from words to what ``make`` gives for them; it forgets all when it holds
+    ``limit`` characters, and keeps no word of more than ``longest``."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 4 << 20, longest: int = 64):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.longest, self.held = make, limit, longest, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            self.held += len(key)
+            if self.held > self.limit:
+                self.clear()
+                self.held = len(key)
+            self[key] = value
         return value

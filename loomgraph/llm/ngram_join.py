@@ -2,7 +2,7 @@
 
 1. Each text becomes its set of word n-grams (hashes), a MinHash signature and band hashes; band
    and row counts are chosen for a target recall at the threshold.
-2. Texts with equal sets form one class and only its representative goes on.
+2. Rows with equal sets, whatever their ids, are one node; only nodes go on.
 3. Band hashes are shuffled; each bucket links its members to its smallest (a star, no pairs).
    Components of these links are groups of candidates.
 4. Each group's sets meet once.  Groups beyond a block's size are cut into blocks and every pair
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, Memo, checked, column, materialise, slices
@@ -59,7 +59,7 @@ def ngrams(text: str | None, n: int, memo: dict) -> np.ndarray:
     """
     words = _WORD.findall(text.lower()) if text else []
     if not words:
-        return np.array([memo["\0" + text]], np.uint64) if text else np.zeros(0, np.uint64)
+        return np.array([_word_hash("\0" + text)], np.uint64) if text else np.zeros(0, np.uint64)
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     k = min(n, len(h))
     g = np.full(len(h) - k + 1, k, np.uint64)
@@ -91,14 +91,15 @@ def band_hashes(grams: np.ndarray, multipliers: np.ndarray, bands: int, rows: in
 
 def describe(docs: DataFrame, n: int, bands: int, rows: int, keep: bool = False) -> DataFrame:
     """Rows of ``docs`` (id, text, …) with the key of the text's set instead of the text, and its
-    band hashes, or with ``keep`` the set itself.  Texts without an n-gram have no key."""
+    band hashes, or with ``keep`` the set itself.  Texts without an n-gram have no key.
+    Columns of docs must not be called key."""
     multipliers = np.random.default_rng(20240607).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     others = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        memo = Memo(_word_hash, 200_000)
+        memo = Memo(_word_hash)
         for b in slices(batches, "text", BATCH_BYTES // 4):
             sets = [ngrams(t, n, memo) for t in column(b, "text").to_pylist()]
             raw = [g.tobytes() for g in sets]
@@ -110,7 +111,7 @@ def describe(docs: DataFrame, n: int, bands: int, rows: int, keep: bool = False)
             yield pa.RecordBatch.from_arrays([*(column(b, f.name) for f in others), keys, made], names=[*(f.name for f in others), "set_key", "made"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others)
-    return docs.mapInArrow(run, f"{schema}, set_key binary, made {'binary' if keep else 'array<long>'}").withColumnRenamed("made", "grams" if keep else "bands")
+    return docs.mapInArrow(run, f"{schema}, set_key binary, made {'binary' if keep else 'array<long>'}").withColumnsRenamed({"set_key": "key", "made": "grams" if keep else "bands"})
 
 
 class _Links:
@@ -157,43 +158,46 @@ def link_block(ids, weights, sets, side, threshold: float):
     return count, forest
 
 
-def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block_texts: int = BLOCK_TEXTS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """One row for each document: id, class_id, n_links, representative.
-
-    Documents are linked where the Jaccard similarity of their n-gram sets is at least the
-    threshold; class_id is the smallest id of the connected documents and n_links the number of
-    other documents a document is linked to (copies included).  ``representative`` is the
-    smallest id among documents of an equal set.  Null and empty texts have no n-gram: each such
-    document is a class of its own without links.  Rows with a null id are classes of their own
-    as well (class_id null).  Ids are integers.  Of rows that repeat an id with several texts, the
-    text whose set has the smallest key stands for the id in other documents' classes.  Extra
-    columns are ignored; an empty table gives an empty one.
+def text_digest(text: str | Column) -> Column:
+    """What tells the texts of rows with one id apart (null for a null text)."""
+    return F.unhex(F.md5(F.col(text) if isinstance(text, str) else text))
+
+
+def similarity_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block_texts: int = BLOCK_TEXTS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """One row for each row of ``docs``: id, digest (of the text), class_id, n_links,
+    representative, and head, whether it is the row that stands for its class: that of the
+    smallest id (nulls last), then of the smallest digest.  Rows that repeat a head's id and text
+    are heads too.  See similarity_classes() for the rest.
     """
     bands, rows = bands_for(threshold, recall, hashes)
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = materialise(describe(texts, ngram, bands, rows).withColumnRenamed("set_key", "key"), "sets")
-    some = known.where(F.col("key").isNotNull())
-    reps = materialise(some.groupBy("id").agg(F.min("key").alias("key")).groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    banded = some.join(reps, (some["key"] == reps["key"]) & (some["id"] == reps["rep"])).select("rep", F.posexplode("bands").alias("band", "h"))
-    buckets = banded.groupBy("band", "h").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where(F.col("head") != F.col("last"))
-    stars = banded.join(buckets, ["band", "h"]).where(F.col("rep") != F.col("head")).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+    known = materialise(describe(texts, ngram, bands, rows), "sets")
+    order = F.struct(F.isnull("id").alias("nameless"), "id", "digest")
+    nodes = known.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so these stay
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "h"))
+    buckets = banded.groupBy("band", "h").agg(F.min("node").alias("head"), F.max("node").alias("last")).where(F.col("head") != F.col("last"))
+    stars = banded.join(buckets, ["band", "h"]).where(F.col("node") != F.col("head")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     groups = components(stars)
 
     # only the texts of candidates become sets again; sets are dealt to blocks of their group
-    chosen = materialise(groups.join(reps, groups["node"] == reps["rep"]).select(F.col("rep").alias("id"), "component", "copies", "key"), "groups")
-    texts = texts.join(checked(chosen.select("id")), "id", "left_semi")  # few enough: before the shuffle
-    found = describe(texts.join(chosen, "id"), ngram, bands, rows, keep=True).where(F.col("key") == F.col("set_key"))
-    found = materialise(found.select("component", F.col("id").alias("rep"), "copies", "grams").dropDuplicates(["rep"]), "candidates")
+    chosen = groups.join(nodes, "node").select("node", "component", "copies", F.col("first.id").alias("id"), F.col("first.digest").alias("digest"))
+    chosen = materialise(chosen, "groups")
+    texts = texts.join(checked(chosen.select("digest")), "digest", "left_semi")  # few enough: before the shuffle
+    one = (texts["digest"] == chosen["digest"]) & texts["id"].eqNullSafe(chosen["id"])
+    found = describe(texts.join(chosen, one).select("node", "component", "copies", "text"), ngram, bands, rows, keep=True)
+    found = materialise(found.select("component", "node", "copies", "grams").dropDuplicates(["node"]), "candidates")
     sizes = found.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("grams") / 8).alias("g"))
     sizes = sizes.select("component", F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("g") / block_grams), F.lit(1)).cast("int").alias("blocks"))
-    dealt = found.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = found.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # the pair (i, j), i <= j, of blocks; a text of block k goes to all pairs with k
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block"), "rep", "copies", "grams")
+    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block"), "node", "copies", "grams")
 
     def link(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("block", "ascending"), ("rep", "ascending")])
-        ids, weights, block = (t.column(c).to_numpy() for c in ("rep", "copies", "block"))
+        t = t.sort_by([("block", "ascending"), ("node", "ascending")])
+        ids, weights, block = (t.column(c).to_numpy() for c in ("node", "copies", "block"))
         i, j, component = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("component")[0].as_py()
         if len(ids) < 2 or i != j and (block == block[0]).all():
             return pa.Table.from_pylist([], schema=schema)
@@ -204,10 +208,30 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     schema = pa.schema([("component", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
     verified = materialise(dealt.groupBy("component", "i", "j").applyInArrow(link, "component long, a long, b long, links long"), "links")
-    counts = verified.where(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    merged = components(verified.where(F.col("b").isNotNull()).select("a", "b")).withColumnsRenamed({"node": "rep", "component": "class"})
-    of_class = reps.join(counts, "rep", "left").join(merged, "rep", "left").select("key", "rep", F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = known.select("id", "key").join(of_class, "key", "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "id").alias("representative"))
-    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("representative"))
-    return out.unionByName(nameless)
+    counts = verified.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    merged = components(verified.where(F.col("b").isNotNull()).select("a", "b")).withColumnsRenamed({"component": "class"})
+    linked = nodes.select("key", "node", "first", "copies").join(merged, "node")
+    heads = linked.groupBy("class").agg(F.min("first").alias("head"))
+    linked = materialise(linked.join(heads, "class").join(counts, "node", "left").select("key", "head", F.coalesce("links", F.lit(0)).alias("links")), "linked")
+    # nodes without links to others, the most, need no join but that with their rows
+    of_node = nodes.select("key", "first", "copies").join(linked, "key", "left").select("key", "first", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    out = known.select("id", "digest", "key").join(of_node, "key", "left")
+    named = lambda c: F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col(c)["id"]).cast(kind)
+    is_head = F.col("first").isNull() | (F.col("head.id").eqNullSafe(F.col("id")) & (F.col("head.digest") == F.col("digest")))
+    return out.select(F.col("id").alias(id_col), "digest", named("head").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), named("first").alias("representative"), is_head.alias("head"))
+
+
+def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block_texts: int = BLOCK_TEXTS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """One row for each row of ``docs``: id, class_id, n_links, representative.
+
+    Each row is a document of its own, whatever its id.  Documents are linked where the Jaccard
+    similarity of their n-gram sets is at least the threshold; class_id is the smallest id of the
+    connected documents and n_links the number of other documents (rows) a document is linked to,
+    copies and repeated rows included.  ``representative`` is the smallest id among documents of
+    an equal set.  Null ids take part; class_id and representative are null only where all ids
+    are.  Ids are of any ordered type.  Texts of any length count whole.  Null and empty texts
+    have no n-gram: each such document is a class of its own without links.  Extra columns are
+    ignored; an empty table gives an empty one.
+    """
+    found = similarity_rows(docs, id_col, text_col, ngram, threshold, recall, hashes, block_texts, block_grams)
+    return found.select(id_col, "class_id", "n_links", "representative")
