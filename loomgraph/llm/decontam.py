@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import column, slices
+from .common import column, materialise, slices
 
 NGRAM, THRESHOLD = 3, 0.5
-#: Characters of benchmark text that are sent to every task at most; a larger table is an error.
-BENCHMARK_LIMIT = 64 << 20
+#: Characters of benchmark text that every task holds at once in expectation; a larger table is
+#: dealt in parts, each of which passes over the corpus (a longer single item is held whole).
+BENCHMARK_PART = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"[^\W_]+")
 _M = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -133,12 +135,14 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, start, end
 
 
-def _load(items: DataFrame, id_col: str, text_col: str, n: int, limit: int) -> Benchmark:
-    size = items.agg(F.coalesce(F.sum(F.char_length(text_col)), F.lit(0))).first()[0]
-    if size > limit:
-        raise ValueError(f"the benchmark has {size} characters; split it into tables of at most {limit}")
-    rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).collect()
-    return Benchmark.of(sorted({(r[0], r[1] or "") for r in rows}), n)
+def _parts(items: DataFrame, id_col: str, text_col: str, n: int, part: int) -> Iterator[Benchmark]:
+    """The items in parts of about ``part`` characters, one after another; none for no item."""
+    size = items.agg(F.sum(F.char_length(text_col))).first()[0] or 0
+    parts = max(1, -(-size // part))
+    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    for k in range(parts if size else 0):
+        got = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text"))), F.lit(parts)) == k).distinct().collect() if parts > 1 else rows.distinct().collect()
+        yield Benchmark.of(sorted(map(tuple, got), key=lambda r: (r[0] is None, r)), n)
 
 
 def possible(bench: Benchmark, numbers: np.ndarray, at: np.ndarray, which: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -196,37 +200,70 @@ def best_alignment(item: np.ndarray, numbers: np.ndarray, at: np.ndarray, place:
     return best
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, limit: int = BENCHMARK_LIMIT) -> DataFrame:
-    """(id, item_id, score, start_word, end_word) for each document and item whose best local
-    alignment scores at least ``threshold`` of an exact copy.
+def leaks_of(bench: Benchmark, text: str | None, threshold: float) -> dict:
+    """{item id: (score, start, end)} of the items that a text holds; of several items with one id
+    the best counts, of equal scores that which comes first in the text."""
+    out: dict = {}
+    numbers = bench.numbers(text) if text else np.zeros(0, np.int64)
+    at, which = bench.seeds(numbers, bench.lengths)
+    for k, text_at, item_at in possible(bench, numbers, at, which, threshold):
+        score, s, e = best_alignment(bench.items[k], numbers, text_at, item_at, threshold)
+        if score >= threshold:
+            key = bench.ids[k]
+            out[key] = min(out.get(key, (score, s, e)), (score, s, e), key=lambda x: (-x[0], x[1:]))
+    return out
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, part: int = BENCHMARK_PART) -> DataFrame:
+    """(id, item_id, score, start_word, end_word) for each row of ``docs`` and each item whose best
+    local alignment scores at least ``threshold`` of an exact copy.
 
     Words are runs of letters and digits, lower-cased; start and end count words of the document.
-    Null and empty texts and items without words never match; rows with a null id are not
-    reported; rows that repeat an id are read as texts of one document (the best score counts).
-    Either table may be empty.  Benchmark tables are bounded by ``limit`` characters because
-    every task holds them; the corpus is read whole, once, and only leaks are shuffled.  A document
-    is aligned with every item that it shares an n-gram of ``ngram`` words with, whatever the
-    frequency of the n-gram; alignments without one are not looked for.
+    Each row is a document of its own: rows that repeat, or have a null id, are reported each.  Ids
+    are of any type, those of items may be null; of items with one id the best counts.  Null and
+    empty texts and items without words never match.  Texts of any length are read whole.  Of
+    equal scores that which starts first is reported.  Either table may be empty.  The corpus is
+    read once for every ``part`` characters of the benchmark; nothing is shuffled.  A document is
+    aligned with every item that it shares an n-gram of ``ngram`` words with, whatever the
+    frequency of the n-gram; alignments without one are not looked for.  Columns of docs but the
+    two are ignored.
     """
-    bench = _load(items, item_id, item_text, ngram, limit)
-    lengths = bench.lengths
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            out = []
-            for key, text in zip(column(b, "id").to_pylist(), column(b, "text").to_pylist()):
-                if not text:
-                    continue
-                numbers = bench.numbers(text)
-                at, which = bench.seeds(numbers, lengths)
-                for k, text_at, item_at in possible(bench, numbers, at, which, threshold):
-                    score, s, e = best_alignment(bench.items[k], numbers, text_at, item_at, threshold)
-                    if score >= threshold:
-                        out.append((key, bench.ids[k], score, s, e))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["id", "item_id", "score", "start_word", "end_word"])
-
-    found = rows.mapInArrow(align, "id long, item_id long, score double, start_word long, end_word long")
-    found = found.groupBy("id", "item_id").agg(F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("b"))
-    return found.select(F.col("id").alias(id_col), "item_id", "b.score", "b.start_word", "b.end_word")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kinds = rows.schema["id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    form = f"id {kinds[0]}, item_id {kinds[1]}, score double, start_word long, end_word long"
+    out = rows.limit(0).selectExpr("id", f"cast(null as {kinds[1]}) item_id", "0d score", "0l start_word", "0l end_word")
+
+    def aligned(bench: Benchmark) -> DataFrame:
+        def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text"):
+                at, found = [], []
+                for i, text in enumerate(column(b, "text").to_pylist()):
+                    for key, (score, s, e) in leaks_of(bench, text, threshold).items():
+                        at.append(i)
+                        found.append((key, score, s, e))
+                cols = list(zip(*found)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([column(b, "id").take(pa.array(at, pa.int64())), pa.array(cols[0], item_type), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.float64(), pa.int64(), pa.int64())))], names=["id", "item_id", "score", "start_word", "end_word"])
+
+        return rows.mapInArrow(align, form)
+
+    item_type = to_arrow_type(items.schema[item_id].dataType)
+    for k, bench in enumerate(_parts(items, item_id, item_text, ngram, part)):
+        # the parts before are written, so the driver holds one at a time
+        out = aligned(bench) if not k else materialise(out, "leaks").unionByName(aligned(bench))
+    return out.withColumnRenamed("id", id_col)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, part: int = BENCHMARK_PART) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text holds no item by find_leaks(); row by
+    row, so null and repeated ids need no care.  Nothing is shuffled."""
+
+    def cleaned(docs: DataFrame, bench: Benchmark) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, text_col):
+                yield b.filter(pa.array([not leaks_of(bench, t, threshold) for t in column(b, text_col).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(keep, docs.schema)
+
+    for k, bench in enumerate(_parts(items, item_id, item_text, ngram, part)):
+        docs = cleaned(materialise(docs, "clean") if k else docs, bench)
+    return docs

@@ -70,10 +70,34 @@ def test_similarity_classes(spark, block):
 def test_similarity_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in ngram_join.similarity_classes(docs).collect()))
-    assert got == [(0, 0, 0), (0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 3, 0)]
+    assert got == [(0, 0, 0), (0, 1, 3), (1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 3, 0)]
     assert ngram_join.similarity_classes(docs.limit(0)).count() == 0
 
 
+LONG = " ".join(f"word{i}" for i in range(60))
+
+
+def test_links_of_repeated_and_null_ids(spark):
+    """Every text of an id takes part, and so do texts without an id."""
+    rows = [(1, "quite another text that is here"), (1, LONG), (2, LONG + " more"), (None, "less " + LONG), (None, "nothing like it in the table at all"), (None, "nothing like it in the table at all")]
+    for order in (rows, rows[::-1]):
+        got = ngram_join.similarity_rows(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted(((r["doc_id"] or 0), r["class_id"] or 0, r["n_links"], r["head"]) for r in got) == [(0, 0, 1, True), (0, 0, 1, True), (0, 1, 2, False), (1, 1, 0, True), (1, 1, 2, True), (2, 1, 2, False)]
+
+
+def test_ids_that_are_texts(spark):
+    docs = spark.createDataFrame([("x9", LONG), ("b", LONG + " more"), (None, "alone and not alike")], "doc_id string, text string")
+    got = sorted((r["doc_id"] or "", r["class_id"] or "", r["n_links"]) for r in ngram_join.similarity_classes(docs).collect())
+    assert got == [("", "", 0), ("b", "b", 1), ("x9", "b", 1)]
+
+
+def test_very_long_texts(spark):
+    r = random.Random(2)
+    a = " ".join(r.choices(VOCAB, k=200_000))
+    docs = spark.createDataFrame([(1, a), (2, a + " tail"), (3, " ".join(r.choices(VOCAB, k=200_000)))], "doc_id long, text string")
+    assert sorted((x["doc_id"], x["class_id"]) for x in ngram_join.similarity_classes(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_bands_reach_the_recall():
     for t in (0.5, 0.8, 0.9):
         b, r = ngram_join.bands_for(t, 0.99)
@@ -100,6 +124,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_large_star(spark, monkeypatch):
+    from loomgraph.llm import components as module
+
+    monkeypatch.setattr(module, "HOT", 10)
+    edges = [(i, 1000) for i in range(500)] + [(2000, i) for i in range(0, 500, 3)] + [(3000 + i, 3001 + i) for i in range(70)]
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in [*range(500), 1000, 2000]}, **{i: 3000 for i in range(3000, 3071)}}
+
+
 def brute_sw(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
@@ -142,15 +175,47 @@ def test_find_leaks(spark):
     d = spark.createDataFrame([(i, t, 1.0) for i, t in docs.items()] + [(None, items[0], 0.0)], "doc_id long, text string, score double")
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = decontam.find_leaks(d, b).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == leaks
+    assert {(r["doc_id"], r["item_id"]) for r in got} == leaks | {(None, 0)}
     # scores by brute force over whole documents
     for r in got[:15]:
         x = re.findall(r"[^\W_]+", items[r["item_id"]].lower())
-        y = re.findall(r"[^\W_]+", docs[r["doc_id"]].lower())
+        y = re.findall(r"[^\W_]+", (docs[r["doc_id"]] if r["doc_id"] is not None else items[0]).lower())
         assert r["score"] == pytest.approx(brute_sw(x, y) / (2 * len(x)))
     assert decontam.find_leaks(d.limit(0), b).count() == 0 and decontam.find_leaks(d, b.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        decontam.find_leaks(d, b, limit=10)
+    clean = decontam.without_leaks(d, b)
+    assert clean.schema == d.schema and {r["doc_id"] for r in clean.collect()} == docs.keys() - {i for i, _ in leaks}
+    assert decontam.without_leaks(d, b.limit(0)).count() == d.count()
+
+
+def test_a_benchmark_in_parts(spark):
+    items, docs, leaks = leak_corpus()
+    d, b = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    whole, parts = ({tuple(r) for r in decontam.find_leaks(d, b, part=p).collect()} for p in (1 << 20, 1000))
+    assert len(list(decontam._parts(b, "item_id", "text", 3, 1000))) > 1 and parts == whole
+    assert {r["doc_id"] for r in decontam.without_leaks(d, b, part=1000).collect()} == docs.keys() - {i for i, _ in leaks}
+
+
+def test_leaks_with_odd_rows(spark):
+    """Null and text ids, repeated rows, ids of several texts, ties and very long texts."""
+    item = " ".join(VOCAB[:25])
+    far = " ".join(VOCAB[100:] * 500)
+    rows = [(None, item), ("x", item), ("x", item), ("x", "clean " + far), ("y", f"{far} {item} {far} {item}")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    b = spark.createDataFrame([(None, item), ("i", item), ("i", item + " and some more"), ("j", None)], "item_id string, text string")
+    got = sorted((r["doc_id"] or "", r["item_id"] or "", r["score"], r["start_word"]) for r in decontam.find_leaks(d, b).collect())
+    at = len(far.split())
+    assert got == [("", "", 1.0, 0), ("", "i", 1.0, 0), *[("x", "", 1.0, 0)] * 2, *[("x", "i", 1.0, 0)] * 2, ("y", "", 1.0, at), ("y", "i", 1.0, at)]
+    assert [r["doc_id"] for r in decontam.without_leaks(d, b).collect()] == ["x"]
+
+
+def test_an_item_that_opens_and_closes_alike():
+    """Only the closing phrase of a copy has a whole seed: its place in the item is the later one."""
+    item = "a b c " + " ".join(f"m{i}" for i in range(14)) + " a b c"
+    copy = " ".join(f"m{i}" if i % 3 else f"x{i}" for i in range(14)) + " a b c"
+    bench = decontam.Benchmark.of([(1, item)], 3)
+    got = decontam.leaks_of(bench, "q " * 40 + copy, 0.3)
+    want = brute_sw(item.split(), ("q " * 40 + copy).split()) / (2 * len(item.split()))
+    assert got[1][0] == pytest.approx(want)
 
 
 def test_leak_that_is_everywhere(spark):
@@ -219,8 +284,25 @@ def test_stages_keep_the_columns(spark, sf):
 
 
 def test_near_duplicates_with_repeated_ids(spark, sf):
+    """Both clean texts of an id stay, of repeated rows one, of a text without an id one."""
     a, b = "a b c d e f g", "quite another text than that"
-    rows = [(1, a), (1, a), (2, a), (None, a), (3, b), (3, b), (4, None), (5, "")]
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = sorted((r["doc_id"] or 0) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
-    assert got == [0, 1, 3, 4, 5]
+    rows = [(1, a), (1, a), (2, a), (None, a), (3, b), (3, b), (3, "and a third one here too"), (4, None), (5, ""), (None, "only here without any id"), (None, LONG), (None, LONG), (7, LONG + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 8) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, digest int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert got == sorted([(1, a), (3, b), (3, "and a third one here too"), (4, ""), (5, ""), (0, "only here without any id"), (7, LONG + " tail")])
+
+
+def test_a_leak_without_an_id_goes(spark, tmp_path):
+    item = " ".join(VOCAB[:30])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(None, item), (None, "clean"), (1, "x " + item), (1, "clean too")], "doc_id long, text string")
+    assert sorted(r["text"] for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == ["clean", "clean too"]
+
+
+def test_the_pipeline_leaves_other_results_and_settings(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before, held = dict(spark.conf.getAll), packing.pack(docs)
+    assert corpus_pipeline.run(spark, sf).count()
+    assert held.count() and dict(spark.conf.getAll) == before
