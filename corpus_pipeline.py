@@ -7,72 +7,66 @@ most.  Every stage but the last returns the columns of documents.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontam, langid, ngram_join, packing, secrets
-from loomgraph.llm.common import checked, fold, materialise, release
-
-
-#: Documents of an Arrow batch at most, so that a batch of long texts stays small in both processes.
-BATCH_ROWS = "2000"
-
-
-def small_batches(stage):
-    """A stage whose Python batches hold at most BATCH_ROWS documents."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
+from loomgraph.llm.common import checked, fold, materialise, scope
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts of no likely language."""
+    """Rejects texts without a letter (null and empty ones too) and texts of no likely language.
+
+    The model learns from the rows with a language whose id's fold is not 2; rows are judged one by
+    one, so repeated rows and null ids go the way of their text.
+    """
     return langid.keep_known(docs, langid.train(docs, fold("doc_id", 4) != 2))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each class of near copies, once."""
-    classes = materialise(ngram_join.similarity_classes(docs), "classes")
-    dropped = materialise(classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "dropped")
-    kept = docs.join(checked(dropped), "doc_id", "left_anti").select(docs.columns)
-    # rows that repeat an id: the first of them in order of the text
-    again = materialise(classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    """Keeps one row of each class of near copies: that of the smallest id, then of the smallest
+    digest of the text; of rows that repeat both, the least in order of all columns.
+
+    Rows are told apart by id and text, so all clean texts of one id, or of none, stay.  Null and
+    empty texts and texts without words but their own are classes of their own and stay.
+    """
+    rows = materialise(ngram_join.similarity_rows(docs), "rows")
+    of = lambda side: docs["doc_id"].eqNullSafe(side["doc_id"]) & (ngram_join.text_digest(docs["text"]) == side["digest"])
+    gone = materialise(rows.where(~F.col("head")).select("doc_id", "digest").distinct(), "gone")
+    again = rows.where(F.col("head") & F.col("digest").isNotNull()).groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    again = materialise(again.where("n > 1").select("doc_id", "digest"), "again")
     if again.isEmpty():
-        return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    one = kept.join(checked(again), "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return kept.join(checked(again), "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+        return docs.join(checked(gone), of(gone), "left_anti")
+    kept = docs.join(checked(gone.unionByName(again)), of(gone), "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = docs.join(checked(again), of(again), "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("one"))
+    return kept.unionByName(one.select("doc_id", "text", "one.*").select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a copy, whole or edited, of a benchmark item."""
-    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(checked(materialise(leaks.select("doc_id").distinct(), "leaks")), "doc_id", "left_anti").select(docs.columns)
+    """Drops rows whose text holds a copy, whole or edited, of a benchmark item, whatever their
+    id; null and empty texts hold none."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; no document is dropped."""
+    """Replaces secrets in the texts; no row is dropped.  Null and empty texts stay as they are."""
     found = secrets.redact(docs, secrets.train(), path_col="source")
     return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences, row by row; null texts count as empty."""
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", small_batches(language_id)),
-    ("near_duplicates", small_batches(near_duplicates)),
-    ("decontamination", small_batches(decontamination)),
-    ("secret_scan", small_batches(secret_scan)),
-    ("packing", small_batches(packing_stage)),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packing_stage),
 ]
 
 #: Models, signatures and packing are beyond SQL; tests hold each stage against brute force.
@@ -81,8 +75,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, from the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-        release(spark, keep=1)
+        now: list[str] = []
+        with scope(spark, before):  # what a stage wrote for itself, and its input, go when its output stands
+            docs = materialise(stage(spark, docs, sf_dir), name, now)
+        before = now
     return STAGES[-1][1](spark, docs, sf_dir)
