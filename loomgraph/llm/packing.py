@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import BATCH_BYTES, column, materialise, slices
 from .tokens import load, tokenizer_path
@@ -31,8 +32,11 @@ LENGTH, END = 2048, 1
 SHARD_TOKENS, PIECE_TOKENS = 1_000_000, 32_768
 #: Pieces of a shard (in expectation) whose keys are read to find the bounds of shards.
 SHARD_SAMPLE = 50
-#: Rarest terms of a seed that query the index, and BM25's constants.
-QUERY_TERMS, K1, B = 16, 1.2, 0.75
+#: BM25's constants.
+K1, B = 1.2, 0.75
+#: Terms that at least one in COMMON pieces has are scored for all seeds by one product of matrices, in shards
+#: of at most DENSE pieces; the result is the same.
+COMMON, DENSE = 16, 4096
 
 
 class Encoder:
@@ -118,13 +122,14 @@ def tokenised(docs: DataFrame, path: str | None, tokenizer: str, id_col: str, te
                     ids.append(x[at : at + piece_tokens].tobytes())
             yield _rows(docs_, starts, totals, ids, size.itemsize)
         at = np.flatnonzero(frequency)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(frequency[at], pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(np.zeros(len(at)), pa.int32())], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), pa.array(at, pa.int64()), pa.array(frequency[at], pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(np.zeros(len(at)), pa.int32())], names=_NAMES)
 
     def _rows(a, b, c, d, width):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary()), pa.array([width] * len(a), pa.int32())], names=_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary()), pa.array([width] * len(a), pa.int32())], names=_NAMES)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, start long, doc_tokens long, ids binary, width int")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = to_arrow_type(rows.schema["id"].dataType)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, start long, doc_tokens long, ids binary, width int")
 
 
 _NAMES = ["id", "start", "doc_tokens", "ids", "width"]
@@ -159,33 +164,55 @@ def shard_bounds(keys: np.ndarray, weights: np.ndarray, shards: int) -> np.ndarr
 
 
 class Index:
-    """BM25 inverted index of the pieces of a shard."""
+    """BM25 inverted index of the pieces of a shard; every distinct term of a seed queries it.
+
+    Postings of common terms are kept as a matrix, so that their part of all scores is one product.
+    """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.idf, n = idf, len(ids)
+        n = self.n = len(ids)
         owner = np.repeat(np.arange(n, dtype=np.int64), [len(x) for x in ids])
         key = np.sort(np.concatenate(ids).astype(np.int64) * n + owner)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         tf = np.diff(np.append(first, len(key)))
-        term, self.doc = key[first] // n, key[first] % n
+        term, doc = key[first] // n, key[first] % n
         norm = K1 * (1 - B + B * np.array([len(x) for x in ids]) / max(mean, 1))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        self.start = np.searchsorted(term, np.arange(len(idf) + 1))
+        weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        held = np.bincount(term)[term]
+        common = (held * COMMON >= n) & (held > 1) & (n <= DENSE)
+        rare = (held > 1) & ~common  # a term of one piece finds no other
+        self.dense = self._product(term[common], doc[common], weight[common]) if common.any() else None
+        self.term, self.doc, self.weight = term[rare], doc[rare], weight[rare]
         order = np.argsort(self.doc, kind="stable")
-        self.terms = np.split(term[order], np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
-        self.n = n
+        mine = np.cumsum(np.bincount(self.doc, minlength=n))[:-1]
+        # the postings of each rare term of each piece
+        self.lo = np.split(np.searchsorted(self.term, self.term[order], side="left"), mine)
+        self.hi = np.split(np.searchsorted(self.term, self.term[order], side="right"), mine)
+
+    def _product(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        _, at = np.unique(term, return_inverse=True)
+        out, start = np.zeros((self.n, self.n), np.float32), 0
+        width = max(1, (1 << 22) // self.n)  # terms of a block
+        for first in range(0, int(at[-1]) + 1, width):
+            stop = int(np.searchsorted(at, first + width))
+            block = np.zeros((self.n, width), np.float32)
+            block[doc[start:stop], at[start:stop] - first] = weight[start:stop]
+            out += (block > 0).astype(np.float32) @ block.T
+            start = stop
+        return out
+
+    def scores(self, i: int) -> np.ndarray:
+        """The scores of all pieces for the distinct terms of piece ``i`` that another piece has; 0 for itself."""
+        score = np.zeros(self.n) if self.dense is None else self.dense[i].astype(np.float64)
+        spans = [slice(a, b) for a, b in zip(self.lo[i], self.hi[i])]
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        score[i] = 0
+        return score
 
     def neighbours(self, i: int) -> np.ndarray:
-        """The other pieces, best first, that share one of the rarest terms of piece ``i``."""
-        t = self.terms[i]
-        t = t[self.start[t + 1] - self.start[t] > 1]  # terms that another piece has too
-        if len(t) > QUERY_TERMS:
-            t = t[np.argpartition(-self.idf[t], QUERY_TERMS)[:QUERY_TERMS]]
-        if not len(t):
-            return np.zeros(0, np.int64)
-        spans = [slice(self.start[x], self.start[x + 1]) for x in t]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
-        score[i] = 0
+        """The other pieces that share a term with piece ``i``, best first; of equal ones the first."""
+        score = self.scores(i)
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -239,13 +266,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     A document's ids are the tokenizer's, then id 1; null and empty texts have that id alone.
     Each id lies in exactly one piece; sequences hold ``length`` ids, or a smaller power of two at
-    the end of a shard, and are gapless.  Repeated rows are packed each; ids may be null or repeat;
-    extra columns are ignored; an empty table gives an empty one.  Shards are ranges of
+    the end of a shard, and are gapless.  Repeated rows are packed each; document ids are of any
+    ordered type and may be null or repeat; of equal scores the piece comes first that does in
+    order of id, start and tokens; extra columns are ignored; an empty table gives an empty one.  Shards are ranges of
     keys of lexical locality (see Keys) with about equal numbers of tokens; neighbours in other
     shards are not found (the README has the measured share).
     """
     table = materialise(tokenised(docs, path, tokenizer, id_col, text_col, piece_tokens, batch_bytes), "ids")
-    pieces = table.where(F.col("ids").isNotNull())
+    pieces, kind = table.where(F.col("ids").isNotNull()), table.schema["id"].dataType.simpleString()
     n, total = pieces.agg(F.count_if(F.col("start") == 0), F.coalesce(F.sum(F.octet_length("ids") / F.col("width")), F.lit(0))).first()
     terms = table.where(F.col("ids").isNull()).groupBy("start").agg(F.sum("doc_tokens").alias("n")).collect()  # at most the vocabulary
     frequency = np.zeros(max([int(r["start"]) for r in terms], default=0) + 1)
@@ -255,7 +283,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     mean, shards = float(total) / max(n, 1), max(1, round(float(total) / shard_tokens))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("id", "ascending"), ("start", "ascending")])
+        t = t.sort_by([("id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
         width, shard = t.column("width")[0].as_py(), t.column("shard")[0].as_py()
         ids = [np.frombuffer(x, f"<u{width}") for x in t.column("ids").to_pylist()]
         index = Index(ids, idf, mean)
@@ -287,7 +315,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         drawn = pieces.withColumn("weight", F.greatest(expected, F.lit(1.0))).where(F.pmod(F.xxhash64(F.lit("shard"), "own"), F.lit(1 << 30)) / float(1 << 30) < expected)
         sample = drawn.select("ids", "width", "own", "weight").mapInArrow(sampled, "key long, weight double").toArrow()
         bounds = shard_bounds(sample.column("key").to_numpy(), sample.column("weight").to_numpy(), shards)
-        dealt = pieces.mapInArrow(deal, "id long, start long, doc_tokens long, ids binary, width int, shard long")
+        dealt = pieces.mapInArrow(deal, f"id {kind}, start long, doc_tokens long, ids binary, width int, shard long")
     else:
         dealt = pieces.withColumn("shard", F.lit(0).cast("long"))
-    return dealt.groupBy("shard").applyInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return dealt.groupBy("shard").applyInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)

@@ -127,21 +127,67 @@ def test_near_copies_share_a_shard(spark):
     assert len(size) > 5 and max(size.values()) < 3 * 8000
 
 
-def test_bm25_by_brute_force():
+@pytest.mark.parametrize("common", [1, 4, 1000])
+def test_bm25_by_brute_force(monkeypatch, common):
+    """All pieces that share a term, by all terms, best first, however common terms are scored."""
+    monkeypatch.setattr(packing, "COMMON", common)
     r = np.random.default_rng(2)
-    docs = [r.integers(0, 40, r.integers(5, 60)) for _ in range(30)]
-    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=41)
-    idf, mean = np.log(1 + (30 - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean([len(d) for d in docs]))
+    docs = [r.zipf(1.3, r.integers(5, 90)) % 300 for _ in range(60)] + [np.array([299, 298])] * 2 + [np.array([400])]
+    n, df = len(docs), np.zeros(401)
+    for d in docs:
+        df[np.unique(d)] += 1
+    idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean([len(d) for d in docs]))
     index = packing.Index(docs, idf, mean)
-    for i in (0, 7):
-        terms = [t for t in np.unique(docs[i]) if df[t] > 1]
-        terms = sorted(terms, key=lambda t: -idf[t])[: packing.QUERY_TERMS] if len(terms) > packing.QUERY_TERMS else terms
+    for i in range(n):
+        terms = np.unique(docs[i])
+        want = np.array([0 if j == i else sum(idf[t] * (k := int((docs[j] == t).sum())) * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(docs[j]) / mean)) for t in terms) for j in range(n)])
+        assert index.scores(i) == pytest.approx(want, rel=1e-4)
         got = index.neighbours(i)
-        score = lambda j: sum(idf[t] * (n := int((docs[j] == t).sum())) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[j]) / mean)) for t in terms)  # noqa: B023,E731
-        values = [score(j) for j in got]
-        if len({round(float(idf[t]), 5) for t in terms}) == len(terms) or len(terms) < packing.QUERY_TERMS:
-            assert all(a >= b - 1e-4 for a, b in zip(values, values[1:]))
-        assert i not in got
+        assert sorted(got) == np.flatnonzero(want).tolist()
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(got, got[1:]))
+
+
+def brute_pack(sizes, neighbours, length):
+    """Greedy filling as stated: a window takes its seed, then the seed's unused neighbours, best
+    first; without one the next unused piece is a new seed.  What a window cuts seeds the next,
+    or else the best neighbour that the last seed has left."""
+    rest, unused, out, left = sum(sizes), list(range(len(sizes))), [], None
+    seq, ranked = 0, None
+    while rest:
+        room = length if rest >= length else 1 << (rest.bit_length() - 1)
+        rest -= room
+        offset = 0
+        while room:
+            if left is None:
+                i = next((j for j in ranked or [] if j in unused), None)
+                if i is None:
+                    i, ranked = unused[0], None
+                unused.remove(i)
+                left = (i, 0)
+            i, begin = left
+            if ranked is None or not offset:
+                ranked = list(neighbours(i))
+            take = min(room, sizes[i] - begin)
+            out.append((i, begin, take, seq, offset))
+            offset, room = offset + take, room - take
+            left = (i, begin + take) if begin + take < sizes[i] else None
+        seq += 1
+    return out
+
+
+def test_greedy_filling_by_brute_force():
+    r = random.Random(7)
+    for _ in range(60):
+        sizes = [r.randint(1, 40) for _ in range(r.randint(1, 30))]
+        near = {i: [j for j in r.sample(range(len(sizes)), len(sizes)) if j != i][: r.randint(0, 9)] for i in range(len(sizes))}
+        got = packing.pack_shard(np.array(sizes), lambda i: np.array(near[i], int), 32)
+        assert got == brute_pack(sizes, near.__getitem__, 32)
+
+
+def test_ids_that_are_texts(spark):
+    docs = spark.createDataFrame([("b", "one text"), ("a", "another text"), (None, None)], "doc_id string, text string")
+    rows = packing.pack(docs).collect()
+    assert {r["doc_id"] for r in rows} == {"a", "b", None} and sum(r["length"] for r in rows if r["doc_id"] is None) == 1
 
 
 @pytest.mark.parametrize("total", [1, 2047, 2048, 5000])
