@@ -22,8 +22,8 @@ PASSAGE, CLASSES = 64, 12
 EXTRA = 4
 WIDTH = CLASSES * CLASSES + EXTRA
 HIDDEN, ATTENTION = 24, 12
-#: Labelled documents that the fit uses in expectation, and passages of one that it reads at most.
-SAMPLE, TRAIN_PASSAGES = 4000, 2000
+#: Labelled documents that the fit uses in expectation, each with all its passages.
+SAMPLE = 4000
 
 
 @lru_cache(maxsize=1)
@@ -157,8 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     """Learns from labelled documents for which ``learn`` (over the column ``id``) holds.
 
     Several labels of a document are averaged and rounded; null labels are ignored.  The fit uses
-    ``sample`` documents in expectation, chosen by hash of the id, each with at most
-    TRAIN_PASSAGES passages (scoring always reads whole texts).
+    ``sample`` documents in expectation, chosen by hash of the id, each with all its passages.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y")).where(learn)
     n = marks.count()
@@ -167,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            x = [passages(t)[:TRAIN_PASSAGES].astype("<f4").tobytes() for t in column(b, "text").to_pylist()]
+            x = [passages(t).astype("<f4").tobytes() for t in column(b, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "y"), pa.array(x, pa.binary())], names=["id", "y", "x"])
 
     got = sorted(map(tuple, rows.select("id", "y", "text").mapInArrow(features, f"id {rows.schema['id'].dataType.simpleString()}, y int, x binary").collect()))
