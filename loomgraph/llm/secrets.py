@@ -11,13 +11,14 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import code_points, column, slices
 
 #: Candidates: values assigned to telling names (see telling), and long runs (kept if they have a digit or mixed case).
 ASSIGNED = re.compile(r"(?<!\w)(\w[\w-]*+)[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?(?=([^\s\"',;]{8,}))")
@@ -34,9 +35,12 @@ config default value string number public private key token secret password acce
 common module package class function method object array table column query select insert delete result error warning message event action button label title header footer section style script source target
 change create remove replace search filter sort group order count total sum average""".split())
 TRANSITIONS = ("ll", "lu", "ld", "lo", "ul", "uu", "ud", "uo", "dl", "du", "dd", "do", "ol", "ou", "od", "oo")
-_KIND = {**{c: "l" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "u" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "d" for c in "0123456789"}}
+_KINDS = np.full(128, 3, np.uint8)  # lower case, upper case, digits, others
+for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")):
+    _KINDS[[ord(c) for c in _chars]] = _k
 _TEST_PATH = re.compile(r"(?i)(test|example|sample|mock|fixture|spec|doc)s?\b")
 _LOCK_PATH = re.compile(r"(?i)(\.lock|lock\.json|\.sum|\.svg|\.map|\.md)$")
+_NOT_HEXA = re.compile(r"[^0-9a-fA-F]")
 _NEAR = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 CONTEXT = 48
 
@@ -69,34 +73,31 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def coverage(s: str) -> float:
+@lru_cache(maxsize=4)
+def _words_in(dictionary: frozenset[str]) -> re.Pattern:
+    """Finds words of three letters and more from left to right, the longest first."""
+    words = sorted((w for w in dictionary if len(w) > 2), key=lambda w: (-len(w), w))
+    return re.compile("|".join(map(re.escape, words)) or r"(?!)")
+
+
+def coverage(s: str, dictionary: frozenset[str] = DICTIONARY) -> float:
     """Share of the characters that dictionary words of three letters and more cover."""
-    low, done, i = s.lower(), 0, 0
-    while i < len(low):
-        for n in range(min(12, len(low) - i), 2, -1):
-            if low[i : i + n] in DICTIONARY:
-                done += n
-                i += n
-                break
-        else:
-            i += 1
-    return done / max(len(s), 1)
-
-
-def features(secret: str, before: str, after: str, path: str | None) -> list[float]:
-    """Length, entropy, class shares and transitions, coverage, path and neighbouring words."""
-    s = secret
-    kinds = "".join(_KIND.get(c, "o") for c in s)
-    n = len(s)
-    moves = {t: 0 for t in TRANSITIONS}
-    for a, b in zip(kinds, kinds[1:]):
-        moves[a + b] += 1
-    entropy = -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
+    return sum(map(len, _words_in(dictionary).findall(s.lower()))) / max(len(s), 1)
+
+
+def features(secret: str, before: str, after: str, path: str | None, dictionary: frozenset[str] = DICTIONARY) -> list[float]:
+    """Length, entropy, class shares and transitions, coverage, path and neighbouring words, of the
+    whole candidate."""
+    codes, n = code_points(secret), len(secret)
+    kinds = _KINDS[np.minimum(codes, 127)]
+    shares = np.bincount(kinds, minlength=4) / n
+    moves = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16) / max(n - 1, 1)
+    seen = np.unique(codes, return_counts=True)[1] / n
     near = _NEAR.findall(before)[-3:] + _NEAR.findall(after)[:1]
     parts = {p for w in near for p in [w.lower(), *w.lower().split("_"), *(x.lower() for x in _PART.findall(w))]}
     return [
-        math.log(len(secret)), entropy, *(kinds.count(k) / n for k in "ludo"), *(moves[t] / max(n - 1, 1) for t in TRANSITIONS), coverage(s),
-        float(all(c in "0123456789abcdefABCDEF" for c in s)), float(s.isdigit()), s.count(".") / n, s.count("-") / n,
+        math.log(n), float(-(seen * np.log2(seen)).sum()), *shares.tolist(), *moves.tolist(), coverage(secret, dictionary),
+        float(not _NOT_HEXA.search(secret)), float(secret.isdigit()), secret.count(".") / n, secret.count("-") / n,
         float(bool(parts & FOR) or any(map(telling, near))), float(bool(parts & AGAINST)), float(before.rstrip()[-1:] in ("=", ":") or before.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in "\"'" if before else False), float("@" in before[-1:] or "@" in after[:1]),
         float(bool(_TEST_PATH.search(path or ""))), float(bool(_LOCK_PATH.search(path or ""))),
     ]
@@ -149,9 +150,11 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
 
 @dataclass
 class Forest:
-    """Trees as arrays: feature (-1 at leaves), threshold, children, and the share of label 1."""
+    """Trees as arrays: feature (-1 at leaves), threshold, children, and the share of label 1; and
+    the words that the coverage feature knows."""
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    dictionary: frozenset[str] = DICTIONARY
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if not self.trees or not len(x):
@@ -209,11 +212,13 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 10, l
     return Forest(grown)
 
 
-def train(findings: list[tuple[str, str, str, str, int]] | None = None) -> Forest:
-    """Learns from labelled findings (candidate, before, after, path, label); see labelled_findings."""
+def train(findings: list[tuple[str, str, str, str, int]] | None = None, dictionary: frozenset[str] = DICTIONARY) -> Forest:
+    """Learns from labelled findings (candidate, before, after, path, label); see labelled_findings.
+    A larger dictionary, such as a corpus's frequent words, can be passed."""
     rows = labelled_findings() if findings is None else findings
-    x = np.array([features(*r[:4]) for r in rows], float).reshape(len(rows), -1)
-    return fit_forest(x, np.array([r[4] for r in rows], float))
+    x = np.array([features(*r[:4], dictionary) for r in rows], float).reshape(len(rows), -1)
+    grown = fit_forest(x, np.array([r[4] for r in rows], float))
+    return Forest(grown.trees, dictionary)
 
 
 def judged(text: str | None, path: str | None, forest: Forest) -> list[tuple[int, int, float]]:
@@ -221,7 +226,7 @@ def judged(text: str | None, path: str | None, forest: Forest) -> list[tuple[int
     spans = candidates(text)
     if not spans:
         return []
-    x = np.array([features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path) for a, b in spans])
+    x = np.array([features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path, forest.dictionary) for a, b in spans])
     return [(a, b, float(p)) for (a, b), p in zip(spans, forest.predict(x))]
 
 
