@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,25 +13,31 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, column, slices
 
-#: Entries that each of the two generations of a worker's cache of pieces holds at most.
-CACHE = 500_000
+#: Bytes, about, that each of the two generations of a worker's cache of pieces holds at most; what
+#: an entry takes beside its characters; and the characters of a piece that is kept.
+CACHE, ENTRY, LONGEST = 48 << 20, 160, 48
 #: Marks that, at the end of a piece and after a letter or digit, are always pre-tokens themselves.
 MARKS = frozenset(".,;:!?")
+#: Places in texts without blanks where no token spans: between a wide mark and a letter of such scripts.
+_WIDE = re.compile("(?<=[\u3001\u3002\uff0c\uff01\uff1f\uff1b\uff1a])(?=[\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3])")
 
 
 class PieceCache:
     """What is known of pieces; when full, the entries not used since the last time are forgotten."""
 
     def __init__(self, limit: int = CACHE):
-        self.limit, self.known, self.old = limit, {}, {}
+        self.limit, self.known, self.old, self.held = limit, {}, {}, 0
 
     def lacking(self, pieces: set[str]) -> list[str]:
         """Those of the pieces that have to be computed; the others are known afterwards."""
         new = pieces.difference(self.known)
         if not new:
             return []
-        if len(self.known) + len(new) > self.limit:
-            self.old, self.known, new = self.known, {}, pieces
+        size = ENTRY * len(new) + 2 * sum(map(len, new))
+        if self.held + size > self.limit:
+            self.old, self.known, self.held, new = self.known, {}, 0, pieces
+            size = ENTRY * len(new) + 2 * sum(map(len, new))
+        self.held += size
         if self.old:
             kept = {p: self.old[p] for p in new if p in self.old}
             self.known.update(kept)
@@ -70,13 +77,29 @@ def load(path: str):
 
 
 def safe_pieces(text: str) -> list[str]:
-    """Splits at ASCII blanks and line feeds.
+    """Splits at ASCII blanks and line feeds, and long pieces also after wide marks.
 
     For tokenizers that drop white space before they form words (as word_bpe_49k does), no token
     spans such a boundary, and neither NFC nor lower-casing looks across it; so the counts of the
     pieces add up to the count of the whole text.
     """
-    return text.replace("\n", " ").split(" ")
+    pieces = text.replace("\n", " ").split(" ")
+    if len(text) > LONGEST * len(pieces) and not text.isascii():
+        return [q for p in pieces for q in (_WIDE.split(p) if len(p) > LONGEST else (p,))]
+    return pieces
+
+
+def segments(text: str, limit: int) -> Iterator[str]:
+    """The text in parts of at most ``limit`` characters, cut at blanks (a longer run without one stays whole)."""
+    start = 0
+    while len(text) - start > limit:
+        cut = text.rfind(" ", start, start + limit)
+        cut = cut if cut > start else text.find(" ", start + limit)
+        if cut < 0:
+            break
+        yield text[start:cut]
+        start = cut + 1
+    yield text[start:]
 
 
 def fold_case(piece: str) -> str:
@@ -88,14 +111,20 @@ def count_lengths(texts: list[str | None], path: str, cache: PieceCache) -> list
     """The number of tokens of each text; each distinct piece is encoded once (see safe_pieces)."""
     encode = load(path).encode_batch_fast
     split = [safe_pieces(text) if text else [] for text in texts]
-    if new := cache.lacking(set().union(*split)):
+    every = set().union(*split)
+    long = [p for p in every if len(p) > LONGEST]
+    every.difference_update(long)
+    if new := cache.lacking(every):
         parts = [(p, fold_case(q), mark) for p in new for q, mark in [stem(p)]]
         known = cache.known
         words = list(({w for _, w, _ in parts} | {mark for _, _, mark in parts}).difference(known))
         known.update(zip(words, (len(e.ids) for e in encode(words, add_special_tokens=False))))
         known[""] = 0
         known.update([(p, known[w] + known[mark]) for p, w, mark in parts])
-    return [sum(map(cache.known.__getitem__, pieces)) for pieces in split]
+    if not long:
+        return [sum(map(cache.known.__getitem__, pieces)) for pieces in split]
+    own = dict(zip(long, (len(e.ids) for e in encode(long, add_special_tokens=False))))  # never kept
+    return [sum(own[p] if len(p) > LONGEST else cache.known[p] for p in pieces) for pieces in split]
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", path: str | None = None, batch_bytes: int = BATCH_BYTES // 4) -> DataFrame:
@@ -112,7 +141,11 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         file = path or tokenizer_path(tokenizer)
         cache = cache_of(file)
         for b in slices(batches, "text", batch_bytes):
-            n = count_lengths(column(b, "text").to_pylist(), file, cache)
+            texts = column(b, "text").to_pylist()
+            if len(texts) == 1 and texts[0]:  # what is longer than a batch comes alone
+                n = [sum(k for part in segments(texts[0], batch_bytes) for k in count_lengths([part], file, cache))]
+            else:
+                n = count_lengths(texts, file, cache)
             yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "n_bytes"), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
