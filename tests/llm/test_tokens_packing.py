@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from loomgraph.llm import packing, tokens
 
-ODD = ["a", "B", "é", "'s", " ", "  ", "\n", "\t", ".", "!", "1", "²", "\u3000", "<|endoftext|>", "<|startoftext|>", "x.", "\x1c", "日", "\u0301", " \n", "İ", "Σ", "ς", "word", "Word,", "\u00a0"]
+ODD = ["a", "B", "é", "'s", " ", "  ", "\n", "\t", ".", "!", "1", "²", "\u3000", "<|endoftext|>", "<|startoftext|>", "x.", "\x1c", "日", "\u0301", " \n", "İ", "Σ", "ς", "word", "Word,", "\u00a0", "。", "，本", "語ガ", "\u3099", "한글", "！", "か"]
 
 
 def _load(name):
@@ -44,12 +44,34 @@ def test_ids_of_whole_documents(sf):
 
 def test_cache_generations():
     path, tok = _load("word_bpe_49k.json")
-    r, cache = random.Random(1), tokens.PieceCache(limit=50)
+    r, cache = random.Random(1), tokens.PieceCache(limit=50 * tokens.ENTRY)
     texts = [" ".join("".join(r.choices("abcde.", k=r.randint(1, 3))) for _ in range(30)) for _ in range(60)]
     got = [n for t in texts for n in tokens.count_lengths([t], path, cache)]
     assert got == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_the_cache_is_bounded_in_bytes():
+    """Texts without blanks are split at wide marks, and long pieces are never kept."""
+    path, tok = _load("word_bpe_49k.json")
+    r, cache = random.Random(3), tokens.PieceCache(limit=40_000)
+    wide = "日本語を話す人々が街を歩く中国文字한글이다ガギ"
+    for _ in range(60):
+        text = "".join("".join(r.choices(wide, k=r.randint(1, 30))) + r.choice("。，、！？x") for _ in range(40)) + "q" * r.randint(0, 300)
+        assert max(map(len, tokens.safe_pieces(text))) < len(text)
+        assert tokens.count_lengths([text], path, cache) == [len(tok.encode(text, add_special_tokens=False).ids)]
+        assert all(len(p) <= tokens.LONGEST for p in cache.known)
+        assert sum(tokens.ENTRY + 2 * len(p) for p in cache.known) <= 2 * 40_000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*ODD, " ", " "]), max_size=60).map("".join), st.integers(1, 30))
+def test_segments_count_as_the_whole(text, limit):
+    path, tok = _load("word_bpe_49k.json")
+    parts = list(tokens.segments(text, limit))
+    assert " ".join(parts) == text
+    assert sum(tokens.count_lengths(parts, path, tokens.PieceCache())) == len(tok.encode(text, add_special_tokens=False).ids)
+
+
 def test_token_counts_edges(spark):
     _, tok = _load("word_bpe_49k.json")
     rows = [(1, "Hello, world", 5, "x"), (1, "Hello, world", 5, "x"), (2, None, None, None), (3, "", 0, ""), (None, "été", 1, "y"), (4, "long text " * 100_000, 0, "")]
