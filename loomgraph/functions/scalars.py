@@ -7,9 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stop words of the prompt keywords, of the context keywords and of the intents.
+# Stop words of the prompt keywords, of the context keywords, of conflicts and of the intents.
 PROMPT_STOP = """the a an in on at to for of and or is it fix add update change modify make create bug issue error problem feature function file code new old all this that from with move remove delete refactor should can will must need want""".split()
 CONTEXT_STOP = """a an the and or for in on of to how does do is are add new create make update fix get set this that with from what where when why should can will need want like just also some all any my your""".split()
+CONFLICT_STOP = """the a an in on at to for of and or is are was be not no from with all must should can cannot will this that""".split()
 INTENT_STOP = """the a an in on at to for of and or is are was be not no from with add create modify change update delete remove fix move refactor new old all this that should can will must need want please function method class module file package endpoint route handler component service""".split()
 
 
@@ -50,27 +51,49 @@ def glob_regex(pattern: str, compatible: bool = False) -> str:
 
 
 def capitalise(s: Column) -> Column:
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.expr("''") if s is None else F.substring(s, F.lit(2), F.char_length(s)))
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.char_length(s)))
 
 
-# Leading verbs of names and how a purpose is phrased from them.
+# Leading verbs of names and how a purpose is phrased from them; result types of
+# components; parameters that tell nothing.
 HOOKS, HANDLERS, GETTERS, SETTERS, CHECKERS = ["use"], ["handle", "on"], ["get", "fetch", "load", "find", "query", "read", "retrieve"], ["set", "update", "save", "write", "put", "store"], ["is", "has", "can", "should", "check", "validate"]
+COMPONENT_TYPES = ["jsx.element", "react.reactnode", "reactnode", "react.jsx.element", "react.fc", "reactelement"]
+PLAIN_PARAMS = ["e", "event", "ctx", "props", "args", "_"]
 
 
-def purpose(name: Column) -> Column:
-    """A readable purpose from a name: hook, handler, getter, setter, checker or plain words."""
+def purpose(name: Column, params: Column | None = None, return_type: Column | None = None) -> Column:
+    """A readable purpose from a name: component, hook, handler, getter, setter, checker or plain
+    words, the last five with up to three telling parameters (structs with a name) in brackets."""
     w = words_of(name, digits=True, lower=True)
     first, rest = F.try_element_at(w, F.lit(1)), F.array_join(F.slice(w, 2, 1000), " ")
     among = lambda xs: F.array_contains(F.lit(xs), first)
-    return F.trim(
-        F.when(among(HOOKS) & (F.size(w) > 1), F.concat(F.lit("Hook for "), rest))
-        .when(among(HANDLERS), F.concat(F.lit("Handle "), rest))
+    base = (
+        F.when(among(HANDLERS), F.concat(F.lit("Handle "), rest))
         .when(among(GETTERS) | among(SETTERS), F.concat(capitalise(first), F.lit(" "), rest))
         .when(among(CHECKERS), F.regexp_replace(F.concat(F.lit("Check "), F.when(first.isin("is", "has", "can"), "if").otherwise(""), F.lit(" "), rest), "  +", " "))
         .otherwise(capitalise(F.array_join(w, " ")))
     )
+    if params is not None:
+        told = F.filter(F.transform(params, lambda p: p["name"]), lambda n: ~n.isin(PLAIN_PARAMS))
+        base = F.concat(base, F.when(F.size(params).between(1, 3) & (F.size(told) > 0), F.concat(F.lit(" ("), F.array_join(told, ", "), F.lit(")"))).otherwise(""))
+    out = F.when(among(HOOKS) & (F.size(w) > 1), F.concat(F.lit("Hook for "), rest)).otherwise(base)
+    if return_type is not None:
+        component = F.rlike(name, F.lit("^[A-Z]")) & F.coalesce(F.lower(return_type).isin(COMPONENT_TYPES), F.lit(False))
+        out = F.when(component, F.concat(capitalise(F.array_join(w, " ")), F.lit(" component"))).otherwise(out)
+    return F.trim(out)
 
 
+# Languages by file extension.
+LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "cs": "csharp", "swift": "swift", "dart": "dart", "ex": "elixir", "exs": "elixir"}
+
+
+def language_of_extension(ext: Column) -> Column:
+    """The language of a file extension; an unknown extension is its own."""
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, ext), ext)
+
+
+# The phrases that tell the class of a constraint, below, in order.
 def constraint_class(text: Column) -> Column:
     """The class of a free-text constraint; the first that fits."""
     low = F.lower(text)
@@ -92,6 +115,7 @@ def _any(columns: list[Column]) -> Column:
     return out
 
 
+# The grammar of boundary rules.
 DENY, ALLOW, ISOLATED = r"^module:(\S+)\s+cannot\s+import\s+(.+)$", r"^module:(\S+)\s+can\s+only\s+import\s+(.+)$", r"^module:(\S+)\s+(has\s+no\s+imports|is\s+isolated)$"
 
 
@@ -207,5 +231,25 @@ def lines_between(text: Column, first: int, last: int) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), first, last - first + 1), "\n")
 
 
+def lines_between_columns(text: Column, first: Column, last: Column) -> Column:
+    """Lines first..last of a text, counted from 1, by columns; null where any is null."""
+    return F.when((first >= 1) & (last >= first), F.array_join(F.slice(F.split(text, "\n"), first, last - first + 1), "\n"))
+
+
 def title_case(s: Column) -> Column:
     return F.initcap(F.regexp_replace(s, "[-_]", " "))
+
+
+def quick_hash(content: Column) -> Column:
+    """The first 16 digits of the digest of the first 8 KiB (bytes) of a content."""
+    return F.left(F.sha2(F.substring(content.cast("binary"), 1, 8192), 256), F.lit(16))
+
+
+def signature(name: Column, params: Column, return_type: Column, is_async: Column, is_exported: Column | None = None, optional: bool = True) -> Column:
+    """async name(a: T, b?: U): R of a function."""
+    one = lambda p: F.concat(p["name"], F.when(F.coalesce(p["optional"], F.lit(False)), "?").otherwise("") if optional else F.lit(""), F.lit(": "), F.coalesce(p["type"], F.lit("any")))
+    ret = F.when(F.coalesce(return_type, F.lit("")) != "", F.concat(F.lit(": "), return_type)).otherwise("")
+    head = F.when(F.coalesce(is_async, F.lit(False)), "async ").otherwise("")
+    if is_exported is not None:
+        head = F.concat(F.when(F.coalesce(is_exported, F.lit(False)), "export ").otherwise(""), head)
+    return F.concat(head, name, F.lit("("), F.coalesce(F.array_join(F.transform(params, one), ", "), F.lit("")), F.lit(")"), ret)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.storage import checked
 
 from . import graph, relational, search
 
@@ -18,7 +19,7 @@ def seeds(functions: DataFrame, modules: DataFrame, task: str, words: list[str],
     for f in files:
         near = near | F.contains(file, F.lit(f)) | F.contains(F.lit(f), file)
     named = modules.where(F.contains(F.lit(low), F.lower("id")) | F.contains(F.lit(low), F.lower("name"))).select(F.col("id").alias("module_id")).distinct().withColumn("named", F.lit(True))
-    t = functions.join(F.broadcast(named), "module_id", "left")
+    t = functions.join(checked(named), "module_id", "left")
     tier = F.when(near | F.col("module_id").isin(list(focus)), 0).when(search.keyword_score(F.col("name"), file, words) >= 0.45, 1).when(F.col("named"), 2)
     t = t.select("id", tier.alias("tier")).where("tier IS NOT NULL")
     best = t.agg(F.min("tier").alias("best"))
@@ -34,16 +35,19 @@ def scores(functions: DataFrame, calls: DataFrame, start: DataFrame, words: list
 
 
 def snippet(name: Column, file: Column, lines: Column) -> Column:
-    """What a function costs in a context: its signature line and an estimate of its body."""
-    return F.concat(name, F.lit(" "), file, F.repeat(F.lit("x"), (F.greatest(lines, F.lit(0)) * 20).cast("int")))
+    """What a function costs in a context: its signature line and an estimate of its body, whose
+    lines count less in long, compressed bodies."""
+    n = F.greatest(lines, F.lit(0))
+    return F.concat(name, F.lit(" "), file, F.repeat(F.lit("x"), (n * F.when(n > 15, 20).otherwise(40)).cast("int")))
 
 
-def pack(scored: DataFrame, budget: int = 6000, most: int = 80) -> DataFrame:
+def pack(scored: DataFrame, budget: int = 6000, most: int = 80, seeded: bool = True) -> DataFrame:
     """(id, place): the best functions that fit; what does not fit is skipped.
 
-    Only functions with a positive score are candidates, best first.
+    Best first; with seeds only functions with a positive score are candidates, without all are.
     """
-    t = scored.where("score > 0").select("id", (-F.col("score")).alias("rank"), S.estimate_tokens(snippet(F.col("name"), F.col("file"), F.col("size"))).alias("tokens"), F.lit(1).alias("all"))
+    t = scored.where("score > 0") if seeded else scored
+    t = t.select("id", (-F.col("score")).alias("rank"), S.estimate_tokens(snippet(F.col("name"), F.col("file"), F.col("size"))).alias("tokens"), F.lit(1).alias("all"))
     return relational.greedy_pack(t, ["all"], ["rank", "id"], "tokens", budget, most).select("id", "place")
 
 

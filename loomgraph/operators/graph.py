@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.storage import cut
+from loomgraph.storage import BROADCAST_ROWS, cut
+
+
+#: Rounds of a search after which the tables of what was seen become one.
+COMPACT = 8
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, *, most: int | None = None, undirected: bool = False, reverse: bool = True) -> DataFrame:
@@ -20,14 +24,17 @@ def bfs(edges: DataFrame, seeds: DataFrame, *, most: int | None = None, undirect
         e = e.unionByName(e.select(F.col("to").alias("at"), F.col("at").alias("to")))
     e = cut(e)
     seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
-    while most is None or depth < most:
+    frontier, n, depth = seen, seen.count(), 0
+    while n and (most is None or depth < most):
         depth += 1
-        new = e.join(frontier.select(F.col("id").alias("at")), "at").select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = cut(new)
-        if frontier.isEmpty():
-            break
+        at = frontier.select(F.col("id").alias("at"))
+        # a counted small frontier goes to the edges, which then are not shuffled
+        new = e.join(F.broadcast(at) if n <= BROADCAST_ROWS else at, "at").select(F.col("to").alias("id")).distinct()
+        frontier = cut(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        n = frontier.count()
         seen = seen.unionByName(frontier)
+        if depth % COMPACT == 0:
+            seen = cut(seen)
     return seen
 
 
@@ -68,12 +75,30 @@ def exempt(name: Column, file: Column, exported: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def dead(functions: DataFrame, calls: DataFrame, routes: DataFrame | None = None) -> DataFrame:
-    """Functions (id, name, file, module_id, is_exported) without callers and without exemption."""
+def dead(functions: DataFrame, calls: DataFrame, routes: DataFrame | None = None, noted: DataFrame | None = None) -> DataFrame:
+    """Functions (id, name, file, module_id, is_exported) without callers and without exemption.
+
+    Also exempt are handlers of routes and what an exported function of the same file is noted to
+    call.  ``noted`` (src, dst) are the callers that a snapshot notes (the calls themselves by
+    default); functions with noted callers but without a call edge say how many they are.
+    """
+    noted = calls if noted is None else noted
     out = functions.join(calls.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").where(~exempt(F.col("name"), F.col("file"), F.col("is_exported")))
     if routes is not None:
         out = out.join(routes.select(F.col("handler").alias("name")).distinct(), "name", "left_anti").select(functions.columns)
-    return out.withColumn("reason", F.lit("No callers found anywhere in the codebase"))
+    by = noted.join(functions.select(F.col("id").alias("src"), F.col("file").alias("from_file"), F.coalesce("is_exported", F.lit(False)).alias("from_exported")), "src", "left")
+    same = by.join(functions.select(F.col("id").alias("dst"), F.col("file").alias("own_file")), "dst")
+    n = same.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_noted"), F.max(F.coalesce(F.col("from_exported") & (F.col("from_file") == F.col("own_file")), F.lit(False))).alias("_kept"))
+    reason = F.when(F.col("_noted") > 0, F.concat(F.col("_noted").cast("string"), F.lit(" references exist but none resolved to active call edges"))).otherwise("No callers found anywhere in the codebase")
+    return out.join(n, "id", "left").where(~F.coalesce("_kept", F.lit(False))).withColumn("reason", reason).select(*functions.columns, "reason")
+
+
+def dead_classes(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Classes (id, name, file, module_id, is_exported) that no edge (src, dst, type) calls or
+    imports and that are not exported."""
+    used = edges.where(F.col("type").isin("calls", "imports")).select(F.col("dst").alias("id")).distinct()
+    out = classes.join(used, "id", "left_anti").where(~F.coalesce("is_exported", F.lit(False)))
+    return out.withColumn("reason", F.lit("Class has no callers or importers and is not exported"))
 
 
 def dead_by_module(functions: DataFrame, found: DataFrame) -> DataFrame:
@@ -100,9 +125,12 @@ def cross_calls(moded: DataFrame) -> DataFrame:
     return moded.where("from_module <> to_module").groupBy("from_module", "to_module").agg(F.count("*").alias("calls"))
 
 
-def module_health(moded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per module: cohesion, coupling, size and 0.6 cohesion + 0.4 min(1, 10 / size)."""
-    calls = moded.groupBy(F.col("from_module").alias("module_id")).agg(F.count_if(F.col("from_module") == F.col("to_module")).alias("internal"), F.count_if(F.col("from_module") != F.col("to_module")).alias("external"))
+def module_health(moded: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """Per module: cohesion, coupling, size and 0.6 cohesion + 0.4 min(1, 10 / size), over calls
+    and, if given, file imports, both with the modules of their ends."""
+    both = moded.select("from_module", "to_module")
+    both = both if imports is None else both.unionByName(imports.select("from_module", "to_module"))
+    calls = both.groupBy(F.col("from_module").alias("module_id")).agg(F.count_if(F.col("from_module") == F.col("to_module")).alias("internal"), F.count_if(F.col("from_module") != F.col("to_module")).alias("external"))
     size = nodes.groupBy("module_id").agg(F.count("*").alias("functions"))
     t = size.join(calls, "module_id", "left").fillna(0, ["internal", "external"])
     cohesion = F.when(F.col("internal") + F.col("external") == 0, 0.5).otherwise(F.try_divide(F.col("internal").cast("double"), F.col("internal") + F.col("external")))
@@ -124,75 +152,84 @@ def public_api(moded: DataFrame) -> DataFrame:
     return moded.where("from_module <> to_module").select(F.col("dst").alias("id"), F.col("to_module").alias("module_id")).distinct()
 
 
-def coupling(edges: DataFrame) -> DataFrame:
-    """(a, b, pairs, score) for a < b: 2 pairs / (degree a + degree b), edges counted both ways."""
-    e = edges.where("src <> dst")
-    both = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    pairs = both.groupBy("a", "b").agg(F.count("*").alias("pairs"))
-    degree = e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    t = pairs.join(degree.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(degree.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+def coupling(edges: DataFrame, nodes: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(a, b, pairs, score) for files a < b: 2 pairs / (degree a + degree b).
+
+    Pairs counts the call and import edges (src, dst) between two files, both ways; nodes (id,
+    file) tell the file of an end (a file is its own).  Degrees (file, n) count the edges of the
+    file itself, so calls count in pairs only and a score may pass 1; a file without any counts 1.
+    """
+    of = lambda side, name: nodes.select(F.col("id").alias(side), F.col("file").alias(name))
+    e = edges.join(of("src", "fa"), "src").join(of("dst", "fb"), "dst").where("fa <> fb")
+    pairs = e.groupBy(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).agg(F.count("*").alias("pairs"))
+    n = lambda side: degrees.select(F.col("file").alias(side), F.greatest("n", F.lit(1)).alias(f"n{side}"))
+    t = pairs.join(n("a"), "a", "left").join(n("b"), "b", "left").fillna(1, ["na", "nb"])
     return t.select("a", "b", "pairs", F.round(2.0 * F.col("pairs") / (F.col("na") + F.col("nb")), 6).alias("score"))
 
 
-def cluster_confidence(moded: DataFrame) -> DataFrame:
-    """Per module: internal edges over all edges that touch it, 0.5 where there are none."""
-    sides = moded.select(F.explode(F.array_distinct(F.array("from_module", "to_module"))).alias("module_id"), (F.col("from_module") == F.col("to_module")).cast("int").alias("own"))
-    return sides.groupBy("module_id").agg(F.round(F.sum("own").cast("double") / F.count("*"), 6).alias("confidence"))
+def cluster_confidence(moded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per module of the nodes: the share of its outgoing edges that stay inside, 0.5 without any."""
+    out = moded.groupBy(F.col("from_module").alias("module_id")).agg((F.count_if(F.col("from_module") == F.col("to_module")) / F.count("*")).alias("c"))
+    return nodes.select("module_id").distinct().join(out, "module_id", "left").select("module_id", F.round(F.coalesce("c", F.lit(0.5)), 6).alias("confidence"))
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(id): nodes from which a cycle can be reached.
 
-    Nodes without a remaining outgoing edge are peeled off round by round; what stays reaches a
-    cycle.  Each round writes the remaining edges, which shrink to the cyclic core.
+    Edges into nodes without an outgoing edge are peeled off; when a round peels none, all that is
+    left reaches a cycle.  A node with one outgoing edge shares the fate of its target, so edges
+    into it are led on to that target: chains halve in each round instead of losing one link.
     """
     e = cut(edges.select("src", "dst").distinct())
     n = e.count()
     while n:
-        e = cut(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        m = e.count()
+        left = cut(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        m = left.count()
         if m == n:
             break
-        n = m
+        single = left.groupBy("src").agg(F.count("*").alias("k"), F.min("dst").alias("next")).where("k = 1 AND next <> src")
+        led = left.join(single.select(F.col("src").alias("dst"), "next"), "dst", "left")
+        e = cut(led.select("src", F.coalesce("next", "dst").alias("dst")).distinct())
+        n = e.count()
     return e.select(F.col("src").alias("id")).distinct()
 
 
-def important(functions: DataFrame, moded: DataFrame, most: int = 40) -> DataFrame:
-    """Per module the functions that are entries, cross modules or are exported, by connections."""
-    f = fan(moded.select("src", "dst"))
-    crossing = moded.where("from_module <> to_module").select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("cross", F.lit(True))
-    t = functions.join(f, "id", "left").join(crossing, "id", "left").fillna(0, ["fan_in", "fan_out"])
-    t = t.where((F.col("fan_in") == 0) | F.col("cross").isNotNull() | F.coalesce("is_exported", F.lit(False))).withColumn("n", F.col("fan_in") + F.col("fan_out"))
-    w = Window.partitionBy("module_id").orderBy(F.desc("n"), "id")
-    return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("module_id", "id", F.col("n").alias("connections"), "rank")
-
-
-def agglomerate(pairs: list[tuple[str, str, float]], files: list[str], least_size: int = 2, least: float = 0.15) -> list[list[str]]:
-    """Greedy clusters of files by coupling; sequential by definition, on one project's files.
+def cycle_of(calls: DataFrame, start: str, most: int = 64) -> list[str] | None:
+    """The ids of a cycle that ``start`` reaches, closed by its first id again, or None.
 
-    Starting from the most coupled file, the file with the highest mean affinity to the cluster
-    joins it, while that is at least ``least`` and no weaker than its best tie outside.
+    Only what lies on cycles is walked: from the start to the nearest node on one, and along one
+    shortest way back to it; both are breadth-first searches of at most ``most`` steps.
     """
-    near: dict[str, dict[str, float]] = {f: {} for f in files}
-    for a, b, s in pairs:
-        near[a][b] = near[b][a] = s
-    free, out = set(files), []
-    for start in sorted(files, key=lambda f: (-sum(near[f].values()), f)):
-        if start not in free:
+    core = cut(calls.join(on_cycles(calls).select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    reached = bfs(core, core.sparkSession.createDataFrame([(start,)], "id string"), most=most, reverse=False)
+    near = [r["id"] for r in reached.orderBy("depth", "id").limit(2 * most).collect()]
+    for at in near:  # a step on from a node, back to it
+        to = core.where(F.col("src") == at).select(F.col("dst").alias("id"))
+        depths = bfs(core, to, most=most, reverse=False)
+        if (end := depths.where(F.col("id") == at).first()) is None:
             continue
-        cluster = [start]
-        free.discard(start)
-        while free:
-            mean = {f: sum(near[f].get(x, 0) for x in cluster) / len(cluster) for f in free}
-            f = min(mean, key=lambda x: (-mean[x], x))
-            outside = max((s for g, s in near[f].items() if g in free and g != f), default=0)
-            if mean[f] < least or mean[f] < outside:
-                break
-            cluster.append(f)
-            free.discard(f)
-        if len(cluster) >= least_size:
-            out.append(sorted(cluster))
-    return out
+        way, node = [at], at
+        levels = depths.withColumnRenamed("id", "src")
+        for depth in range(end["depth"] - 1, -1, -1):
+            node = core.where(F.col("dst") == node).join(levels.where(F.col("depth") == depth), "src").agg(F.min("src")).first()[0]
+            way.append(node)
+        return [at, *way[:0:-1], at]
+    return None
+
+
+def important(functions: DataFrame, moded: DataFrame, most: int = 40, least: int = 10) -> DataFrame:
+    """What a diagram of a module shows: all functions of a module of at most ``most``; of larger
+    ones those that are entries, cross modules or are exported, by connections; and where these
+    are fewer than ``least``, the most connected others too."""
+    f = fan(moded.select("src", "dst"))
+    crossing = moded.where("from_module <> to_module").select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("cross", F.lit(True))
+    t = functions.join(f, "id", "left").join(crossing, "id", "left").fillna(0, ["fan_in", "fan_out"])
+    t = t.withColumn("own", (F.col("fan_in") == 0) | F.col("cross").isNotNull() | F.coalesce("is_exported", F.lit(False))).withColumn("n", F.col("fan_in") + F.col("fan_out"))
+    module = Window.partitionBy("module_id")
+    t = t.withColumn("place", F.row_number().over(module.orderBy(F.desc("own"), F.desc("n"), "id"))).withColumn("size", F.count("*").over(module)).withColumn("owns", F.sum(F.col("own").cast("int")).over(module))
+    few = F.col("owns") < F.least(F.lit(least), F.col("size"))
+    t = t.where((F.col("size") <= most) | ((F.col("place") <= most) & (F.col("own") | few)))
+    return t.select("module_id", "id", F.col("n").alias("connections"), F.row_number().over(module.orderBy(F.desc("n"), "id")).alias("rank"))
 
 
 def trace(edges: dict[str, list[str]], start: str, most: int = 5) -> list[tuple[str, str, str]]:

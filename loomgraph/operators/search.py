@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.storage import checked
+
+from .relational import top_in
 
 
 def _begins(k: Column):
@@ -76,3 +83,64 @@ def domain_scores(words: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
     spark = words.sparkSession
     table = spark.createDataFrame([(d, k) for d, ks in domains.items() for k in ks], "domain string, keyword string")
     return words.join(F.broadcast(table), F.contains("word", F.col("keyword"))).groupBy("group", "domain").agg(F.count("*").alias("score"))
+
+
+def domain_names(words: DataFrame, domains: DataFrame) -> DataFrame:
+    """(group, name): groups (group, word) named by the domains (ord, domain, keyword) that their
+    words hold most keywords of; two strong ones, the second at least half as strong as the
+    first and both above 1, are joined."""
+    hit = words.join(checked(domains), F.contains("word", F.col("keyword"))).groupBy("group", "domain", "ord").agg(F.count("*").alias("score"))
+    top = top_in(hit, ["group"], [F.desc("score"), F.col("ord")], 2)
+    two = top.groupBy("group").agg(F.max(F.when(F.col("rank") == 1, F.col("domain"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("domain"))).alias("b"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("x"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("y"))
+    both = (F.col("y") > 1) & (F.col("y") >= F.col("x") * 0.5)
+    return two.select("group", F.when(both, F.concat("a", F.lit(" & "), "b")).otherwise(F.col("a")).alias("name"))
+
+
+def class_score(classes: DataFrame, prompt: str, words: list[str]) -> DataFrame:
+    """Classes (id, name) that a prompt is about: (id, name, score)."""
+    n, own = F.lower("name"), F.transform(S.words_of(F.col("name")), F.lower)
+    score = F.when(F.contains(F.lit(prompt.lower()), n) & (F.char_length(n) > 3), 0.95).otherwise(0.0)
+    for k in words:
+        score = score + F.when(F.contains(n, F.lit(k)), 0.3).otherwise(0.0) + F.when(F.exists(own, _begins(F.lit(k))), 0.2).otherwise(0.0)
+    return classes.withColumn("score", F.round(score, 6)).where("score > 0.3").select("id", "name", F.least("score", F.lit(1.0)).alias("score"))
+
+
+def embedding_text(name: Column, purpose: Column, params: Column, return_type: Column) -> Column:
+    """What of a function is embedded: name, purpose, parameter names and a telling result type."""
+    some = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    ret = F.when(~F.coalesce(return_type, F.lit("")).isin("", "void", "any"), F.concat(F.lit("returns "), return_type))
+    return F.concat_ws(" ", name, some(purpose), some(F.array_join(F.transform(params, lambda p: p["name"]), " ")), ret)
+
+
+def embed(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """(id, embedding): unit vectors of texts (id, text) by an encoder, in batches of ``batch``.
+
+    The encoder is a picklable function from texts to vectors; it is loaded where it runs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                x = np.asarray(encode(part.column(1).to_pylist()), np.float32).reshape(part.num_rows, -1)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "embedding"])
+
+    return texts.select("id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "id string, embedding array<float>")
+
+
+def hashed_encoder(width: int = 256) -> Callable[[list[str]], list[list[float]]]:
+    """An encoder without a model: character trigrams of the words, hashed; a stand-in for a real one."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        import zlib
+
+        out = np.zeros((len(texts), width), np.float32)
+        for row, text in zip(out, texts):
+            low = f" {text.lower()} "
+            for i in range(len(low) - 2):
+                h = zlib.crc32(low[i : i + 3].encode())
+                row[h % width] += 1 if h >> 31 else -1
+        return out.tolist()
+
+    return encode

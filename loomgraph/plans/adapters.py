@@ -106,6 +106,16 @@ def functions(spark: SparkSession, sf: str) -> DataFrame:
 FUNCTIONS = "(SELECT 'p:' || p_partkey AS id, replace(p_name, ' ', '_') AS name, 'src/' || lower(p_type) || '/' || replace(p_brand, '#', '') || '.ts' AS file, lower(p_type) AS module_id, p_size % 7 = 0 AS is_exported, CAST(p_size AS BIGINT) AS size FROM part)"
 
 
+def imported(spark: SparkSession, sf: str) -> DataFrame:
+    """(file, target): a file imports those of the exported functions that its functions call."""
+    f = functions(spark, sf)
+    e = part_calls(spark, sf).join(f.select(F.col("id").alias("src"), "file"), "src").join(f.select(F.col("id").alias("dst"), F.col("file").alias("target"), "is_exported"), "dst")
+    return e.where("file <> target AND is_exported").select("file", "target").distinct()
+
+
+IMPORTED = f"(SELECT DISTINCT a.file, b.file AS target FROM {CALLS} e JOIN {FUNCTIONS} a ON a.id = e.src JOIN {FUNCTIONS} b ON b.id = e.dst WHERE a.file <> b.file AND b.is_exported)"
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """(path, hash, module_id, size): documents as files of their source."""
     d = table(spark, sf, "documents")

@@ -30,10 +30,13 @@ def query(sql: str = ""):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import texts  # noqa: F401 - registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -108,6 +111,11 @@ def called_by_exported_in_file(spark, sf):
     return f.join(callers, (F.col("id") == F.col("dst")) & (F.col("file") == F.col("caller_file")), "left_semi").select("id")
 
 
+_SCORES = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src AS a, dst AS b FROM {A.CALLS} UNION SELECT dst, src FROM {A.CALLS}), seeds AS (SELECT id FROM {A.FUNCTIONS} WHERE contains(name, '{{0}}') OR contains(lower(file), '{{0}}')),
+w(id, depth) AS (SELECT id, 0 FROM seeds UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.id WHERE w.depth < 4), d AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)
+SELECT f.id, round((CASE WHEN depth <= 1 THEN 1.0 WHEN depth = 2 THEN 0.6 WHEN depth = 3 THEN 0.35 WHEN depth IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN name = '{{0}}' THEN 0.9 WHEN contains(name, '{{0}}') OR contains(lower(file), '{{0}}') THEN 0.45 ELSE 0 END + CASE WHEN f.id NOT IN (SELECT dst FROM {A.CALLS}) THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS score FROM {A.FUNCTIONS} f LEFT JOIN d ON d.id = f.id"""
+
+
 _FAN = f"(SELECT id, sum(i) AS fan_in, sum(o) AS fan_out FROM (SELECT src AS id, 0 AS i, 1 AS o FROM {A.CALLS} UNION ALL SELECT dst, 1, 0 FROM {A.CALLS}) GROUP BY id)"
 
 
@@ -179,15 +187,22 @@ def module_assignment_glob(spark, sf):
     return R.assign_modules(A.functions(spark, sf).select("id", F.col("file").alias("path")), _MODULES, S.glob_regex)
 
 
-@query(f"""WITH e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM {A.CALLS} WHERE src <> dst), d AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY id)
-SELECT p.a, p.b, p.pairs, round(2.0::DOUBLE * p.pairs / (x.n + y.n), 6) AS score FROM (SELECT a, b, count(*) AS pairs FROM e GROUP BY a, b) p JOIN d x ON x.id = p.a JOIN d y ON y.id = p.b""")
+@query(f"""WITH f AS {A.FUNCTIONS}, e AS (SELECT a.file AS fa, b.file AS fb FROM {A.CALLS} c JOIN f a ON a.id = c.src JOIN f b ON b.id = c.dst WHERE a.file <> b.file UNION ALL SELECT file, target FROM {A.IMPORTED}),
+d AS (SELECT file, sum(n) AS n FROM (SELECT file, count(*) AS n FROM f GROUP BY file UNION ALL SELECT file, count(*) FROM {A.IMPORTED} GROUP BY file UNION ALL SELECT target, count(*) FROM {A.IMPORTED} GROUP BY target) GROUP BY file),
+p AS (SELECT least(fa, fb) AS a, greatest(fa, fb) AS b, count(*) AS pairs FROM e GROUP BY ALL)
+SELECT p.a, p.b, p.pairs, round(2.0::DOUBLE * p.pairs / (x.n + y.n), 6) AS score FROM p JOIN d x ON x.file = p.a JOIN d y ON y.file = p.b""")
 def coupling_scores(spark, sf):
-    return graph.coupling(A.part_calls(spark, sf))
+    f, imported = A.functions(spark, sf), A.imported(spark, sf)
+    files = f.select("file").distinct()
+    nodes = f.select("id", "file").unionByName(files.select(F.col("file").alias("id"), "file"))
+    imports = imported.select(F.col("file").alias("src"), F.col("target").alias("dst"))
+    ends = f.select("file").unionByName(imports.select(F.col("src").alias("file"))).unionByName(imports.select(F.col("dst").alias("file")))
+    return graph.coupling(A.part_calls(spark, sf).unionByName(imports), nodes, ends.groupBy("file").agg(F.count("*").alias("n")))
 
 
-@query(f"SELECT module_id, round(sum(own) / count(*)::DOUBLE, 6) AS confidence FROM (SELECT from_module AS module_id, CAST(from_module = to_module AS INT) AS own FROM {A.PMODED} UNION ALL SELECT to_module, 0 FROM {A.PMODED} WHERE from_module <> to_module) GROUP BY module_id")
+@query(f"SELECT m.module_id, round(coalesce(c, 0.5::DOUBLE), 6) AS confidence FROM (SELECT DISTINCT module_id FROM {A.FUNCTIONS}) m LEFT JOIN (SELECT from_module, avg(CAST(from_module = to_module AS INT)) AS c FROM {A.PMODED} GROUP BY from_module) x ON x.from_module = m.module_id")
 def cluster_confidence(spark, sf):
-    return graph.cluster_confidence(A.part_moded(spark, sf))
+    return graph.cluster_confidence(A.part_moded(spark, sf), A.functions(spark, sf))
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {A.CALLS}), reach(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM reach r JOIN e ON e.src = r.b), core AS (SELECT DISTINCT a FROM reach WHERE a = b)
@@ -196,7 +211,10 @@ def reachable_cycles(spark, sf):
     return graph.on_cycles(A.part_calls(spark, sf))
 
 
-@query(f"SELECT module_id, id, connections, rank FROM (SELECT module_id, id, connections, row_number() OVER (PARTITION BY module_id ORDER BY connections DESC, id) AS rank FROM (SELECT f.module_id, f.id, CAST(coalesce(n.fan_in, 0) + coalesce(n.fan_out, 0) AS BIGINT) AS connections FROM {A.FUNCTIONS} f LEFT JOIN {_FAN} n USING (id) WHERE coalesce(n.fan_in, 0) = 0 OR f.is_exported OR f.id IN (SELECT src FROM {A.PMODED} WHERE from_module <> to_module UNION SELECT dst FROM {A.PMODED} WHERE from_module <> to_module))) WHERE rank <= 40")
+@query(f"""WITH x AS (SELECT id FROM (SELECT src AS id FROM {A.PMODED} WHERE from_module <> to_module UNION SELECT dst FROM {A.PMODED} WHERE from_module <> to_module)),
+c AS (SELECT f.module_id, f.id, CAST(coalesce(n.fan_in, 0) + coalesce(n.fan_out, 0) AS BIGINT) AS connections, coalesce(n.fan_in, 0) = 0 OR f.is_exported OR f.id IN (SELECT id FROM x) AS own FROM {A.FUNCTIONS} f LEFT JOIN {_FAN} n USING (id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY own DESC, connections DESC, id) AS place, count(*) OVER (PARTITION BY module_id) AS size, sum(CAST(own AS INT)) OVER (PARTITION BY module_id) AS owns FROM c)
+SELECT module_id, id, connections, row_number() OVER (PARTITION BY module_id ORDER BY connections DESC, id) AS rank FROM r WHERE size <= 40 OR (place <= 40 AND (own OR owns < least(10, size)))""")
 def important_functions(spark, sf):
     return graph.important(A.functions(spark, sf), A.part_moded(spark, sf))
 
@@ -229,11 +247,6 @@ def upsert_latest(spark, sf):
     return R.last_wins(A.changes(spark, sf), ["path", "user_id"], [F.col("ts"), F.col("seq")]).select("path", "user_id", "hash", "seq")
 
 
-@query(f"SELECT path, hash, seq FROM {A.CHANGES} WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
-def changed_since(spark, sf):
-    return A.changes(spark, sf).where("ts > TIMESTAMP_NTZ '2024-01-20 00:00:00'").select("path", "hash", "seq")
-
-
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS body, sha256(array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10))) AS hash FROM documents WHERE text IS NOT NULL")
 def line_slice(spark, sf):
     body = S.lines_between(F.col("text"), 2, 4)
@@ -286,9 +299,7 @@ def did_you_mean(spark, sf):
     return A.functions(spark, sf).select("name", s.alias("score")).distinct().where("score > 0.5").select("name", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "name").limit(5)
 
 
-@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src AS a, dst AS b FROM {A.CALLS} UNION SELECT dst, src FROM {A.CALLS}), seeds AS (SELECT id FROM {A.FUNCTIONS} WHERE contains(name, 'ring') OR contains(lower(file), 'ring')),
-w(id, depth) AS (SELECT id, 0 FROM seeds UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.id WHERE w.depth < 4), d AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)
-SELECT f.id, round((CASE WHEN depth <= 1 THEN 1.0 WHEN depth = 2 THEN 0.6 WHEN depth = 3 THEN 0.35 WHEN depth IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN name = 'ring' THEN 0.9 WHEN contains(name, 'ring') OR contains(lower(file), 'ring') THEN 0.45 ELSE 0 END + CASE WHEN f.id NOT IN (SELECT dst FROM {A.CALLS}) THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS score FROM {A.FUNCTIONS} f LEFT JOIN d ON d.id = f.id""")
+@query(_SCORES.format("ring"))
 def context_scores(spark, sf):
     f, e = A.functions(spark, sf), A.part_calls(spark, sf)
     k = search.keyword_score(F.col("name"), F.col("file"), ["ring"])
@@ -304,7 +315,9 @@ def budget_prefix(spark, sf):
     return R.within_budget(c, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], S.estimate_tokens(F.col("text")), 300).select("conv_id", "turn", "used")
 
 
-@query()
+@query("""WITH RECURSIVE s AS MATERIALIZED (SELECT conv_id, turn, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY ceil(length(text) / 4.0), turn) AS k FROM conversations WHERE text IS NOT NULL),
+g(conv_id, k, turn, tokens, used, kept, taken) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, false FROM s UNION ALL SELECT s.conv_id, s.k, s.turn, s.tokens, CASE WHEN g.kept < 80 AND g.used + s.tokens <= 300 THEN g.used + s.tokens ELSE g.used END, CASE WHEN g.kept < 80 AND g.used + s.tokens <= 300 THEN g.kept + 1 ELSE g.kept END, g.kept < 80 AND g.used + s.tokens <= 300 FROM g JOIN s ON s.conv_id = g.conv_id AND s.k = g.k + 1)
+SELECT conv_id, kept AS place, tokens, turn FROM g WHERE taken""")
 def greedy_pack(spark, sf):
     c = A.table(spark, sf, "conversations").withColumn("tokens", S.estimate_tokens(F.col("text")))
     return R.greedy_pack(c, ["conv_id"], ["tokens", "turn"], "tokens", 300)
@@ -329,32 +342,6 @@ def domain_naming(spark, sf):
     return search.domain_scores(words, _DOMAINS)
 
 
-_PURPOSE_NAMES = ["useAuth", "handleClick", "onSubmit", "getUserName", "saveFile", "isValid", "hasRole", "checkAccess", "computeTotal", "HTTPServer", "x", "fetchHTTPData", "use", "update_record2"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in zip(_PURPOSE_NAMES, ["Hook for auth", "Handle click", "Handle submit", "Get user name", "Save file", "Check if valid", "Check if role", "Check access", "Compute total", "Http server", "X", "Fetch http data", "Use", "Update record2"])) + ") AS t(name, purpose)")
-def purpose_case(spark, sf):
-    return A.small(spark, _PURPOSE_NAMES, "name").select("name", S.purpose(F.col("name")).alias("purpose"))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate(["no-import", "must-use", "no-import", "no-call", "layer", "naming", "complex", "no-import"])) + ") AS t(ord, class)")
-def constraint_classify(spark, sf):
-    return A.small(spark, A.CONSTRAINTS, "raw").select("ord", S.constraint_class(F.col("raw")).alias("class"))
-
-
-@query("SELECT * FROM (VALUES (0, 'deny', '0', '1'), (1, 'isolated', '2', ''), (2, 'allow_only', '3', '3,4'), (3, 'deny', '0', '1,2'), (4, NULL, '', '')) AS t(ord, kind, from_module, to_modules)")
-def rule_parse(spark, sf):
-    return A.rules(spark).select("ord", "kind", "from_module", F.array_join("to_modules", ",").alias("to_modules"))
-
-
-_CONTEXT_PATHS = {"prisma/schema.prisma": "schema", "a/user.schema.ts": "schema", "api.proto": "api-spec", "docs/OpenAPI.yaml": "api-spec", "db/migrations/1.sql": "migration", "db/migrate/2.rb": "migration", "x.sql": "schema", "src/models/a.ts": "model", "m/models.py": "model", "types/a.ts": "types", "src/interfaces/i.go": "types", "src/routes/r.ts": "routes", "Dockerfile": "docker", ".env.example": "config", "readme": "config"}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}')" for p, k in _CONTEXT_PATHS.items()) + ") AS t(path, kind)")
-def context_file_class(spark, sf):
-    return A.small(spark, list(_CONTEXT_PATHS), "path").select("path", S.context_kind(F.col("path")).alias("kind"))
-
-
 @query(f"SELECT name, module_id, min(file) AS file, coalesce(string_agg(DISTINCT file, ',' ORDER BY file) FILTER (n > 1), '') AS also_in FROM (SELECT *, row_number() OVER (PARTITION BY name, module_id ORDER BY file) AS n FROM (SELECT DISTINCT name, module_id, file FROM {A.FUNCTIONS})) GROUP BY name, module_id")
 def generic_dedup_alsoin(spark, sf):
     f = A.functions(spark, sf).select("name", "module_id", "file").distinct()
@@ -429,16 +416,6 @@ def module_overview(spark, sf):
     return m.join(n, "module_id", "left").fillna(0)
 
 
-_IMPORTS = [("src/auth/login.ts", "./verify"), ("src/auth/login.ts", "../utils/jwt"), ("src/auth/login.ts", "@/db"), ("src/auth/login.ts", "express"), ("src/auth/login.ts", "./missing"), ("src/index.ts", "./auth/login.ts"), ("src/index.ts", "./widgets")]
-_PATHS = ["src/auth/verify.ts", "src/utils/jwt.ts", "src/db/index.ts", "src/auth/login.ts", "src/widgets/index.tsx"]
-
-
-@query("SELECT * FROM (VALUES ('src/auth/login.ts', './verify', 'src/auth/verify.ts'), ('src/auth/login.ts', '../utils/jwt', 'src/utils/jwt.ts'), ('src/auth/login.ts', '@/db', 'src/db/index.ts'), ('src/auth/login.ts', 'express', ''), ('src/auth/login.ts', './missing', 'src/auth/missing.ts'), ('src/index.ts', './auth/login.ts', 'src/auth/login.ts'), ('src/index.ts', './widgets', 'src/widgets/index.tsx')) AS t(file, source, target)")
-def import_resolution_probe(spark, sf):
-    i = spark.createDataFrame(_IMPORTS, "file string, source string")
-    return R.resolve_imports(i, spark.createDataFrame([(p,) for p in _PATHS], "path string"), [("@", "src")], [".ts", ".tsx", "/index.ts", "/index.tsx"])
-
-
 @query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
 def token_estimates(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", S.estimate_tokens(F.col("text")).alias("tokens"))
@@ -455,14 +432,15 @@ def node_build_last_wins(spark, sf):
     return R.last_wins(A.functions(spark, sf), ["name"], [F.col("size"), F.col("id")]).select("name", "id")
 
 
-@query(f"""SELECT c.src, coalesce(i.id, h.id) AS dst, CASE WHEN i.id IS NOT NULL THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM (SELECT a.id AS src, a.file, b.name FROM {A.CALLS} e JOIN {A.FUNCTIONS} a ON a.id = e.src JOIN {A.FUNCTIONS} b ON b.id = e.dst) c
-LEFT JOIN (SELECT m.file, f.name, min(f.id) AS id FROM (SELECT DISTINCT a.file, b.file AS target FROM {A.CALLS} e JOIN {A.FUNCTIONS} a ON a.id = e.src JOIN {A.FUNCTIONS} b ON b.id = e.dst WHERE a.file <> b.file AND b.is_exported) m JOIN {A.FUNCTIONS} f ON f.file = m.target GROUP BY m.file, f.name) i ON i.file = c.file AND i.name = c.name
-LEFT JOIN (SELECT file, name, min(id) AS id FROM {A.FUNCTIONS} GROUP BY file, name) h ON h.file = c.file AND h.name = c.name WHERE coalesce(i.id, h.id) <> c.src""")
+@query(f"""WITH f AS {A.FUNCTIONS}, c AS (SELECT a.id AS src, a.file, b.name FROM {A.CALLS} e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst), k AS (SELECT file, name, min(id) AS id FROM f GROUP BY file, name),
+i AS (SELECT a.file, b.name, max(b.file) AS target FROM {A.CALLS} e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst WHERE a.file <> b.file AND b.is_exported GROUP BY a.file, b.name)
+SELECT c.src, coalesce(g.id, h.id) AS dst, CASE WHEN g.id IS NOT NULL THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM c LEFT JOIN i ON i.file = c.file AND i.name = c.name LEFT JOIN k g ON g.file = i.target AND g.name = c.name
+LEFT JOIN k h ON h.file = c.file AND h.name = c.name AND h.id <> c.src WHERE coalesce(g.id, h.id) IS NOT NULL""")
 def call_resolution(spark, sf):
     f, e = A.functions(spark, sf), A.part_calls(spark, sf)
     both = e.join(f.select(F.col("id").alias("src"), F.col("file").alias("file")), "src").join(f.select(F.col("id").alias("dst"), F.col("name").alias("name"), F.col("file").alias("target"), "is_exported"), "dst")
-    imported = both.where("file <> target AND is_exported").select("file", "target").distinct()
-    return R.resolve_calls(both.select("src", "file", "name"), imported, f)
+    listed = both.where("file <> target AND is_exported").select("file", "name", "target").distinct().withColumn("ord", F.lit(0))
+    return R.resolve_calls(both.select("src", "file", "name"), listed, f)
 
 
 @query(f"SELECT id, name FROM {A.FUNCTIONS} WHERE contains(lower(name), 'ring') OR contains(lower(id), 'ring') ORDER BY id LIMIT 20")
@@ -522,12 +500,6 @@ def merge_siblings(spark, sf):
     return R.merge_siblings(c.select(F.col("module_id").alias("base"), F.array("file").alias("files"), "confidence"))
 
 
-@query("SELECT * FROM (VALUES (0, 'modify', 'file'), (1, 'create', 'file'), (2, 'delete', 'file'), (2, 'move', 'file'), (3, 'create', 'file'), (3, 'move', 'file'), (4, 'refactor', 'module'), (5, 'create', 'class'), (6, 'modify', 'file')) AS t(ord, action, target)")
-def intent_actions(spark, sf):
-    p = A.small(spark, A.PROMPTS, "prompt")
-    return p.select("ord", F.explode(S.intent_actions(F.col("prompt"))).alias("action"), S.target_type(F.col("prompt")).alias("target"))
-
-
 @query(f"""WITH f AS {A.FUNCTIONS}, n AS (SELECT count(*) AS total, count(*) FILTER (contains(name, 'ring')) AS a, count(*) FILTER (contains(name, 'widget')) AS b FROM f)
 SELECT id, name, round(least(1.0, s)::DOUBLE, 6) AS score FROM (SELECT id, name, (CASE WHEN contains('polish ring widget', name) AND length(name) > 3 THEN 0.9 ELSE 0 END)
  + (CASE WHEN contains(name, 'ring') THEN 0.15 * pa ELSE 0 END) + (CASE WHEN contains(lower(file), 'ring') THEN 0.075 * pa ELSE 0 END) + (CASE WHEN contains(name, 'widget') THEN 0.3 * pb ELSE 0 END) + (CASE WHEN contains(lower(file), 'widget') THEN 0.15 * pb ELSE 0 END)
@@ -567,11 +539,6 @@ def array_helpers(spark, sf):
     return t.select("p_brand", F.array_join("t", ",").alias("types"), F.exists("t", lambda x: x == "PROMO").alias("has_promo"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '^[A-ZÄÖÜÉÈÊÇÑÍÓ]') AS starts_upper FROM documents WHERE text IS NOT NULL")
-def exported_by_case(spark, sf):
-    return A.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.rlike("text", F.lit("^[A-ZÄÖÜÉÈÊÇÑÍÓ]")).alias("starts_upper"))
-
-
 @query(f"SELECT module_id, count(*) AS total, string_agg(path, ',' ORDER BY path) AS first_files FROM (SELECT module_id, path, row_number() OVER (PARTITION BY module_id ORDER BY path) AS n FROM {A.FILES}) WHERE n <= 3 GROUP BY module_id")
 def module_files(spark, sf):
     return R.top_in(A.files(spark, sf), ["module_id"], [F.col("path")], 3).groupBy("module_id").agg(F.count("*").alias("total"), F.array_join(F.array_sort(F.collect_list("path")), ",").alias("first_files"))
@@ -634,10 +601,11 @@ def entry_flow(spark, sf):
     return context.entry_flow(A.functions(spark, sf), A.part_calls(spark, sf)).withColumn("calls", F.array_join("calls", ","))
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k, CAST(ceil((length(name) + 1 + length(file) + greatest(size, 0) * CASE WHEN size > 15 THEN 20 ELSE 40 END) / 4.0) AS BIGINT) AS tokens FROM ({_SCORES.format('ring')}) JOIN {A.FUNCTIONS} USING (id) WHERE score > 0),
+g(k, id, used, kept, taken) AS (SELECT 0::BIGINT, '', 0::BIGINT, 0::BIGINT, false UNION ALL SELECT s.k, s.id, CASE WHEN g.kept < 80 AND g.used + s.tokens <= 6000 THEN g.used + s.tokens ELSE g.used END, CASE WHEN g.kept < 80 AND g.used + s.tokens <= 6000 THEN g.kept + 1 ELSE g.kept END, g.kept < 80 AND g.used + s.tokens <= 6000 FROM g JOIN s ON s.k = g.k + 1)
+SELECT id, kept AS place FROM g WHERE taken""")
 def context_pack(spark, sf):
-    f, e = A.functions(spark, sf), A.part_calls(spark, sf)
-    return context.pack(context.scores(f, e, context_seeds(spark, sf), ["polish", "ring"]))
+    return context.pack(context_scores(spark, sf).join(A.functions(spark, sf), "id"))
 
 
 @query(f"""WITH p AS (SELECT DISTINCT module_id AS grp, regexp_replace(file, '/[^/]*$', '') || '/' || substr(name, 1, 1) AS path FROM {A.FUNCTIONS}), d AS (SELECT grp, array_to_string(list_slice(string_split(path, '/'), 1, n), '/') AS prefix, n FROM p, (VALUES (1), (2), (3)) AS k(n) WHERE n <= len(string_split(path, '/'))),
@@ -647,18 +615,6 @@ def path_prefixes(spark, sf):
     return context.collapse_paths(p)
 
 
-@query("SELECT * FROM (VALUES (0, 'widget'), (1, 'red_widget'), (2, 'gear'), (3, 'book'), (4, 'economy'), (5, 'bolts'), (6, 'status')) AS t(ord, name)")
-def intent_names(spark, sf):
-    return A.small(spark, A.PROMPTS, "prompt").select("ord", intents.name_in(F.col("prompt")).alias("name"))
-
-
-@query(f"SELECT module_id AS id, module_id AS name, 1.0::DOUBLE AS score FROM (SELECT DISTINCT module_id FROM {A.FUNCTIONS}) WHERE module_id = 'economy'")
-def module_match(spark, sf):
-    m = A.functions(spark, sf).select(F.col("module_id").alias("id"), F.col("module_id").alias("name")).distinct()
-    score = intents.module_score("refactor the economy module", intents.keywords_of("refactor the economy module"))
-    return m.select("id", "name", score.alias("score")).where("score > 0.3").orderBy(F.desc("score"), "id").limit(1)
-
-
 @query(_HIT + "SELECT id, 'impacted' AS kind FROM risk UNION ALL SELECT 's:1', 'changed'")
 def changed_and_impacted(spark, sf):
     seen = graph.bfs(A.edges(spark, sf), _changed(spark))
@@ -670,10 +626,10 @@ def modules_by_selection(spark, sf):
     return A.functions(spark, sf).where("contains(name, 'ring')").groupBy("module_id").agg(F.count("*").alias("selected")).orderBy(F.desc("selected"), "module_id").limit(3)
 
 
-@query(f"SELECT path, left(sha256(left(text, 8192)), 16) AS quick FROM (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, text FROM documents WHERE text IS NOT NULL)")
+@query("SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, left(sha256(array_slice(encode(text), 1, 8192)), 16) AS quick FROM documents WHERE text IS NOT NULL")
 def quick_hash(spark, sf):
     d = A.table(spark, sf, "documents").where("text IS NOT NULL")
-    return d.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.left(F.sha2(F.left("text", F.lit(8192)), 256), F.lit(16)).alias("quick"))
+    return d.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), S.quick_hash(F.col("text")).alias("quick"))
 
 
 @query(f"SELECT kind, count(*) AS n FROM {_VIOLATIONS} GROUP BY kind")
@@ -681,9 +637,9 @@ def violations_by_kind(spark, sf):
     return boundary_violations(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'graph LR' || chr(10) || string_agg('    ' || from_module || ' ==>|' || calls || '| ' || to_module, chr(10) ORDER BY from_module, to_module) AS report FROM (SELECT from_module, to_module, count(*) AS calls FROM " + A.MODED + " WHERE from_module <> to_module GROUP BY ALL HAVING count(*) > 10)")
+@query("SELECT 'graph LR' || chr(10) || string_agg('    ' || from_module || ' ' || CASE WHEN calls > 10 THEN '==>' WHEN calls > 3 THEN '-->' ELSE '-.->' END || '|' || calls || '| ' || to_module, chr(10) ORDER BY from_module, to_module) AS report FROM (SELECT from_module, to_module, count(*) AS calls FROM " + A.MODED + " WHERE from_module <> to_module GROUP BY ALL)")
 def module_diagram(spark, sf):
-    return reports.module_diagram(cross_module_calls(spark, sf).where("calls > 10"))
+    return reports.module_diagram(cross_module_calls(spark, sf))
 
 
 #: Queries of the returned lines' calls that are also registered over the calls of all lines, as <name>_all.

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.errors import UnsupportedLanguage
 from loomgraph.functions.scalars import glob_regex
 
 from . import golang, script
@@ -65,10 +66,11 @@ def discover(files: DataFrame, language: str, ignore: list[str] = ()) -> DataFra
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) of every file under ``root``; paths are relative to it."""
+    """(path, text) of every file under ``root`` but hidden ones; paths are relative to it, bytes
+    that are no UTF-8 are replaced."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split(":")[-1].lstrip("/")
-    return b.select(F.substring_index("path", base + "/", -1).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    return b.select(F.substring_index("path", base + "/", -1).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def language_of(path: Column) -> Column:
@@ -92,7 +94,7 @@ def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
                 ext = next((e for e in PARSERS if path.endswith(e)), None)
                 if ext is None:
                     if strict:
-                        raise ValueError(f"no parser for {path}")
+                        raise UnsupportedLanguage(f"no parser for {path}")
                     continue
                 lang, parse = PARSERS[ext]
                 out["path"].append(path)

@@ -66,12 +66,52 @@ def test_rules(spark):
     assert got == {("api", "db"): ("deny", 0), ("core", "api"): ("isolated", 2), ("web", "db"): ("allow_only", 3)}
 
 
-def test_clusters_and_trace():
-    files = ["auth/a", "auth/b", "pay/c"]
-    assert graph.agglomerate([("auth/a", "auth/b", 1.0), ("auth/b", "pay/c", 0.1)], files) == [["auth/a", "auth/b"]]
+def test_trace():
     assert graph.trace({"a": ["b", "c"], "b": ["c"]}, "a") == [("call", "a", "b"), ("call", "b", "c"), ("return", "c", "b"), ("return", "b", "a"), ("call", "a", "c"), ("return", "c", "a")]
 
 
+def test_long_chains_and_rings(spark):
+    """Nodes that reach a cycle, against peeling by hand, with chains that would take a round a link."""
+    import random
+
+    r = random.Random(5)
+    e = {(f"c{i}", f"c{i + 1}") for i in range(300)} | {(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)} | {(f"t{i}", f"t{i + 1}") for i in range(90)} | {("t90", "r3"), ("x", "x")}
+    e |= {(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(70)}
+    core = set(e)
+    while (left := {x for x in core if x[1] in {a for a, _ in core}}) != core:
+        core = left
+    assert {x["id"] for x in graph.on_cycles(chain(spark, sorted(e))).collect()} == {a for a, _ in core}
+
+
+def test_one_cycle_of_a_function(spark):
+    e = chain(spark, [("s", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("z", "z")])
+    assert graph.cycle_of(e, "s") == ["a", "b", "c", "a"]
+    assert graph.cycle_of(e, "z") == ["z", "z"] and graph.cycle_of(e, "d") is None
+
+
+def test_dead_classes_and_reasons(spark):
+    c = spark.createDataFrame([("K", "K", "a", False), ("L", "L", "a", True), ("M", "M", "a", False)], "id string, name string, file string, is_exported boolean").withColumn("module_id", F.lit("m"))
+    edges = spark.createDataFrame([("x", "M", "imports"), ("a", "K", "contains")], "src string, dst string, type string")
+    assert [r["id"] for r in graph.dead_classes(c, edges).collect()] == ["K"]
+    f = spark.createDataFrame([("A", "A", "a.ts", True), ("B", "B", "a.ts", False), ("C", "C", "b.ts", False)], "id string, name string, file string, is_exported boolean").withColumn("module_id", F.lit("m"))
+    noted = chain(spark, [("A", "B"), ("A", "C"), ("gone", "C")])
+    got = graph.dead(f, noted.limit(0), None, noted).collect()
+    assert [(r["id"], r["reason"]) for r in got] == [("C", "2 references exist but none resolved to active call edges")]
+
+
+def test_confidence_counts_outgoing_edges_only(spark):
+    m = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "a"), ("c", "a"), ("c", "a")], "from_module string, to_module string")
+    n = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "module_id string")
+    assert {r["module_id"]: r["confidence"] for r in graph.cluster_confidence(m, n).collect()} == {"a": 0.5, "b": 0.0, "c": 0.0, "d": 0.5}
+
+
+def test_important_functions_of_small_and_large_modules(spark):
+    f = spark.createDataFrame([(f"s{i}", "small", False) for i in range(5)] + [(f"l{i:02}", "large", i == 3) for i in range(50)], "id string, module_id string, is_exported boolean")
+    e = [(f"l{i:02}", f"l{(i + 1) % 50:02}", "large", "large") for i in range(50)] + [("s0", "s1", "small", "small")]
+    got = graph.important(f, spark.createDataFrame(e, "src string, dst string, from_module string, to_module string"))
+    assert {r["module_id"]: r["n"] for r in got.groupBy("module_id").agg(F.count("*").alias("n")).collect()} == {"small": 5, "large": 40}
+
+
 def test_merkle_does_not_depend_on_order(spark):
     rows = [("m", "h2"), ("m", "h1"), ("n", "x")]
     a = R.merkle_root(R.merkle(spark.createDataFrame(rows, "module_id string, hash string"))).first()[0]
@@ -79,12 +119,13 @@ def test_merkle_does_not_depend_on_order(spark):
     assert a != R.merkle_root(R.merkle(spark.createDataFrame(rows[:2], "module_id string, hash string"))).first()[0]
 
 
-def test_call_resolution_prefers_imports(spark):
-    calls = spark.createDataFrame([("f1", "a.ts", "jwtDecode"), ("f1", "a.ts", "local"), ("f1", "a.ts", "this.helper"), ("f1", "a.ts", "none"), ("f1", "a.ts", "f1name")], "src string, file string, name string")
-    imported = spark.createDataFrame([("a.ts", "b.ts")], "file string, target string")
-    fns = spark.createDataFrame([("f1", "f1name", "a.ts"), ("f2", "jwtDecode", "b.ts"), ("f3", "local", "a.ts"), ("f4", "helper", "a.ts"), ("f5", "local", "b2.ts")], "id string, name string, file string")
+def test_call_resolution_by_imported_names(spark):
+    """Only names that an import lists go to another file; the last import of a name counts."""
+    calls = spark.createDataFrame([("f1", "a.ts", "jwtDecode"), ("f1", "a.ts", "local"), ("f1", "a.ts", "this.helper"), ("f1", "a.ts", "none"), ("f1", "a.ts", "f1name"), ("f1", "a.ts", "bar"), ("f1", "a.ts", "lib.twice"), ("f1", "a.ts", "lost")], "src string, file string, name string")
+    imported = spark.createDataFrame([("a.ts", "jwtDecode", "b.ts", 0), ("a.ts", "twice", "b.ts", 1), ("a.ts", "twice", "c.ts", 2), ("a.ts", "lost", "gone.ts", 3)], "file string, name string, target string, ord int")
+    fns = spark.createDataFrame([("f1", "f1name", "a.ts"), ("f2", "jwtDecode", "b.ts"), ("f3", "local", "a.ts"), ("f4", "helper", "a.ts"), ("f5", "local", "b.ts"), ("f6", "bar", "a.ts"), ("f7", "bar", "b.ts"), ("f8", "twice", "b.ts"), ("f9", "twice", "c.ts"), ("g1", "lost", "a.ts")], "id string, name string, file string")
     got = {(r["dst"], r["confidence"]) for r in R.resolve_calls(calls, imported, fns).collect()}
-    assert got == {("f2", 0.8), ("f3", 1.0), ("f4", 0.5)}
+    assert got == {("f2", 0.8), ("f3", 1.0), ("f4", 0.5), ("f6", 1.0), ("f9", 0.8), ("g1", 1.0)}
 
 
 @pytest.mark.parametrize("digits,n", [(64, 3), (16, 2)])

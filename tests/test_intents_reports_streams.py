@@ -32,14 +32,47 @@ def test_interpret(spark, project):
 def test_conflicts_and_preflight(spark, project):
     fns, mods, rules, calls = project
     i = spark.createDataFrame([("move", "function", "verifyToken", "auth", "x", 0.9), ("modify", "function", "noSuch", None, None, 0.5), ("create", "function", "authHandler", "auth", None, 0.5)], "action string, type string, name string, module_id string, file string, confidence double")
-    got = {(r["kind"], r["name"]) for r in intents.conflicts(i, rules, fns, mods).collect()}
-    assert {("boundary-crossing", "verifyToken"), ("missing-dependency", "noSuch"), ("ownership", "verifyToken"), ("constraint-must-use", "authHandler")} <= got
-    v = intents.preflight(i, intents.conflicts(i, rules, fns, mods)).first()
+    got = {(r["kind"], r["severity"], r["name"]) for r in intents.conflicts(i, rules, fns, mods).collect()}
+    assert {("boundary-crossing", "warning", "verifyToken"), ("missing-dependency", "warning", "noSuch"), ("ownership", "warning", "verifyToken"), ("constraint-violation", "warning", "authHandler")} <= got
+    # what is outside db/ meets the rule on direct access
+    assert {n for k, s, n in got if s == "error"} == {"verifyToken", "authHandler"}
+    assert not intents.preflight(i, intents.conflicts(i, rules, fns, mods)).first()["approved"]
+    soft = rules.where("raw NOT LIKE 'No direct%'")
+    v = intents.preflight(i, intents.conflicts(i, soft, fns, mods)).first()
     assert v["approved"] and v["confidence"] == 0.9 and v["errors"] == 0
     none = intents.preflight(i.limit(0), intents.conflicts(i.limit(0), rules, fns, mods)).first()
     assert not none["approved"]
-    s = {r["name"]: r["affected"] for r in intents.suggest(i, fns, calls).collect()}
-    assert s["verifyToken"] == ["src/api/h.ts", "src/auth/v.ts"] and s["noSuch"] == []
+    s = {r["name"]: (r["affected"], r["new_files"], r["impact"]) for r in intents.suggest(i, fns, calls).collect()}
+    assert s == {"verifyToken": (["src/api/h.ts", "x"], [], 2), "noSuch": ([], [], 0), "authHandler": ([], ["src/authHandler.ts"], 1)}
+    j = spark.createDataFrame([("modify", "function", "verifyToken", "auth"), ("create", "class", "Zap", "auth")], "action string, type string, name string, module_id string")
+    s = {r["name"]: (r["affected"], r["new_files"]) for r in intents.suggest(j, fns, calls, mods.withColumn("paths", F.array(F.lit("src/auth/**")))).collect()}
+    assert s == {"verifyToken": (["src/api/h.ts", "src/auth/v.ts"], []), "Zap": ([], ["src/auth/Zap.ts"])}
+
+
+HITS = [
+    ("No direct DB access outside db/", "modify", "q", "db", "", None), ("No direct DB access outside db/", "modify", "q", "api", "", "error"), ("No direct DB access outside db/", "modify", "q", None, "", None),
+    ("Controllers cannot import repositories", "delete", "x", "repositories", "", "error"), ("Controllers cannot import repositories", "create", "x", "controllers", "", None),
+    ("All auth must go through auth.middleware", "create", "authHandler", "api", "", "warning"), ("All auth must go through auth.middleware", "delete", "authHandler", "api", "", None), ("All auth must use x", "modify", "pay", "billing", "", None),
+    ("Never call setTimeout in the payment flow", "modify", "f", "payment", "", "warning"), ("Never call setTimeout in the payment flow", "modify", "f", "api", "", None), ("Do not call eval", "create", "f", None, "", "warning"), ("Do not call eval", "move", "f", None, "", None),
+    ("The service layer: views cannot call models", "modify", "f", "views", "", None), ("Exports must be named in camelCase", "create", "Bad_name", "m", "", "warning"), ("Exports must be named in camelCase", "create", "goodName", "m", "", None), ("Exports must be named in camelCase", "modify", "Bad_name", "m", "", None),
+    ("Sessions expire after an hour", "modify", "expireSession", "m", "make sessions last", "warning"), ("Sessions expire after an hour", "modify", "other", "m", "sessions", None),
+]
+
+
+def test_each_class_of_constraint(spark):
+    df = spark.createDataFrame([h[:5] for h in HITS], "raw string, action string, name string, module string, reason string")
+    c = F.col
+    got = df.select(intents.constraint_hit(c("raw"), c("name"), c("module"), c("action"), c("reason"))).collect()
+    assert [r[0] for r in got] == [h[5] for h in HITS]
+
+
+def test_intents_on_classes(spark, project):
+    fns, mods, _, _ = project
+    classes = spark.createDataFrame([("c1", "SessionStore", "src/auth/s.ts", "auth")], "id string, name string, file string, module_id string")
+    r = intents.interpret("create a class SessionStore cache", fns, mods, classes=classes).first()
+    assert (r["action"], r["type"], r["name"], r["file"]) == ("modify", "class", "SessionStore", "src/auth/s.ts")
+    r = intents.interpret("create SessionStore cache", fns, mods, classes=classes).first()
+    assert r["action"] == "modify" and r["type"] != "class"
 
 
 def test_scalars(spark):
