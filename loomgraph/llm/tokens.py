@@ -121,13 +121,15 @@ def count_lengths(texts: list[str | None], path: str, cache: PieceCache) -> list
         known.update(zip(words, (len(e.ids) for e in encode(words, add_special_tokens=False))))
         known[""] = 0
         known.update([(p, known[w] + known[mark]) for p, w, mark in parts])
-    if not long:
-        return [sum(map(cache.known.__getitem__, pieces)) for pieces in split]
-    own = dict(zip(long, (len(e.ids) for e in encode(long, add_special_tokens=False))))  # never kept
-    return [sum(own[p] if len(p) > LONGEST else cache.known[p] for p in pieces) for pieces in split]
+    own = dict(zip(long, (len(e.ids) for e in encode(long, add_special_tokens=False)))) if long else {}
+    cache.known.update(own)
+    counts = [sum(map(cache.known.__getitem__, pieces)) for pieces in split]
+    for p in own:  # long pieces are never kept
+        del cache.known[p]
+    return counts
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", path: str | None = None, batch_bytes: int = BATCH_BYTES // 4) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", path: str | None = None, batch_bytes: int = BATCH_BYTES // 2) -> DataFrame:
     """Per row: id, n_bytes (UTF-8) and n_tokens of the whole text, without special tokens.
 
     Null and empty texts have 0 bytes and 0 tokens.  Strings of special tokens inside a text count
