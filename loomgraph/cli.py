@@ -58,7 +58,7 @@ def _disk(spark: SparkSession, a) -> DataFrame:
 def init(spark, a) -> int:
     """Writes a contract from the clusters of the sources, and an ignore file."""
     folder = os.path.join(a.root, ".loom")
-    os.makedirs(folder, exist_ok=True)
+    projects.scaffold(a.root)
     g, _, _ = build.analyse(spark, a.root, None, a.language)
     made = clusters.contract(clusters.detect(g.nodes, g.edges), g, a.name or os.path.basename(a.root.rstrip("/")))
     path = _contract_path(a)

@@ -2,7 +2,7 @@
 
 Every round is a group-by minimum and a join, so no component is ever gathered anywhere, and
 written tables cut the lineage between rounds.  The centre of a large star has many edges: where
-they are more than a task's share, they meet its minimum in a broadcast join, where they lie.
+they are more than a task's share, they get its minimum from the plan itself and are not shuffled.
 """
 
 from __future__ import annotations
@@ -12,48 +12,50 @@ from pyspark.sql import functions as F
 
 from loomgraph.storage import cut
 
-#: Edges of a node, at least, that are not shuffled to one task.
-HOT = 256
-
-
-def _stars(edges: DataFrame, large: bool, hot: int | None) -> DataFrame:
-    """One operation over edges (u, v) with u > v.  Nodes with more than ``hot`` edges are so few
-    (a task's share each) that they are broadcast; None where there are none."""
-    sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    if hot is None:
-        joined = sides.join(least.drop("n"), "u")
+#: Edges of a node, at least, that are not shuffled to one task, and the nodes with that many at most.
+HOT, CENTRES = 256, 256
+
+
+def _stars(edges: DataFrame, centres: dict[int, int] | None = None) -> DataFrame:
+    """One operation over edges (u, v) with u > v: the small star, or with ``centres``, the nodes of
+    many edges and the least node beside each, the large one."""
+    sides = edges if centres is None else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    many, rest = None, sides
+    if centres:
+        least_of = F.create_map(*[F.lit(x) for pair in centres.items() for x in pair])
+        many = sides.where(F.col("u").isin(list(centres))).select("u", "v", F.element_at(least_of, F.col("u")).alias("m"))
+        rest = sides.where(~F.col("u").isin(list(centres)))
+    least = rest.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = rest.join(least, "u")
+    if centres is None:
+        out = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
-        centres = F.broadcast(least.where(F.col("n") > hot).select("u", "m"))
-        joined = sides.join(centres.select("u"), "u", "left_anti").join(least.where(F.col("n") <= hot).select("u", "m"), "u").unionByName(sides.join(centres, "u"))
-    if large:
+        joined = joined if many is None else joined.unionByName(many)
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int, int]:
-    """How many edges there are, a digest of them, and the most edges of a node."""
-    ends = edges.select(F.explode(F.array(F.struct("u", F.xxhash64("u", "v").alias("h")), F.struct(F.col("v").alias("u"), F.lit(None).cast("long").alias("h")))).alias("e"))
-    each = ends.groupBy("e.u").agg(F.count("*").alias("n"), F.count("e.h").alias("k"), F.sum(F.col("e.h").cast("decimal(38,0)")).alias("h"))
-    k, h, n = each.agg(F.sum("k"), F.sum("h"), F.max("n")).first()
-    return k or 0, int(h or 0), n or 0
+def _state(edges: DataFrame) -> tuple[int, int, DataFrame]:
+    """How many edges there are, a digest of them, and (u, n, m): each node's edges and the least
+    node among it and those beside it."""
+    h = F.xxhash64("u", "v").cast("decimal(38,0)")
+    k, digest = edges.agg(F.count("*"), F.sum(h)).first()
+    ends = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+    return k, int(digest or 0), ends.groupBy("u").agg(F.count("*").alias("n"), F.least(F.min("v"), F.first("u")).alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its smallest node.
 
-    Self-loops, repeated and null edges add nothing; an empty table gives an empty one.  Rounds
-    go on until the edges no longer change, O(log² n) of them.
+    Nodes are of any ordered type.  Self-loops, repeated and null edges add nothing; an empty table gives an
+    empty one.  Rounds go on until the edges no longer change, O(log² n) of them.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e, "edges")
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before, now = None, _state(e)
     while now[0] and now[:2] != before:
-        hot = max(HOT, 2 * now[0] // tasks)
-        hot = hot if now[2] > hot else None
-        e, before = cut(_stars(_stars(e, True, hot), False, hot), "edges"), now[:2]
+        hot = max(HOT, 2 * now[0] // CENTRES)  # so many nodes at most have more
+        centres = {r["u"]: r["m"] for r in now[2].where(F.col("n") > hot).collect()}
+        e, before = cut(_stars(_stars(e, centres)), "edges"), now[:2]
         now = _state(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

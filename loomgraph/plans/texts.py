@@ -317,3 +317,30 @@ def domain_names(spark, sf):
     """Names of groups by one domain, or by two that are about as strong."""
     words = _parts(spark, sf, g="p_brand || '/' || p_type", w1=_W1, w2=_W2).select(F.col("g").alias("group"), F.explode(F.array("w1", "w2")).alias("word"))
     return search.domain_names(words, spark.createDataFrame(_DOMAINS, "ord int, domain string, keyword string"))
+
+
+_PHRASE = f"'Fix the ' || {_W1} || '-' || {_W2} || '_v' || p_size || ' module: must not update all_of IT, please add token'"
+
+
+def _kept(marks: str, stop: list[str]) -> str:
+    return f"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(t), '[^a-z0-9\\s{marks}]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(map(repr, stop))})), ' ')"
+
+
+@query(f"SELECT p_partkey, {_kept('', S.PROMPT_STOP)} AS prompt, {_kept('_-', S.CONTEXT_STOP)} AS context, {_kept('', S.INTENT_STOP)} AS intent, {_kept('', S.CONFLICT_STOP)} AS conflict FROM {_sql(t=_PHRASE)}")
+def keyword_variants(spark, sf):
+    """The four ways of reading keywords: of prompts, of contexts (marks stay in words), of intents and of conflicts."""
+    p, t = _parts(spark, sf, t=_PHRASE), F.col("t")
+    kinds = [("prompt", S.PROMPT_STOP, ""), ("context", S.CONTEXT_STOP, "_-"), ("intent", S.INTENT_STOP, ""), ("conflict", S.CONFLICT_STOP, "")]
+    return p.select("p_partkey", *[F.array_join(S.keywords(t, stop, marks), " ").alias(name) for name, stop, marks in kinds])
+
+
+@query(f"SELECT module_id, count(*) FILTER (is_exported) AS exported, count(*) FILTER (NOT is_exported) AS inner_ones FROM {A.FUNCTIONS} GROUP BY module_id")
+def functions_by_export(spark, sf):
+    """Functions filtered by module and export, as the tools select them."""
+    from loomgraph.api import Project
+
+    f = A.functions(spark, sf)
+    p = Project(f, f, f, f, f)
+    counted = lambda df, name: df.groupBy("module_id").agg(F.count("*").alias(name))
+    every = f.select("module_id").distinct()
+    return every.join(counted(p.select(exported=True), "exported"), "module_id", "left").join(counted(p.select(exported=False), "inner_ones"), "module_id", "left").fillna(0)

@@ -124,9 +124,10 @@ def child(parsed: DataFrame, name: str) -> DataFrame:
 
 
 def next_routes(parsed: DataFrame) -> DataFrame:
-    """Routes that route files of an app folder declare by path: groups dropped, [id] to :id."""
+    """Routes that route files of an app folder declare by path: groups dropped, [id] to :id; in
+    order of URL and method."""
     verbs = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
     own = parsed.where(F.rlike("path", F.lit(r"(^|/)app/(.*/)?route\.(ts|js|tsx|jsx)$")))
     names = F.array_distinct(F.concat(F.transform("functions", lambda f: f["name"]), F.transform("generics", lambda g: g["name"])))
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract("path", r"(?:^|/)app/((?:.*/)?)route\.\w+$", 1), r"\([^)/]*\)/", ""), r"\[\.\.\.([^\]]+)\]", "*$1"), r"\[([^\]]+)\]", ":$1")
-    return own.select("path", F.explode(F.array_intersect(names, F.lit(verbs))).alias("method"), F.concat(F.lit("/"), F.regexp_replace(url, "/$", "")).alias("url"))
+    return own.select("path", F.explode(F.array_intersect(names, F.lit(verbs))).alias("method"), F.concat(F.lit("/"), F.regexp_replace(url, "/$", "")).alias("url")).orderBy("url", "method")

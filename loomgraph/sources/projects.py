@@ -7,7 +7,7 @@ import posixpath
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Manifests in order of priority and the language each tells.
@@ -103,3 +103,29 @@ def ignore_file(lang: str, workspaces: list[str] = ()) -> str:
     globs = [*IGNORED, *DISCOVERY.get(lang, DISCOVERY["typescript"])[1]]
     lines = ["# What analyses leave out", *sorted({g.removeprefix("**/").removesuffix("**") for g in globs})]
     return "\n".join([*lines, *(f"{w.rstrip('/*')}/*/tests/" if w.endswith("*") else f"{w}/tests/" for w in workspaces)]) + "\n"
+
+
+def scaffold(root: str) -> list[str]:
+    """The folders that commands write to below a project on this machine; those that were missing."""
+    import os
+
+    made = []
+    for folder in (".loom", ".loom/diagrams", ".loom/hashes"):
+        path = os.path.join(root, folder)
+        if not os.path.isdir(path):
+            os.makedirs(path)
+            made.append(folder)
+    return made
+
+
+def resources(spark: SparkSession, root: str) -> dict[str, str]:
+    """The texts of a project's contract, snapshot and rendered context, of those that are there."""
+    from loomgraph.storage import read_text
+
+    out = {}
+    for name in ("contract", "snapshot", "context"):
+        folder = f"{root.rstrip('/')}/.loom/{name}"
+        if read_text(spark, f"{folder}/_SUCCESS") is not None:
+            rows = spark.read.text(folder).select("value").collect()  # files that people read
+            out[name] = "\n".join(r[0] for r in rows)
+    return out

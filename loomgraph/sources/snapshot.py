@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.errors import ContractError, OverwriteDenied, SnapshotError
+from loomgraph.operators import relational as R
 from loomgraph.storage import cut
 
 CONTRACT = """version string, project struct<name:string,description:string,language:string,framework:string>,
@@ -22,6 +23,15 @@ def read_contract(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("overwrite", F.coalesce("overwrite", F.from_json(F.lit('{"mode":"never","requireConfirmation":true}'), "mode string, requireConfirmation boolean, lastOverwrittenBy string, lastOverwrittenAt string")))
 
 
+def content_hash(rows: DataFrame, key: str | None = None) -> DataFrame:
+    """One row (hash): the digest of a contract's JSON, or of the digests of a table's rows in order
+    of ``key``."""
+    text = F.to_json(F.struct(*rows.columns))
+    if key is None:
+        return rows.select(F.sha2(text, 256).alias("hash"))
+    return R.merkle(rows.select(F.lit("").alias("module_id"), F.sha2(F.concat(F.col(key).cast("string"), F.lit("\n"), text), 256).alias("hash"))).select("hash")
+
+
 def modules(contract: DataFrame) -> DataFrame:
     return contract.select(F.posexplode("declared.modules").alias("ord", "m")).select("ord", "m.*")
 

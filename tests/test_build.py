@@ -308,6 +308,8 @@ def test_snapshot_round_trip_and_errors(spark, project, tmp_path):
     spark.createDataFrame([(0, '{"id":"a"}'), (0, '{"id":"b"}')], "n long, entry string").write.json(str(tmp_path / "bad"))
     with pytest.raises(SnapshotError):
         snapshot.read_snapshot(spark, str(tmp_path / "bad"), "id string")
+    one, two = (snapshot.content_hash(x, "id").first()[0] for x in (f, f.orderBy(F.desc("id"))))
+    assert one == two != snapshot.content_hash(f.where("name <> 'login'"), "id").first()[0]
     nodes, edges = build.graph_from_snapshot(project.functions, project.files)
     assert nodes.count() == project.functions.count() + project.files.count()
     assert {(r["src"], r["dst"]) for r in edges.where("type = 'calls'").collect()} == {(r["src"], r["dst"]) for r in project.calls.collect()}
@@ -358,9 +360,12 @@ def test_changes_between_listings(spark):
 
 def test_commands(spark, folder, capsys):
     run = lambda *a: cli.main([*a, "--root", folder], spark)
-    assert len(cli.COMMANDS) >= 13
+    from loomgraph.sources import projects
+
+    assert len(cli.COMMANDS) >= 13 and projects.scaffold(folder) and not projects.scaffold(folder)
     assert run("init") == 0 and os.path.exists(os.path.join(folder, ".loom", "contract"))
     assert run("analyze") == 0 and json.load(open(os.path.join(folder, ".loom", "sync-state.json")))["status"] == "clean"
+    assert set(projects.resources(spark, folder)) == {"contract", "snapshot"} and "version" in projects.resources(spark, folder)["contract"]
     capsys.readouterr()
     assert run("stats") == 0 and '"functions"' in capsys.readouterr().out
     assert run("diff") == 0 and '"added"' in capsys.readouterr().out
