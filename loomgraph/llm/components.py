@@ -1,52 +1,5 @@
-"""Connected components over an edge table: alternating large-star and small-star rounds.
+"""Connected components, as loomgraph.operators.components has them."""
 
-Every round is a group-by minimum and a join, so no component is ever gathered anywhere, and
-written tables cut the lineage between rounds.  The centre of a large star has many edges: where
-they are more than a task's share, they meet its minimum in a broadcast join, where they lie.
-"""
+from loomgraph.operators.components import HOT, components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialise
-
-#: Edges of a node, at least, that are not shuffled to one task.
-HOT = 256
-
-
-def _stars(edges: DataFrame, large: bool, hot: int) -> DataFrame:
-    """One operation over edges (u, v) with u > v.  Nodes with more than ``hot`` edges are so few
-    (a task's share each) that they are broadcast."""
-    sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    centres = F.broadcast(least.where(F.col("n") > hot).select("u", "m"))
-    joined = sides.join(centres.select("u"), "u", "left_anti").join(least.where(F.col("n") <= hot).select("u", "m"), "u").unionByName(sides.join(centres, "u"))
-    if large:
-        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
-
-
-def _state(edges: DataFrame) -> tuple[int, int]:
-    n, s = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return n, int(s or 0)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (a, b); the component is its smallest node.
-
-    Self-loops, repeated and null edges add nothing; an empty table gives an empty one.  Rounds
-    go on until the edges no longer change, O(log² n) of them.
-    """
-    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialise(e, "edges")
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    before, now = None, _state(e)
-    while now[0] and now != before:
-        hot = max(HOT, 2 * now[0] // tasks)
-        e, before = materialise(_stars(_stars(e, True, hot), False, hot), "edges"), now
-        now = _state(e)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["HOT", "components"]

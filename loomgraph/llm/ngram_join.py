@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, Memo, checked, column, materialise, slices
-from .components import components
+from .components import HOT, components
 
 NGRAM, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 128
 #: Texts of a block, and n-grams of its sets in all, at most (a larger single set is a block alone).
@@ -100,7 +100,7 @@ def describe(docs: DataFrame, n: int, bands: int, rows: int, keep: bool = False)
         import hashlib
 
         memo = Memo(_word_hash)
-        for b in slices(batches, "text", BATCH_BYTES // 4):
+        for b in slices(batches, "text", BATCH_BYTES // 2):
             sets = [ngrams(t, n, memo) for t in column(b, "text").to_pylist()]
             raw = [g.tobytes() for g in sets]
             keys = pa.array([hashlib.blake2b(r, digest_size=16).digest() if r else None for r in raw], pa.binary())
@@ -163,6 +163,18 @@ def text_digest(text: str | Column) -> Column:
     return F.unhex(F.md5(F.col(text) if isinstance(text, str) else text))
 
 
+def _with_nodes(rows: DataFrame, of_node: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows with what is known of their set.  Sets of so many copies that they are more than a
+    task's share, a task's number of them at most, are broadcast instead of shuffled."""
+    total, most = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    hot = max(HOT, total // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if most <= hot:
+        return rows.join(of_node.drop("copies"), "key", "left")
+    few = F.broadcast(of_node.where(F.col("copies") > hot).drop("copies"))
+    rest = rows.join(F.broadcast(nodes.where(F.col("copies") > hot).select("key")), "key", "left_anti")
+    return rest.join(of_node.where(F.col("copies") <= hot).drop("copies"), "key", "left").unionByName(rows.join(few, "key"))
+
+
 def similarity_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block_texts: int = BLOCK_TEXTS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """One row for each row of ``docs``: id, digest (of the text), class_id, n_links,
     representative, and head, whether it is the row that stands for its class: that of the
@@ -190,7 +202,7 @@ def similarity_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialise(found.select("component", "node", "copies", "grams").dropDuplicates(["node"]), "candidates")
     sizes = found.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("grams") / 8).alias("g"))
     sizes = sizes.select("component", F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("g") / block_grams), F.lit(1)).cast("int").alias("blocks"))
-    dealt = found.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = found.join(checked(sizes), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # the pair (i, j), i <= j, of blocks; a text of block k goes to all pairs with k
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block"), "node", "copies", "grams")
@@ -207,6 +219,7 @@ def similarity_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table([pa.array([component] * (len(at) + len(a)), pa.int64()), pa.array(np.concatenate([ids[at], a]).astype(np.int64)), pa.array([None] * len(at) + [int(x) for x in b], pa.int64()), pa.array(np.concatenate([count[at], np.zeros(len(a))]).astype(np.int64))], schema=schema)
 
     schema = pa.schema([("component", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+    dealt = dealt.repartition("component", "i", "j")  # not by component alone, which one task would hold
     verified = materialise(dealt.groupBy("component", "i", "j").applyInArrow(link, "component long, a long, b long, links long"), "links")
     counts = verified.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     merged = components(verified.where(F.col("b").isNotNull()).select("a", "b")).withColumnsRenamed({"component": "class"})
@@ -214,8 +227,8 @@ def similarity_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = linked.groupBy("class").agg(F.min("first").alias("head"))
     linked = materialise(linked.join(heads, "class").join(counts, "node", "left").select("key", "head", F.coalesce("links", F.lit(0)).alias("links")), "linked")
     # nodes without links to others, the most, need no join but that with their rows
-    of_node = nodes.select("key", "first", "copies").join(linked, "key", "left").select("key", "first", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = known.select("id", "digest", "key").join(of_node, "key", "left")
+    of_node = nodes.select("key", "first", "copies").join(linked, "key", "left").select("key", "first", "copies", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    out = _with_nodes(known.select("id", "digest", "key"), of_node, nodes)
     named = lambda c: F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col(c)["id"]).cast(kind)
     is_head = F.col("first").isNull() | (F.col("head.id").eqNullSafe(F.col("id")) & (F.col("head.digest") == F.col("digest")))
     return out.select(F.col("id").alias(id_col), "digest", named("head").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), named("first").alias("representative"), is_head.alias("head"))

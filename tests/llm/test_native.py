@@ -133,6 +133,13 @@ CASES = [
 ]
 
 
+def test_licenses_in_very_long_texts(spark):
+    """A notice as the last of many lines, and a whole licence with so much appended that it is another text."""
+    rows = [(1, "line of a long text\n" * 200_000 + "Licensed under the Apache License, Version 2.0"), (2, lic._MIT + " word" * 300_000), (3, "x" * 2_000_000)]
+    got = lic.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), lic.known_digests(spark)).collect()
+    assert {(r["doc_id"], r["unit"], r["line"]): r["license"] for r in got} == {(1, "text", 0): None, (1, "line", 200_001): "Apache-2.0", (2, "text", 0): None, (3, "text", 0): None}
+
+
 def test_license_scan(spark):
     known = lic.known_digests(spark)
     docs = spark.createDataFrame([(i, t, "x", "y", 3) for i, t in CASES], "doc_id long, text string, digest string, license string, line int")

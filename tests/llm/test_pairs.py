@@ -85,6 +85,13 @@ def test_links_of_repeated_and_null_ids(spark):
         assert sorted(((r["doc_id"] or 0), r["class_id"] or 0, r["n_links"], r["head"]) for r in got) == [(0, 0, 1, True), (0, 0, 1, True), (0, 1, 2, False), (1, 1, 0, True), (1, 1, 2, True), (2, 1, 2, False)]
 
 
+def test_copies_of_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    docs = spark.createDataFrame([(i, LONG) for i in range(50, 90)] + [(i, f"text {i} of the many others here") for i in range(20)] + [(99, LONG + " more"), (None, LONG), (7, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similarity_classes(docs.where("doc_id <> 7 OR text IS NOT NULL OR doc_id IS NULL")).collect()}
+    assert all(got[i] == (50, 41) for i in [*range(50, 90), 99, None]) and all(got[i] == (i, 0) for i in range(20))
+
+
 def test_ids_that_are_texts(spark):
     docs = spark.createDataFrame([("x9", LONG), ("b", LONG + " more"), (None, "alone and not alike")], "doc_id string, text string")
     got = sorted((r["doc_id"] or "", r["class_id"] or "", r["n_links"]) for r in ngram_join.similarity_classes(docs).collect())
@@ -125,7 +132,7 @@ def test_components(spark):
 
 
 def test_components_of_a_large_star(spark, monkeypatch):
-    from loomgraph.llm import components as module
+    from loomgraph.operators import components as module
 
     monkeypatch.setattr(module, "HOT", 10)
     edges = [(i, 1000) for i in range(500)] + [(2000, i) for i in range(0, 500, 3)] + [(3000 + i, 3001 + i) for i in range(70)]
