@@ -2,69 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that one Python batch holds at most (a longer single text is a batch alone).
-BATCH_BYTES = 8 << 20
-#: Rows of a narrow table (an id or two) that is broadcast at most, see checked().
-BROADCAST_ROWS = 1_000_000
-_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+from loomgraph.storage import BROADCAST_ROWS, checked, cut, scope, scratch_dir
 
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "Memo", "checked", "code_points", "column", "fold", "materialise", "scope", "scratch_dir", "share", "slices"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return base.rstrip("/")
+#: Bytes of text that one Python batch holds at most (a longer single text is a batch alone).
+BATCH_BYTES = 4 << 20
 
 
 def materialise(df: DataFrame, label: str, into: list[str] | None = None) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared scratch folder and returns the table read again.
-
-    This cuts lineage: later stages survive lost executors without recomputing what stands before.
-    The table stays until the scope() that it was written in ends, or for good without one, or
-    where its path is put ``into`` a list.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/loomgraph-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    if (own := _scope.get() if into is None else into) is not None:
-        own.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scope(spark: SparkSession, also: list[str] | None = None) -> Iterator[None]:
-    """Deletes, at its end, the tables that materialise() wrote within it and in no inner scope,
-    and those of the paths ``also``.
-
-    Results that read them have to be written or collected before; other results are untouched.
-    """
-    own = [*(also or [])]
-    mark = _scope.set(own)
-    try:
-        yield
-    finally:
-        _scope.reset(mark)
-        for path in own:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def checked(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A narrow side of a join, marked for broadcast if it has at most ``most`` rows; a larger one
-    is left to a shuffled join."""
-    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+    """``df`` as a table of the shared scratch folder, see storage.cut()."""
+    return cut(df, label, into)
 
 
 def fold(doc_id: str | Column, n: int) -> Column:
@@ -91,6 +47,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTE
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             base, start = int(ends[stop - 1]), stop
+        del batch
+        pa.default_memory_pool().release_unused()  # else a worker keeps the room of its largest batch
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -36,7 +36,7 @@ SHARD_SAMPLE = 50
 K1, B = 1.2, 0.75
 #: Terms that at least one in COMMON pieces has are scored for all seeds by one product of matrices, in shards
 #: of at most DENSE pieces; the result is the same.
-COMMON, DENSE = 16, 4096
+COMMON, DENSE = 16, 2048
 
 
 class Encoder:
@@ -192,12 +192,13 @@ class Index:
     def _product(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> np.ndarray:
         _, at = np.unique(term, return_inverse=True)
         out, start = np.zeros((self.n, self.n), np.float32), 0
-        width = max(1, (1 << 22) // self.n)  # terms of a block
+        width = max(1, (1 << 21) // self.n)  # terms of a block
         for first in range(0, int(at[-1]) + 1, width):
             stop = int(np.searchsorted(at, first + width))
             block = np.zeros((self.n, width), np.float32)
             block[doc[start:stop], at[start:stop] - first] = weight[start:stop]
-            out += (block > 0).astype(np.float32) @ block.T
+            for row in range(0, self.n, 256):  # what stands beside the result stays small
+                out[row : row + 256] += (block[row : row + 256] > 0).astype(np.float32) @ block.T
             start = stop
         return out
 
@@ -260,7 +261,7 @@ def pack_shard(sizes: np.ndarray, neighbours, length: int = LENGTH) -> list[tupl
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", path: str | None = None, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS, piece_tokens: int = PIECE_TOKENS, batch_bytes: int = BATCH_BYTES // 4) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", path: str | None = None, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS, piece_tokens: int = PIECE_TOKENS, batch_bytes: int = BATCH_BYTES // 2) -> DataFrame:
     """One row for each piece of a document in a sequence: id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset.
 
