@@ -7,6 +7,7 @@ most.  Every stage but the last returns the columns of documents.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,26 @@ from loomgraph.llm import decontam, langid, ngram_join, packing, secrets
 from loomgraph.llm.common import checked, fold, materialise, scope
 
 
+#: Documents of an Arrow batch at most, so that a batch of long texts stays small in both processes.
+BATCH_ROWS, SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(stage):
+    """A stage whose Python batches hold at most BATCH_ROWS documents.
+
+    Spark reads that setting when the result is computed, so a stage that is called by itself
+    leaves it (never above what it was) for its caller; run() puts it back.
+    """
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(SETTING)) <= BATCH_ROWS:
+            spark.conf.set(SETTING, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter (null and empty ones too) and texts of no likely language.
 
@@ -62,11 +83,11 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("secret_scan", secret_scan),
-    ("packing", packing_stage),
+    ("language_id", small_batches(language_id)),
+    ("near_duplicates", small_batches(near_duplicates)),
+    ("decontamination", small_batches(decontamination)),
+    ("secret_scan", small_batches(secret_scan)),
+    ("packing", small_batches(packing_stage)),
 ]
 
 #: Models, signatures and packing are beyond SQL; tests hold each stage against brute force.
@@ -75,10 +96,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, from the documents of ``sf_dir``."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for name, stage in STAGES[:-1]:
-        now: list[str] = []
-        with scope(spark, before):  # what a stage wrote for itself, and its input, go when its output stands
-            docs = materialise(stage(spark, docs, sf_dir), name, now)
-        before = now
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before, was = spark.read.parquet(f"{sf_dir}/documents.parquet"), [], spark.conf.getAll.get(SETTING)
+    try:
+        for name, stage in STAGES[:-1]:
+            now: list[str] = []
+            with scope(spark, before):  # what a stage wrote for itself, and its input, go when its output stands
+                docs = materialise(stage(spark, docs, sf_dir), name, now)
+            before = now
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.unset(SETTING) if was is None else spark.conf.set(SETTING, was)
