@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from loomgraph.llm import decontam, langid, ngram_join, packing, secrets
 from loomgraph.llm.common import checked, fold, materialise, scope
 
-
 #: Documents of an Arrow batch at most, so that a batch of long texts stays small in both processes.
 BATCH_ROWS, SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -59,7 +58,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = materialise(again.where("n > 1").select("doc_id", "digest"), "again")
     if again.isEmpty():
         return docs.join(checked(gone), of(gone), "left_anti")
-    kept = docs.join(checked(gone.unionByName(again)), of(gone), "left_anti")
+    both = gone.unionByName(again)
+    kept = docs.join(checked(both), of(both), "left_anti")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     one = docs.join(checked(again), of(again), "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("one"))
     return kept.unionByName(one.select("doc_id", "text", "one.*").select(docs.columns))
