@@ -15,7 +15,7 @@ from loomgraph.functions import scalars as S
 from loomgraph.operators import clusters, intents, search
 from loomgraph.operators import relational as R
 from loomgraph.plans import adapters as A
-from loomgraph.sources import build, contextfiles, parsing, stores
+from loomgraph.sources import build, contextfiles, parsing, snapshot, stores
 from loomgraph.storage import scratch_dir
 from loomgraph.streaming import watch
 
@@ -344,3 +344,98 @@ def functions_by_export(spark, sf):
     counted = lambda df, name: df.groupBy("module_id").agg(F.count("*").alias(name))
     every = f.select("module_id").distinct()
     return every.join(counted(p.select(exported=True), "exported"), "module_id", "left").join(counted(p.select(exported=False), "inner_ones"), "module_id", "left").fillna(0)
+
+
+def _parsed(spark: SparkSession, sf: str, path: str, text: str, **more: str) -> DataFrame:
+    """Parsed files that are made of the parts by two expressions."""
+    return parsing.parse_files(_parts(spark, sf, path=path, text=text, **more).select("path", F.regexp_replace("text", "~", "\n").alias("text")))
+
+
+_ROUTE = _case("p_partkey % 4", ["'app.get(\"/a/' || p_partkey || '\", auth, h' || p_partkey || ');~'", "'router.post(\"/b/' || p_partkey || '\", h' || p_partkey || ');~'", "'server.listen(3);~prisma.file.delete(\"x\");~'", "'api.put(\"/c/' || p_partkey || '\", one, two, h' || p_partkey || ');~'"])
+
+
+@query("SELECT 'r/' || p_partkey || '.ts' AS file, CASE p_partkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, CASE p_partkey % 4 WHEN 0 THEN '/a/' WHEN 1 THEN '/b/' ELSE '/c/' END || p_partkey AS path, 'h' || p_partkey AS handler, CASE p_partkey % 4 WHEN 0 THEN 'auth' WHEN 1 THEN '' ELSE 'one,two' END AS middlewares, 1 AS line FROM part WHERE p_partkey % 4 <> 2")
+def source_routes(spark, sf):
+    r = parsing.child(_parsed(spark, sf, "'r/' || p_partkey || '.ts'", _ROUTE), "routes")
+    return r.select("file", "method", "path", "handler", F.array_join("middlewares", ",").alias("middlewares"), "line")
+
+
+_IMPORT = _case("p_partkey % 4", ["'import { a, b } from \"./m' || p_partkey || '\";~'", "'import d from \"lib' || p_partkey || '\";~'", "'const { x, y } = require(\"./r' || p_partkey || '\");~'", "'const z = require(\"pkg' || p_partkey || '\");~'"])
+
+
+@query("SELECT 'i/' || p_partkey || '.js' AS file, CASE p_partkey % 4 WHEN 0 THEN './m' WHEN 1 THEN 'lib' WHEN 2 THEN './r' ELSE 'pkg' END || p_partkey AS source, CASE p_partkey % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN 'd' WHEN 2 THEN 'x,y' ELSE 'z' END AS names, p_partkey % 2 = 1 AS is_default FROM part")
+def source_imports(spark, sf):
+    """Imports of both module systems."""
+    i = parsing.child(_parsed(spark, sf, "'i/' || p_partkey || '.js'", _IMPORT), "imports")
+    return i.select("file", "source", F.array_join("names", ",").alias("names"), "is_default")
+
+
+_FUNCTION = f"'/** Does ' || {_W1} || ' */~export async function f' || p_partkey || '(a: number, b?: ' || {_U1} || '): Promise<' || {_U1} || '> {{~  if (!a) {{~    return null;~  }}~  try {{~    g' || p_partkey || '(a);~  }} catch (e) {{~    throw new Error(\"x\");~  }}~}}~'".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"SELECT 'f' || p_partkey AS name, 'a:number,b:' || u || '?' AS params, 'Promise<' || u || '>' AS return_type, 'Does ' || w AS purpose, 'g' || p_partkey || ',Error' AS calls, '!a' AS edge_cases, 'try-catch,throw' AS errors, 2 AS start_line, 11 AS end_line, true AS is_async, true AS is_exported FROM {_sql(u=_U1, w=_W1)}")
+def source_signatures(spark, sf):
+    """What is read of a function: signature, comment, calls, conditions that leave, errors, lines."""
+    f = parsing.child(_parsed(spark, sf, "'f/' || p_partkey || '.ts'", _FUNCTION), "functions")
+    params = F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit(":"), p["type"], F.when(p["optional"], "?").otherwise(""))), ",")
+    errors = F.array_join(F.transform("error_handling", lambda e: e["type"]), ",")
+    return f.select("name", params.alias("params"), "return_type", "purpose", F.array_join("calls", ",").alias("calls"), F.array_join("edge_cases", ",").alias("edge_cases"), errors.alias("errors"), "start_line", "end_line", "is_async", "is_exported")
+
+
+_GO = f"'package store~~// Saves ' || {_W1} || '~func (s *Store) F' || p_partkey || '(a, b int, c ' || {_W2} || '.T) (int, error) {{~    if a == 0 {{~        return 0, nil~    }}~    if err != nil {{~        panic(\"x\")~    }}~    run' || p_partkey || '(a)~    return 1, nil~}}~'".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"SELECT 'Store.F' || p_partkey AS name, 'a:int,b:int,c:' || w2 || '.T' AS params, 'Saves ' || w1 AS purpose, 'run' || p_partkey AS calls, 'a == 0,err != nil' AS edge_cases, 'try-catch,throw' AS errors, 4 AS start_line, 13 AS end_line, true AS is_exported FROM {_sql(w1=_W1, w2=_W2)}")
+def go_methods(spark, sf):
+    """Methods of Go sources: receiver, shared types, comment, calls, conditions and panics."""
+    c = parsing.child(_parsed(spark, sf, "'store/f' || p_partkey || '.go'", _GO), "classes")
+    f = c.select(F.explode("methods").alias("m")).select("m.*")
+    params = F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ",")
+    errors = F.array_join(F.transform("error_handling", lambda e: e["type"]), ",")
+    return f.select("name", params.alias("params"), "purpose", F.array_join("calls", ",").alias("calls"), F.array_join("edge_cases", ",").alias("edge_cases"), errors.alias("errors"), "start_line", "end_line", "is_exported")
+
+
+_PAGE = _case("p_partkey % 3", ["'app/(shop)/p' || p_partkey || '/route.ts'", "'app/api/p' || p_partkey || '/[id]/route.ts'", "'src/app/p' || p_partkey || '/page.tsx'"])
+
+
+@query("SELECT CASE p_partkey % 3 WHEN 0 THEN '/p' || p_partkey ELSE '/api/p' || p_partkey || '/:id' END AS url, unnest(['GET', 'POST']) AS method FROM part WHERE p_partkey % 3 <> 2")
+def page_routes(spark, sf):
+    """Routes that files declare by their place."""
+    text = "'export function GET() {}~export async function POST() {}~export function helper() {}~'"
+    return parsing.next_routes(_parsed(spark, sf, _PAGE, text)).select("url", "method")
+
+
+_FOUND = _case("p_partkey % 9", ["'src/p' || p_partkey || '.ts'", "'src/p' || p_partkey || '.test.ts'", "'node_modules/p/' || p_partkey || '.ts'", "'dist/p' || p_partkey || '.js'", "'lib/deep/p' || p_partkey || '.jsx'", "'p' || p_partkey || '.py'", "'src/gen/p' || p_partkey || '.ts'", "'src/p' || p_partkey || '.d.ts'", "'old/p' || p_partkey || '.tsx'"])
+
+
+@query(f"SELECT path FROM {_sql(path=_FOUND)} WHERE p_partkey % 9 IN (0, 4)")
+def discovered_files(spark, sf):
+    """Sources of a language without what it and an ignore file leave out."""
+    files = _parts(spark, sf, path=_FOUND).select("path")
+    return parsing.discover(files, "typescript", parsing.ignore_globs("# made\ngen/\n\n!kept.ts\nold/*.tsx\n"))
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM {A.FUNCTIONS}")
+def id_ranks(spark, sf):
+    """The numbers that a written snapshot gives to ids."""
+    return snapshot.ranks(A.functions(spark, sf))
+
+
+@query(f"SELECT f.id, f.name, coalesce(string_agg(c.dst, ',' ORDER BY c.dst), '') AS calls FROM {A.FUNCTIONS} f LEFT JOIN {A.CALLS} c ON c.src = f.id GROUP BY f.id, f.name")
+def snapshot_round_trip(spark, sf):
+    """Functions and their calls after they were written in compact form and read again."""
+    calls = A.part_calls(spark, sf).groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("calls"))
+    f = A.functions(spark, sf).select("id", "name").join(calls, "id", "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))
+    path = f"{scratch_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    snapshot.write_snapshot(f, path)
+    return snapshot.read_snapshot(spark, path, "id string, name string").select("id", "name", F.array_join("calls", ",").alias("calls"))
+
+
+@query(f"WITH d AS (SELECT coalesce(d.path, l.path) AS path, CASE WHEN d.path IS NULL THEN 'deleted' ELSE 'modified' END AS status FROM {A.DISK} d FULL JOIN {A.FILES} l ON d.path = l.path WHERE l.path IS NOT NULL AND (d.path IS NULL OR left(d.hash, 16) <> left(l.hash, 16))), r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY path) AS k FROM d) SELECT status, count(*) AS total, string_agg(path, ',' ORDER BY path) FILTER (k <= 50) AS paths FROM r GROUP BY status")
+def listed_changes(spark, sf):
+    """Changed files as the tools list them: how many, the first of them, and new ones only if they are sources."""
+    from loomgraph.api import Project
+
+    f = A.files(spark, sf)
+    listed = Project(f, f, f, f, f).listed_changes(A.disk(spark, sf))
+    return listed.select("status", "total", F.array_join("paths", ",").alias("paths"))
