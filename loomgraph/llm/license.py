@@ -35,6 +35,21 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+_MIT0 = _MIT.replace(", subject to the following conditions:", ".").replace("\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "")
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <{}://unlicense.org{}>"""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_MPL_HEADER = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+_GNU_HEADER = """This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+You should have received a copy of the GNU {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."""
+_GNU = [("GPL-3.0", "program", "General Public License", "3"), ("AGPL-3.0", "program", "Affero General Public License", "3"), ("LGPL-3.0", "library", "Lesser General Public License", "3"), ("LGPL-2.1", "library", "Lesser General Public License", "2.1")]
+
 #: (licence, kind, text): licence texts with and without a title, and one-line notices.
 KNOWN = [
     ("MIT", "text", _MIT), ("MIT", "text", "MIT License\n" + _MIT), ("MIT", "text", "The MIT License (MIT)\n" + _MIT),
@@ -43,6 +58,11 @@ KNOWN = [
     ("BSD-2-Clause", "text", _BSD.format("")), ("BSD-2-Clause", "text", "BSD 2-Clause License\n" + _BSD.format("")),
     ("BSD-3-Clause", "text", _BSD.format(_BSD3)), ("BSD-3-Clause", "text", "BSD 3-Clause License\n" + _BSD.format(_BSD3)),
     ("Zlib", "text", _ZLIB), ("Zlib", "text", "zlib License\n" + _ZLIB),
+    ("MIT-0", "text", _MIT0), ("MIT-0", "text", "MIT No Attribution\n" + _MIT0),
+    *[("Unlicense", "text", _UNLICENSE.format(scheme, end)) for scheme in ("http", "https") for end in ("", "/")],
+    ("BSL-1.0", "text", _BOOST), ("BSL-1.0", "text", "Boost Software License - Version 1.0 - August 17th, 2003\n" + _BOOST),
+    ("MPL-2.0", "notice", _MPL_HEADER), ("MPL-2.0", "notice", _MPL_HEADER.replace("https", "http")),
+    *[(k, "notice", text) for k, what, name, version in _GNU for whole in (_GNU_HEADER.format(what=what, name=name, version=version),) for text in (whole, whole.split("\n")[0])],
     *[(k, "notice", f"{verb} {the}{name}") for k, names in (("MIT", ("MIT License",)), ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 License")), ("GPL-3.0", ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3")), ("GPL-2.0", ("GNU General Public License, version 2", "GPLv2")), ("BSD-3-Clause", ("BSD 3-Clause License",)), ("MPL-2.0", ("Mozilla Public License, version 2.0",)), ("CC-BY-4.0", ("CC BY 4.0",)), ("CC-BY-SA-4.0", ("CC BY-SA 4.0",)), ("CC-BY-NC-4.0", ("CC BY-NC 4.0",)), ("CC0-1.0", ("CC0 1.0",))) for name in names for verb in ("Released under", "Licensed under", "This work is licensed under", "Distributed under") for the in ("", "the ")],
     *[(k, "notice", f"SPDX-License-Identifier: {k}") for k in ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0")],
 ]

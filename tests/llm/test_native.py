@@ -133,6 +133,15 @@ CASES = [
 ]
 
 
+def test_every_known_text_is_found(spark):
+    """In capitals, re-wrapped and with a copyright line before it; no two licences share a digest."""
+    whole = [(i, k, t) for i, (k, kind, t) in enumerate(lic.KNOWN) if kind == "text"]
+    odd = lambda t: "Copyright (c) 2021 Somebody\n" + t.upper().replace(". ", ".\n   ")
+    got = lic.license_scan(spark.createDataFrame([(i, odd(t)) for i, _, t in whole], "doc_id long, text string"), lic.known_digests(spark)).where("unit = 'text'").collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {i: k for i, k, _ in whole}
+    assert len({k for _, k, _ in whole}) >= 9 and {"GPL-3.0", "AGPL-3.0", "LGPL-2.1", "MPL-2.0"} <= {k for k, kind, _ in lic.KNOWN if kind == "notice"}
+
+
 def test_licenses_in_very_long_texts(spark):
     """A notice as the last of many lines, and a whole licence with so much appended that it is another text."""
     rows = [(1, "line of a long text\n" * 200_000 + "Licensed under the Apache License, Version 2.0"), (2, lic._MIT + " word" * 300_000), (3, "x" * 2_000_000)]
