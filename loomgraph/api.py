@@ -96,7 +96,7 @@ class Project:
         if self.nodes is None or self.edges is None:
             return graph.impact(self.calls, self.functions, self.find_file(path).select("id"))
         used = self.edges.where("type <> 'contains'").select("src", "dst")
-        return graph.impact(used, self.nodes, self.changed(path))
+        return graph.impact(used, self.nodes, self.changed(path), copy=False)
 
     def before_edit(self, path: str) -> DataFrame:
         """One row on a file: impacted, exported functions at risk, broken rules, cycles."""

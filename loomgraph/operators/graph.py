@@ -12,17 +12,18 @@ from loomgraph.storage import BROADCAST_ROWS, cut
 COMPACT = 8
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, *, most: int | None = None, undirected: bool = False, reverse: bool = True) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, *, most: int | None = None, undirected: bool = False, reverse: bool = True, copy: bool = True) -> DataFrame:
     """(id, depth): nodes reached from the seeds (column id) and their least distance.
 
     Each round joins the frontier with the edges, drops what was seen and writes the new frontier,
     so lineage does not grow and the seen set is never gathered.  Cycles end where a round finds
-    nothing new.
+    nothing new.  The edges are written once, too; without ``copy`` they are read from where they
+    are in each round, which is better for edges that are a table already.
     """
     e = edges.select(F.col("src").alias("to"), F.col("dst").alias("at")) if reverse else edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
     if undirected:
         e = e.unionByName(e.select(F.col("to").alias("at"), F.col("at").alias("to")))
-    e = cut(e)
+    e = cut(e) if copy else e
     seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier, n, depth = seen, seen.count(), 0
     while n and (most is None or depth < most):
@@ -38,13 +39,13 @@ def bfs(edges: DataFrame, seeds: DataFrame, *, most: int | None = None, undirect
     return seen
 
 
-def impact(edges: DataFrame, nodes: DataFrame, changed: DataFrame, most: int | None = None) -> DataFrame:
+def impact(edges: DataFrame, nodes: DataFrame, changed: DataFrame, most: int | None = None, copy: bool = True) -> DataFrame:
     """(id, module_id, depth, risk) of everything that depends on the changed nodes.
 
     Depth 1 outside the modules of the changed nodes is critical, other depth 1 high, depth 2
     medium, the rest low.
     """
-    reached = bfs(edges, changed, most=most).where("depth > 0")
+    reached = bfs(edges, changed, most=most, copy=copy).where("depth > 0")
     own = nodes.join(changed.select("id").distinct(), "id", "left_semi").select("module_id").distinct().withColumn("own", F.lit(True))
     cross = F.col("own").isNull()
     risk = F.when((F.col("depth") == 1) & cross, "critical").when(F.col("depth") == 1, "high").when(F.col("depth") == 2, "medium").otherwise("low")

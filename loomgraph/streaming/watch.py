@@ -160,7 +160,7 @@ class Watcher:
                 changed = self.graph.nodes.join(paths.withColumnRenamed("path", "file"), "file", "left_semi").select("id")
                 # containment tells nothing of who depends on whom
                 used = self.graph.edges.where("type <> 'contains'").select("src", "dst")
-                hit = G.bfs(used, changed).where("depth > 0").select("id").join(changed, "id", "left_anti")
+                hit = G.bfs(used, changed, copy=False).where("depth > 0").select("id").join(changed, "id", "left_anti")
             self._note(now.join(paths, "path", "left_semi"))
             self.hashes.delete(gone)
             self._tell("graph:updated", mode=mode, changed=cut(changed, "changed"), impacted=cut(hit, "impacted"))
