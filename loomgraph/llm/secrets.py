@@ -221,6 +221,18 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None, dictiona
     return Forest(grown.trees, dictionary)
 
 
+def frequent_words(docs: DataFrame, text_col: str = "text", share: float = 0.001, most: int = 20_000) -> frozenset[str]:
+    """A dictionary for train(): words of 3 to 12 letters that at least ``share`` of all documents
+    hold, the ``most`` frequent at most, which bounds what every task holds.
+
+    All texts are read whole; words are counted once a document.  Null texts have none.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower(text_col), r"[^\p{L}]+"), lambda w: F.char_length(w).between(3, 12)))
+    held = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    least = docs.count() * share
+    return frozenset(r["w"] for r in held.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most).collect())
+
+
 def judged(text: str | None, path: str | None, forest: Forest) -> list[tuple[int, int, float]]:
     """(start, end, probability) of every candidate of a text."""
     spans = candidates(text)

@@ -219,6 +219,17 @@ def test_findings_written_by_hand():
     assert np.mean((p >= 0.5) == np.array([r[4] for r in BY_HAND])) >= 0.85
 
 
+def test_a_dictionary_of_the_corpus(spark):
+    """Words that many documents hold, whatever their repeats; with it, names of their words are covered."""
+    docs = spark.createDataFrame([(i, f"the Lampara glows, glows; rare{i} {'glimmer' if i % 2 else ''}") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    words = secrets.frequent_words(docs, share=0.4)
+    assert words == {"the", "lampara", "glows", "glimmer", "rare"}
+    assert secrets.frequent_words(docs, share=0.4, most=2) == {"glows", "lampara"} and secrets.frequent_words(docs.limit(0)) == frozenset()
+    assert secrets.coverage("LamparaGlows", words) == 1.0 and secrets.coverage("LamparaGlows") < 0.3
+    model = secrets.train(secrets.labelled_findings(300), words)
+    assert model.dictionary == words and len(secrets.judged('token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"', None, model)) == 1
+
+
 def test_features_by_brute_force():
     """Shares, transitions, entropy and coverage of the whole candidate, by loops; and of two that differ late."""
     for s in ("aB3$user-nameZZ9", "é" * 3 + "passwordX1", "q" * 2000 + "Z9-" * 500):
