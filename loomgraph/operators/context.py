@@ -84,3 +84,14 @@ def collapse_paths(paths: DataFrame, least: float = 0.6) -> DataFrame:
     n = paths.groupBy("group").agg(F.count("*").alias("n"))
     hit = t.groupBy("group", "prefix", "depth").agg(F.count("*").alias("hits")).join(n, "group").where(F.col("hits") >= F.ceil(F.col("n") * least))
     return hit.groupBy("group").agg(F.max_by("prefix", F.struct("depth", "prefix")).alias("prefix"))
+
+
+def modules_by_selection(selected: DataFrame, most: int | None = None) -> DataFrame:
+    """(module_id, selected): modules in order of how many of their functions were selected."""
+    out = selected.groupBy("module_id").agg(F.count("*").alias("selected")).orderBy(F.desc("selected"), "module_id")
+    return out if most is None else out.limit(most)
+
+
+def constraints_of(modules: DataFrame, constraints: DataFrame) -> DataFrame:
+    """(module_id, ord): the declared constraints (ord, raw) that name a module by its id."""
+    return modules.select("module_id").distinct().join(checked(constraints.select("ord", "raw")), F.contains(F.lower("raw"), F.lower("module_id"))).select("module_id", "ord")

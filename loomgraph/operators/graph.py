@@ -52,6 +52,26 @@ def impact(edges: DataFrame, nodes: DataFrame, changed: DataFrame, most: int | N
     return reached.join(nodes.select("id", "module_id"), "id").join(own, "module_id", "left").select("id", "module_id", "depth", risk.alias("risk"))
 
 
+def truncated(hit: DataFrame, most: int = 10) -> DataFrame:
+    """(risk, id, rank, truncated): the nearest ``most`` of each risk, and whether there are more."""
+    w = Window.partitionBy("risk").orderBy("depth", "id")
+    total = hit.groupBy("risk").agg((F.count("*") > most).alias("truncated"))
+    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).join(total, "risk").select("risk", "id", "rank", "truncated")
+
+
+def subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges whose both ends are among the ids."""
+    return edges.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi").join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+
+def neighbours(edges: DataFrame, forward: bool = True) -> DataFrame:
+    """(id, place, other): the adjacency of a graph as rows, in order of the other end; a hub is
+    many rows, not one long one."""
+    a, b = ("src", "dst") if forward else ("dst", "src")
+    t = edges.select(F.col(a).alias("id"), F.col(b).alias("other"))
+    return t.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("other"))).select("id", "place", "other")
+
+
 def confidence(n: Column, depth: Column) -> Column:
     return F.when((n < 5) & (depth < 3), "high").when((n < 20) & (depth < 6), "medium").otherwise("low")
 
@@ -148,6 +168,29 @@ def violations(moded: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.groupBy("src", "dst", "from_module", "to_module").agg(F.min_by("kind", "ord").alias("kind"), F.min("ord").alias("rule"))
 
 
+def summary_of(broken: DataFrame) -> DataFrame:
+    """One row: how many calls break rules, how many rules are broken, and whether none is."""
+    return broken.agg(F.count("*").alias("errors"), F.count_distinct("rule").alias("rules_broken"), (F.count("*") == 0).alias("pass"))
+
+
+def name_pairs(moded: DataFrame, functions: DataFrame) -> DataFrame:
+    """(from_module, to_module, name_pairs): distinct pairs of names that call across modules."""
+    n = functions.select("id", "name")
+    t = moded.where("from_module <> to_module").join(n.toDF("src", "a"), "src").join(n.toDF("dst", "b"), "dst")
+    return t.groupBy("from_module", "to_module").agg(F.count_distinct(F.struct("a", "b")).alias("name_pairs"))
+
+
+def file_connectivity(edges: DataFrame, nodes: DataFrame, most: int = 25) -> DataFrame:
+    """(file, n): the files with most ends of edges in them; nodes (id, file)."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    return ends.join(nodes.select("id", "file"), "id").groupBy("file").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file").limit(most)
+
+
+def module_dependencies(moded: DataFrame) -> DataFrame:
+    """(from_module, to_module): which module depends on which, once."""
+    return moded.where("from_module <> to_module").select("from_module", "to_module").distinct()
+
+
 def public_api(moded: DataFrame) -> DataFrame:
     """Nodes with a caller in another module."""
     return moded.where("from_module <> to_module").select(F.col("dst").alias("id"), F.col("to_module").alias("module_id")).distinct()

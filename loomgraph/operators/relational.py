@@ -200,3 +200,21 @@ def pivot_counts(df: DataFrame, row: str, column: str, value: str, columns: list
 def merge_siblings(clusters: DataFrame) -> DataFrame:
     """Clusters (id, base, files, confidence) of one base directory as one."""
     return clusters.groupBy("base").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))), ",").alias("files"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+def most_frequent(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """The most frequent value of each group; of equally frequent ones the least."""
+    n = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
+    return n.groupBy(*group).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(value))
+
+
+def folder_globs(df: DataFrame, group: str, path: str) -> DataFrame:
+    """(group, paths): the distinct folders of each group's paths as globs, sorted."""
+    folder = F.concat(F.regexp_replace(path, "/[^/]*$", ""), F.lit("/**"))
+    return df.groupBy(group).agg(F.array_sort(F.collect_set(folder)).alias("paths"))
+
+
+def told_apart(name: str, by: str) -> Column:
+    """A name, with another column in brackets where several rows have it."""
+    n = F.count("*").over(Window.partitionBy(name))
+    return F.when(n > 1, F.concat(name, F.lit(" ("), by, F.lit(")"))).otherwise(F.col(name))

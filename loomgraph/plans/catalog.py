@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
-from loomgraph.operators import context, graph, intents, reports, search
+from loomgraph.operators import context, graph, reports, search
 from loomgraph.operators import relational as R
 from loomgraph.plans import adapters as A
+from loomgraph.sources import pages
 from loomgraph.streaming import batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,16 +64,12 @@ def impact_summary(spark, sf):
 
 @query(_HIT + "SELECT risk, id, rank, total > 10 AS truncated FROM (SELECT risk, id, row_number() OVER (PARTITION BY risk ORDER BY depth, id) AS rank, count(*) OVER (PARTITION BY risk) AS total FROM risk) WHERE rank <= 10")
 def impact_truncated(spark, sf):
-    hit = impact_risk(spark, sf)
-    total = hit.groupBy("risk").agg((F.count("*") > 10).alias("truncated"))
-    return R.top_in(hit, ["risk"], [F.col("depth"), F.col("id")], 10).join(total, "risk").select("risk", "id", "rank", "truncated")
+    return graph.truncated(impact_risk(spark, sf))
 
 
 @query(_HIT + f"SELECT e.src, e.dst FROM e WHERE e.src IN (SELECT id FROM risk WHERE depth <= 2 UNION SELECT 's:1') AND e.dst IN (SELECT id FROM risk WHERE depth <= 2 UNION SELECT 's:1')")
 def impact_subgraph(spark, sf):
-    ids = graph.bfs(A.edges(spark, sf), _changed(spark), most=2).select("id")
-    e = A.edges(spark, sf)
-    return e.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return graph.subgraph(A.edges(spark, sf), graph.bfs(A.edges(spark, sf), _changed(spark), most=2))
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src AS a, dst AS b FROM {A.CALLS} UNION SELECT dst, src FROM {A.CALLS}), w(id, depth) AS (SELECT 'p:1', 0 UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.id WHERE w.depth < 3) SELECT id, min(depth) AS depth FROM w GROUP BY id""")
@@ -126,9 +123,9 @@ def fan_in_out_topk(spark, sf):
     return R.top_in(long, ["module_id", "kind"], [F.desc("n"), F.col("id")], 5).select("module_id", "kind", "id", "n", "rank")
 
 
-@query(f"SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS calls FROM {A.CALLS} GROUP BY src")
+@query(f"SELECT src AS id, row_number() OVER (PARTITION BY src ORDER BY dst) AS place, dst AS other FROM {A.CALLS}")
 def adjacency_lists(spark, sf):
-    return A.part_calls(spark, sf).groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("calls"))
+    return graph.neighbours(A.part_calls(spark, sf))
 
 
 @query(f"""SELECT f.id, f.name, f.module_id, coalesce(o.calls, '') AS calls, coalesce(i.called_by, '') AS called_by FROM {A.FUNCTIONS} f
@@ -171,7 +168,7 @@ def boundary_violations(spark, sf):
 
 @query(f"SELECT count(*) AS errors, count(DISTINCT rule) AS rules_broken, count(*) = 0 AS pass FROM {_VIOLATIONS}")
 def boundary_summary(spark, sf):
-    return boundary_violations(spark, sf).agg(F.count("*").alias("errors"), F.count_distinct("rule").alias("rules_broken"), (F.count("*") == 0).alias("pass"))
+    return graph.summary_of(boundary_violations(spark, sf))
 
 
 @query(f"SELECT DISTINCT dst AS id, to_module AS module_id FROM {A.MODED} WHERE from_module <> to_module")
@@ -355,14 +352,12 @@ def dup_id_suffix(spark, sf):
 
 @query(f"SELECT id, CASE WHEN n > 1 THEN name || ' (' || module_id || ')' ELSE name END AS label FROM (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM {A.FUNCTIONS})")
 def dup_name_labels(spark, sf):
-    n = F.count("*").over(Window.partitionBy("name"))
-    return A.functions(spark, sf).select("id", F.when(n > 1, F.concat("name", F.lit(" ("), "module_id", F.lit(")"))).otherwise(F.col("name")).alias("label"))
+    return A.functions(spark, sf).select("id", R.told_apart("name", "module_id").alias("label"))
 
 
 @query("SELECT source, arg_min(lang, (-n, lang)) AS lang FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL) GROUP BY source")
 def language_mode(spark, sf):
-    n = A.table(spark, sf, "documents").where("lang IS NOT NULL").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return n.groupBy("source").agg(F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("lang"))
+    return R.most_frequent(A.table(spark, sf, "documents").where("lang IS NOT NULL"), ["source"], "lang")
 
 
 @query(f"SELECT path, hash, seq FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, seq DESC) AS n FROM {A.CHANGES}) WHERE n = 1")
@@ -398,9 +393,9 @@ def hot_modules(spark, sf):
 
 @query("SELECT DISTINCT p.page_id AS source, h AS target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS h FROM pages) p WHERE h IN (SELECT h FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS h FROM pages) GROUP BY h HAVING count(DISTINCT page_id) > 1)")
 def page_link_graph(spark, sf):
-    links = A.table(spark, sf, "pages").select(F.col("page_id").alias("source"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1)).alias("target")).distinct()
-    shared = links.groupBy("target").agg(F.count("*").alias("n")).where("n > 1").select("target")
-    return links.join(shared, "target", "left_semi").select("source", "target")
+    p = A.table(spark, sf, "pages")
+    shared = pages.links(p).groupBy(F.col("target").alias("path")).agg(F.count("*").alias("n")).where("n > 1")
+    return pages.link_graph(p, shared)
 
 
 @query(f"SELECT count(*) AS functions, count(DISTINCT file) AS files, count(DISTINCT module_id) AS modules, count(*) FILTER (is_exported) AS exported, round(avg(size)) AS average_size FROM {A.FUNCTIONS}")
@@ -470,20 +465,17 @@ def file_match_fallback(spark, sf):
 
 @query(f"SELECT module_id, string_agg(DISTINCT regexp_replace(file, '/[^/]*$', '') || '/**', ',') AS paths FROM {A.FUNCTIONS} GROUP BY module_id")
 def parent_dir_globs(spark, sf):
-    d = F.concat(F.regexp_replace("file", "/[^/]*$", ""), F.lit("/**"))
-    return A.functions(spark, sf).groupBy("module_id").agg(F.array_join(F.array_sort(F.collect_set(d)), ",").alias("paths"))
+    return R.folder_globs(A.functions(spark, sf), "module_id", "file").select("module_id", F.array_join("paths", ",").alias("paths"))
 
 
 @query(f"SELECT file, count(*) AS n FROM (SELECT a.file FROM {A.CALLS} e JOIN {A.FUNCTIONS} a ON a.id = e.src UNION ALL SELECT b.file FROM {A.CALLS} e JOIN {A.FUNCTIONS} b ON b.id = e.dst) GROUP BY file ORDER BY n DESC, file LIMIT 25")
 def file_connectivity(spark, sf):
-    f = A.functions(spark, sf).select("id", "file")
-    ends = A.part_calls(spark, sf).select(F.explode(F.array("src", "dst")).alias("id"))
-    return ends.join(f, "id").groupBy("file").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file").limit(25)
+    return graph.file_connectivity(A.part_calls(spark, sf), A.functions(spark, sf))
 
 
 @query(f"SELECT m.module_id, coalesce(n, 0) AS dependants, coalesce(deps, '') AS depends_on FROM (SELECT DISTINCT module_id FROM {A.NODES}) m LEFT JOIN (SELECT to_module, count(DISTINCT from_module) AS n FROM {A.MODED} WHERE from_module <> to_module GROUP BY to_module) a ON a.to_module = m.module_id LEFT JOIN (SELECT from_module, string_agg(DISTINCT to_module, ',' ORDER BY to_module) AS deps FROM {A.MODED} WHERE from_module <> to_module GROUP BY from_module) b ON b.from_module = m.module_id")
 def module_dependencies(spark, sf):
-    x = A.moded(spark, sf).where("from_module <> to_module").select("from_module", "to_module").distinct()
+    x = graph.module_dependencies(A.moded(spark, sf))
     n = x.groupBy(F.col("to_module").alias("module_id")).agg(F.count("*").alias("dependants"))
     d = x.groupBy(F.col("from_module").alias("module_id")).agg(F.array_join(F.array_sort(F.collect_list("to_module")), ",").alias("depends_on"))
     return A.nodes(spark, sf).select("module_id").distinct().join(n, "module_id", "left").join(d, "module_id", "left").fillna(0, ["dependants"]).fillna("", ["depends_on"])
@@ -546,9 +538,7 @@ def module_files(spark, sf):
 
 @query(f"SELECT m.module_id AS module_id, c.ord FROM (SELECT DISTINCT module_id FROM {A.FUNCTIONS}) m JOIN (VALUES (0, 'Economy parts stay cheap'), (1, 'No promo in large'), (2, 'other')) AS c(ord, raw) ON contains(lower(c.raw), lower(m.module_id))")
 def module_constraints(spark, sf):
-    c = A.small(spark, ["Economy parts stay cheap", "No promo in large", "other"], "raw")
-    m = A.functions(spark, sf).select("module_id").distinct()
-    return m.join(F.broadcast(c), F.contains(F.lower("raw"), F.lower("module_id"))).select("module_id", "ord")
+    return context.constraints_of(A.functions(spark, sf), A.small(spark, ["Economy parts stay cheap", "No promo in large", "other"], "raw"))
 
 
 @query(f"SELECT g AS glob_module, count(*) AS files, sha256(string_agg(h, '' ORDER BY h)) AS hash FROM (SELECT DISTINCT file, sha256(file) AS h FROM {A.FUNCTIONS}) f JOIN (VALUES ('cheap', '^src/economy/.*$'), ('cheap', '^src/small/[^/]*\\.ts$'), ('brand1', '^src/(?:.+/)?Brand1[^/]*\\.ts$'), ('large', '^src/large/.*$')) AS m(g, r) ON regexp_matches(f.file, m.r) GROUP BY g")
@@ -575,9 +565,7 @@ def callee_names(spark, sf):
 
 @query(f"SELECT from_module, to_module, count(DISTINCT a.name || '>' || b.name) AS name_pairs FROM {A.PMODED} e JOIN {A.FUNCTIONS} a ON a.id = e.src JOIN {A.FUNCTIONS} b ON b.id = e.dst WHERE from_module <> to_module GROUP BY ALL")
 def distinct_name_pairs(spark, sf):
-    n = A.functions(spark, sf).select("id", "name")
-    x = A.part_moded(spark, sf).where("from_module <> to_module").join(n.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst")
-    return x.groupBy("from_module", "to_module").agg(F.count_distinct(F.struct("a", "b")).alias("name_pairs"))
+    return graph.name_pairs(A.part_moded(spark, sf), A.functions(spark, sf))
 
 
 _PURPOSES = f"(SELECT *, CASE WHEN size % 2 = 0 THEN name || ' does it. Really.' ELSE '' END AS purpose FROM {A.FUNCTIONS})"
@@ -623,7 +611,7 @@ def changed_and_impacted(spark, sf):
 
 @query(f"SELECT module_id, count(*) AS selected FROM {A.FUNCTIONS} WHERE contains(name, 'ring') GROUP BY module_id ORDER BY selected DESC, module_id LIMIT 3")
 def modules_by_selection(spark, sf):
-    return A.functions(spark, sf).where("contains(name, 'ring')").groupBy("module_id").agg(F.count("*").alias("selected")).orderBy(F.desc("selected"), "module_id").limit(3)
+    return context.modules_by_selection(A.functions(spark, sf).where("contains(name, 'ring')"), 3)
 
 
 @query("SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, left(sha256(array_slice(encode(text), 1, 8192)), 16) AS quick FROM documents WHERE text IS NOT NULL")
