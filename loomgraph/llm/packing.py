@@ -171,11 +171,12 @@ class Index:
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
         n = self.n = len(ids)
-        owner = np.repeat(np.arange(n, dtype=np.int64), [len(x) for x in ids])
-        key = np.sort(np.concatenate(ids).astype(np.int64) * n + owner)
+        wide = np.uint32 if len(idf) * n < 1 << 32 else np.uint64  # the narrower sorts faster
+        owner = np.repeat(np.arange(n, dtype=wide), [len(x) for x in ids])
+        key = np.sort(np.concatenate(ids).astype(wide) * wide(n) + owner)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         tf = np.diff(np.append(first, len(key)))
-        term, doc = key[first] // n, key[first] % n
+        term, doc = (a.astype(np.int64) for a in np.divmod(key[first], wide(n)))
         norm = K1 * (1 - B + B * np.array([len(x) for x in ids]) / max(mean, 1))
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
         held = np.bincount(term)[term]
