@@ -115,7 +115,7 @@ def following(docs: DataFrame, key: str, columns: list[str], parts: int = 0) ->
     One shuffle, no global sort in one task: quantiles of the key (actual keys; for a key of many
     rows, of their hashes) cut the rows into ranges; the row that ends a range also goes, as a
     guest, to the range that it follows.  Ties of the key are ordered by the hash of the columns,
-    descending; null keys come last.
+    descending; null keys come last.  Rows that are alike in key and columns lie in one range.
     """
     spark = docs.sparkSession
     parts = parts or min(MOST_RANGES, max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
