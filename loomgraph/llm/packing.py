@@ -32,6 +32,8 @@ LENGTH, END = 2048, 1
 SHARD_TOKENS, PIECE_TOKENS = 1_000_000, 32_768
 #: Pieces of a shard (in expectation) whose keys are read to find the bounds of shards.
 SHARD_SAMPLE = 50
+#: Characters from which a text's ids are taken as a buffer.
+LONG = 1 << 18
 #: BM25's constants.
 K1, B = 1.2, 0.75
 #: Terms that at least one in COMMON pieces has are scored for all seeds by one product of matrices, in shards
@@ -76,7 +78,13 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of whole texts."""
         quick = [self.ranked is not None and (not t or _latin(t) and not any(x in t for x in self.special)) for t in texts]
         rest = iter(self.tok.encode_batch_fast([t or "" for t, q in zip(texts, quick) if not q], add_special_tokens=False))
-        return [_little(self.ranked.encode_ordinary(t) if t else []) if q else _little(next(rest).ids) for t, q in zip(texts, quick)]
+        return [self._ids(t) if q else _little(next(rest).ids) for t, q in zip(texts, quick)]
+
+    def _ids(self, text: str | None) -> bytes:
+        """The ids by ranks; those of a long text are never numbers of Python, which take 16 times as much."""
+        if text and len(text) > LONG:
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return _little(self.ranked.encode_ordinary(text) if text else [])
 
 
 @lru_cache(maxsize=4)

@@ -33,6 +33,15 @@ def test_ids_equal_the_library(text):
     assert np.frombuffer(packing.encoder(path)([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_long_texts(monkeypatch):
+    path, tok = _load("byte_bpe_50k.json")
+    texts = ["word's 12  é\n\tend. " * 20_000, "x" * 300_000, "short <|endoftext|> " * 30]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert packing.encoder(path)(texts) == want
+    monkeypatch.setattr(packing, "LONG", 3)
+    assert packing.encoder(path)([t[:500] for t in texts]) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch([t[:500] for t in texts], add_special_tokens=False)]
+
+
 def test_ids_of_whole_documents(sf):
     import pyarrow.parquet as pq
 
