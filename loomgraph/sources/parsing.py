@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.errors import UnsupportedLanguage
 from loomgraph.functions.scalars import glob_regex
+from loomgraph.storage import cut
 
 from . import golang, script
 
@@ -29,6 +30,8 @@ CHILDREN = {
 #: Parsers by extension; a plug-in is a function (path, text) -> entities.
 PARSERS: dict[str, tuple[str, Callable[[str, str], dict]]] = {**{e: ("typescript", script.parse) for e in (".ts", ".tsx")}, **{e: ("javascript", script.parse) for e in (".js", ".mjs", ".cjs", ".jsx")}, ".go": ("go", golang.parse)}
 
+# Tasks for each core that files are dealt to, and bytes of entities that are handed on at once.
+TASKS_PER_CORE, SLICE = 4, 4 << 20
 # What is discovered and ignored for each language.
 IGNORED = ["**/.git/**", "**/coverage/**", "**/build/**"]
 DISCOVERY = {
@@ -80,6 +83,13 @@ def language_of(path: Column) -> Column:
     return out
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Files dealt by path to a number of tasks that the cores set: a small table is read by few
+    tasks, often one, whatever the work on each of its rows.  A count that is given is kept by
+    adaptive execution, which would join small partitions again."""
+    return files.repartition(TASKS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism, "path")
+
+
 def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
     """One row for each file (path, text): language, hash and arrays of its entities.
 
@@ -88,9 +98,10 @@ def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
     schema = "path string, language string, hash string, " + ", ".join(f"{k} {v}" for k, v in CHILDREN.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([(k, pa.string()) for k in ("path", "language", "hash", "entities")])
         for b in batches:
-            out = {"path": [], "language": [], "hash": [], "entities": []}
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out, held = {k: [] for k in kinds.names}, 0
+            for path, text in ((x.as_py(), y.as_py()) for x, y in zip(b.column(0), b.column(1))):
                 ext = next((e for e in PARSERS if path.endswith(e)), None)
                 if ext is None:
                     if strict:
@@ -101,9 +112,13 @@ def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
                 out["language"].append(lang)
                 out["hash"].append(hashlib.sha256((text or "").encode()).hexdigest())
                 out["entities"].append(json.dumps(parse(path, text or "")))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.string()) for k in out]))
+                held += len(out["entities"][-1])
+                if held >= SLICE:
+                    yield pa.RecordBatch.from_pydict(out, schema=kinds)
+                    out, held = {k: [] for k in kinds.names}, 0
+            yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
-    raw = files.select("path", "text").mapInArrow(run, "path string, language string, hash string, entities string")
+    raw = spread(files.select("path", "text")).mapInArrow(run, "path string, language string, hash string, entities string")
     kind = ", ".join(f"{k} {v}" for k, v in CHILDREN.items())
     return raw.select("path", "language", "hash", F.from_json("entities", kind, {"mode": "FAILFAST"}).alias("e")).select("path", "language", "hash", "e.*").to(spark_schema(files.sparkSession, schema))
 
@@ -130,4 +145,5 @@ def next_routes(parsed: DataFrame) -> DataFrame:
     own = parsed.where(F.rlike("path", F.lit(r"(^|/)app/(.*/)?route\.(ts|js|tsx|jsx)$")))
     names = F.array_distinct(F.concat(F.transform("functions", lambda f: f["name"]), F.transform("generics", lambda g: g["name"])))
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract("path", r"(?:^|/)app/((?:.*/)?)route\.\w+$", 1), r"\([^)/]*\)/", ""), r"\[\.\.\.([^\]]+)\]", "*$1"), r"\[([^\]]+)\]", ":$1")
-    return own.select("path", F.explode(F.array_intersect(names, F.lit(verbs))).alias("method"), F.concat(F.lit("/"), F.regexp_replace(url, "/$", "")).alias("url")).orderBy("url", "method")
+    found = own.select("path", F.explode(F.array_intersect(names, F.lit(verbs))).alias("method"), F.concat(F.lit("/"), F.regexp_replace(url, "/$", "")).alias("url"))
+    return cut(found, "routes").orderBy("url", "method")  # a sort looks at its rows twice: written, files are not parsed twice
