@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 
-from .parsing import matches
+from .parsing import matches, spread
 
 # Where such files lie, where they are not looked for, how large one may be, and in
 # which order their types come.
@@ -42,9 +42,13 @@ def discover(files: DataFrame, ignore: list[str] = ()) -> DataFrame:
     as they tell of the past.  Files are distinct paths; order by priority, then path.
     """
     wanted, skipped = ([g for p in patterns for g in braces(p)] for patterns in (PATTERNS, [*SKIPPED, *ignore]))
-    size = F.octet_length("text").cast("long")
-    found = files.where(matches(F.col("path"), wanted) & ~matches(F.col("path"), skipped)).dropDuplicates(["path"])
-    found = found.select("path", S.context_kind(F.col("path")).alias("type"), size.alias("size"), "text").where(F.col("size").between(1, LARGEST))
-    schema = found.agg((F.count_if(F.col("type") == "schema") > 0).alias("has_schema"))
+    size, kind = F.octet_length("text").cast("long"), S.context_kind(F.col("path"))
+    # large texts go first; paths are judged and told apart by as many tasks as there are cores for: the partition's
+    # number keeps the optimizer from judging them where they are read
+    dealt = F.spark_partition_id() >= 0
+    listed = matches(F.col("path"), wanted) & ~matches(F.col("path"), skipped)
+    fit = files.select("path", "text", size.alias("size")).where(F.col("size").between(1, LARGEST))
+    found = spread(fit).where(F.when(dealt, listed)).dropDuplicates(["path"]).select("path", kind.alias("type"), "size", "text")
+    schema = spread(fit.select("path")).where(F.when(dealt, (kind == "schema") & listed)).agg((F.count("*") > 0).alias("has_schema"))
     kept = found.crossJoin(F.broadcast(schema)).where("NOT (has_schema AND type = 'migration')")  # one row
     return kept.select("path", "type", "size", priority(F.col("type")).alias("priority"), "text")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph
-from loomgraph.sources import parsing
+from loomgraph.sources import contextfiles, parsing
 
 
 def plan(df):
@@ -31,3 +31,13 @@ def test_sorted_routes_do_not_parse_twice(spark):
     found = parsing.next_routes(parsing.parse_files(files))
     assert "MapInArrow" not in plan(found)
     assert [r["url"] for r in found.collect()] == sorted(f"/p{i}" for i in range(20))
+
+
+def test_context_files_are_judged_by_all_cores(spark):
+    files = one_task(spark, "'src/models/' || id || '.ts'", "CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 50001) ELSE 'x' END")
+    found = contextfiles.discover(files)
+    assert tasks(found) >= spark.sparkContext.defaultParallelism
+    assert found.count() == 1000
+    # a large or empty copy of a path does not hide the one that fits
+    both = spark.createDataFrame([("src/models/a.ts", "x" * 50001), ("src/models/a.ts", "x"), ("src/models/a.ts", "")], "path string, text string")
+    assert [r["size"] for r in contextfiles.discover(both.coalesce(1)).collect()] == [1]
