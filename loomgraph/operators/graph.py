@@ -136,10 +136,15 @@ def fan(edges: DataFrame) -> DataFrame:
 
 
 def with_modules(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose both ends are nodes, with the modules of both."""
+    """Edges whose both ends are nodes, with the modules of both.
+
+    The second join keeps the number of shuffle partitions: joined to fewer, as adaptive execution
+    does while they are small when compressed, a task would sort and tell apart many times as many.
+    """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a = nodes.select(F.col("id").alias("src"), F.col("module_id").alias("from_module"))
     b = nodes.select(F.col("id").alias("dst"), F.col("module_id").alias("to_module"))
-    return edges.join(a, "src").join(b, "dst").select("src", "dst", "from_module", "to_module")
+    return edges.join(a, "src").repartition(n, "dst").join(b, "dst").select("src", "dst", "from_module", "to_module")
 
 
 def cross_calls(moded: DataFrame) -> DataFrame:
@@ -160,12 +165,19 @@ def module_health(moded: DataFrame, nodes: DataFrame, imports: DataFrame | None
 
 
 def violations(moded: DataFrame, rules: DataFrame) -> DataFrame:
-    """Edges that break a rule (ord, kind, from_module, to_modules); of several the first counts."""
-    e = moded.where("from_module <> to_module")
+    """Edges that break a rule (ord, kind, from_module, to_modules); of several the first counts.
+
+    Rules are what people declare and go to every task: dealt by module, a task would hold all
+    edges of one.
+    """
     r = rules.where("kind IS NOT NULL").select("ord", "kind", F.col("from_module").alias("fm"), "to_modules")
+    named = [x["fm"] for x in r.select("fm").distinct().collect()]  # as declared
+    e = moded.where("from_module <> to_module").where(F.lower("from_module").isin(named))
     broken = (F.col("kind") == "deny") & F.array_contains("to_modules", F.lower("to_module")) | (F.col("kind") == "allow_only") & ~F.array_contains("to_modules", F.lower("to_module")) | (F.col("kind") == "isolated")
-    hit = e.join(r, (F.lower("from_module") == F.col("fm")) & broken)
-    return hit.groupBy("src", "dst", "from_module", "to_module").agg(F.min_by("kind", "ord").alias("kind"), F.min("ord").alias("rule"))
+    hit = e.join(F.broadcast(r), (F.lower("from_module") == F.col("fm")) & broken)
+    first = hit.groupBy("src", "dst", "from_module", "to_module").agg(F.min("ord").alias("rule"))
+    kinds = r.select(F.col("ord").alias("rule"), "kind").dropDuplicates(["rule"])
+    return first.join(F.broadcast(kinds), "rule").select("src", "dst", "from_module", "to_module", "kind", "rule")
 
 
 def summary_of(broken: DataFrame) -> DataFrame:

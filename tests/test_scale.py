@@ -41,3 +41,11 @@ def test_context_files_are_judged_by_all_cores(spark):
     # a large or empty copy of a path does not hide the one that fits
     both = spark.createDataFrame([("src/models/a.ts", "x" * 50001), ("src/models/a.ts", "x"), ("src/models/a.ts", "")], "path string, text string")
     assert [r["size"] for r in contextfiles.discover(both.coalesce(1)).collect()] == [1]
+
+
+def test_edges_are_not_dealt_by_module_for_rules(spark):
+    moded = spark.createDataFrame([("a", "b", "0", "1"), ("a", "b", "0", "1"), ("c", "d", "X", "0"), ("e", "f", "1", "0"), ("g", "h", "0", "0")], "src string, dst string, from_module string, to_module string")
+    rules = spark.createDataFrame([(3, "isolated", "0", []), (1, "deny", "0", ["1"]), (2, "allow_only", "x", ["1"]), (4, None, "1", [])], "ord int, kind string, from_module string, to_modules array<string>")
+    broken = graph.violations(moded, rules)
+    assert "hashpartitioning(lower(" not in plan(broken) and "hashpartitioning(fm" not in plan(broken)
+    assert sorted(map(tuple, broken.collect())) == [("a", "b", "0", "1", "deny", 1), ("c", "d", "X", "0", "allow_only", 2)]
