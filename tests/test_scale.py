@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph
-from loomgraph.sources import contextfiles, parsing
+from loomgraph.sources import contextfiles, masking, parsing
 
 
 def plan(df):
@@ -49,3 +49,13 @@ def test_edges_are_not_dealt_by_module_for_rules(spark):
     broken = graph.violations(moded, rules)
     assert "hashpartitioning(lower(" not in plan(broken) and "hashpartitioning(fm" not in plan(broken)
     assert sorted(map(tuple, broken.collect())) == [("a", "b", "0", "1", "deny", 1), ("c", "d", "X", "0", "allow_only", 2)]
+
+
+def test_depth_of_braces():
+    mask = "}a{b{c}d}e{}{"
+    depth, d, want = masking.Depth(mask), 0, []
+    for c in mask:
+        d -= c == "}"
+        want.append(d)
+        d += c == "{"
+    assert [depth[i] for i in range(len(mask))] == want
