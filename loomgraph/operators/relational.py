@@ -168,7 +168,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list[tuple[st
     for e in endings:
         if not e.startswith("/"):
             done = done | F.endswith("_path", F.lit(e))
-    t = imports.select("file", "source").distinct().withColumn("_path", path).withColumn("_known", known).withColumn("_done", done)
+    # the number of shuffle partitions is kept: these rows are small when compressed and become several each
+    n = int(imports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = imports.select("file", "source").repartition(n, "file", "source").distinct().withColumn("_path", path).withColumn("_known", known).withColumn("_done", done)
     tries = t.select("file", "source", "_path", "_known", "_done", F.posexplode(F.array(*[F.concat("_path", F.lit(e)) for e in endings])).alias("_k", "_try"))
     found = tries.join(files.select(F.col("path").alias("_try")).distinct().withColumn("_hit", F.lit(True)), "_try", "left")
     best = found.groupBy("file", "source", "_path", "_known", "_done").agg(F.min_by("_try", F.when(F.col("_hit"), F.col("_k"))).alias("_best"))

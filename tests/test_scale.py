@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph
+from loomgraph.operators import graph, relational
 from loomgraph.sources import contextfiles, masking, parsing
 
 
@@ -59,3 +59,11 @@ def test_depth_of_braces():
         want.append(d)
         d += c == "{"
     assert [depth[i] for i in range(len(mask))] == want
+
+
+def test_imports_keep_their_shuffle_partitions(spark):
+    imports = one_task(spark, "'a' || id || '.ts'", "'./b' || id", 400).toDF("file", "source")
+    files = spark.createDataFrame([("b7.ts",)], "path string")
+    found = relational.resolve_imports(imports, files, [], [".ts", ".tsx"])
+    assert tasks(found) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.where("target = 'b7.ts'").count() == 1
