@@ -77,13 +77,27 @@ def all_lines() -> Iterator[None]:
         _returned.reset(mark)
 
 
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem")
+    return (lines.where("l_returnflag = 'R'") if _returned.get() else lines).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
 def part_calls(spark: SparkSession, sf: str) -> DataFrame:
     """(src, dst): a returned part calls the returned part on the next line of the same order;
-    within all_lines() any part calls the part on the next line."""
-    lines = table(spark, sf, "lineitem")
-    lines = (lines.where("l_returnflag = 'R'") if _returned.get() else lines).select("l_orderkey", "l_linenumber", "l_partkey").distinct()
-    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next"))
-    return lines.join(after, ["l_orderkey", "l_linenumber"]).select(_id("p", "l_partkey").alias("src"), _id("p", "next").alias("dst")).distinct()
+    within all_lines() any part calls the part on the next line.
+
+    Only the next lines are told apart before the join, where they are dealt as it needs them: so
+    copies of a line do not multiply, and pairs are told apart once, by their numbers."""
+    lines, at = _lines(spark, sf), ["l_orderkey", "l_linenumber"]
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next")).repartition(*at).distinct()
+    return lines.join(after, at).select("l_partkey", "next").distinct().select(_id("p", "l_partkey").alias("src"), _id("p", "next").alias("dst"))
+
+
+def called_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """(id): the distinct dst of part_calls, by a semi-join that makes no pairs."""
+    lines, at = _lines(spark, sf), ["l_orderkey", "l_linenumber"]
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), "l_partkey")
+    return after.join(lines.select(*at), at, "left_semi").select("l_partkey").distinct().select(_id("p", "l_partkey").alias("id"))
 
 
 _LINES = "(SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R')"

@@ -98,7 +98,7 @@ def dead_top_per_module(spark, sf):
 
 @query(f"SELECT id, name FROM {A.FUNCTIONS} WHERE id NOT IN (SELECT dst FROM {A.CALLS})")
 def entry_points(spark, sf):
-    return A.functions(spark, sf).join(A.part_calls(spark, sf).select(F.col("dst").alias("id")), "id", "left_anti").select("id", "name")
+    return A.functions(spark, sf).join(A.called_parts(spark, sf), "id", "left_anti").select("id", "name")
 
 
 @query(f"WITH c AS {A.CALLS} SELECT f.id FROM {A.FUNCTIONS} f WHERE EXISTS (SELECT 1 FROM c JOIN {A.FUNCTIONS} g ON g.id = c.src WHERE c.dst = f.id AND g.is_exported AND g.file = f.file)")

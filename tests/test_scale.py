@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, relational
+from loomgraph.plans import adapters, catalog
 from loomgraph.sources import contextfiles, masking, parsing
 
 
@@ -67,3 +68,23 @@ def test_imports_keep_their_shuffle_partitions(spark):
     found = relational.resolve_imports(imports, files, [], [".ts", ".tsx"])
     assert tasks(found) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert found.where("target = 'b7.ts'").count() == 1
+
+
+def test_calls_between_parts_deal_lines_by_order_and_line(spark, tmp_path):
+    rows = [(1, 1, 10), (1, 1, 10), (1, 2, 20), (1, 2, 20), (1, 2, 21), (1, 4, 40), (2, 1, 10), (2, 2, 20), (None, 1, 50), (None, 2, 51), (3, 1, None), (3, 2, 60), (4, 1, 70), (4, 2, None)]
+    lines = spark.createDataFrame([(o, n, p, "R") for o, n, p in rows] + [(1, 3, 30, "N")], "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    calls = adapters.part_calls(spark, str(tmp_path))
+    want = {("p:10", "p:20"), ("p:10", "p:21"), (None, "p:60"), ("p:70", None)}
+    got = list(map(tuple, calls.collect()))
+    assert set(got) == want and len(got) == len(want)
+    # lines are shuffled once for each side of the join, and by no other key before it
+    keys = [x for x in plan(calls).split("\n") if "hashpartitioning(l_orderkey" in x]
+    assert len(keys) == 2 and not any("l_partkey" in x or "next" in x for x in keys)
+    parts = spark.createDataFrame([(k, f"n {k}", "T", "B#1", 1) for k in (10, 20, 21, 30, 40, 60, 70)], "p_partkey long, p_name string, p_type string, p_brand string, p_size int")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    few = catalog.queries()["entry_points"](spark, str(tmp_path))
+    assert {r["id"] for r in few.collect()} == {"p:10", "p:30", "p:40", "p:70"}
+    every = catalog.queries()["entry_points_all"](spark, str(tmp_path))
+    assert {r["id"] for r in every.collect()} == {"p:10", "p:70"}
+    assert "LeftSemi" in plan(every)
