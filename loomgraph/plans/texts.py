@@ -302,7 +302,7 @@ def entry_files(spark, sf):
 def exported_names(spark, sf):
     s = _parts(spark, sf, path=_PATH, module=_KIND_OF)
     c = s.groupBy(F.col("module").alias("id")).agg(F.array_sort(F.collect_list("path")).alias("files"))
-    f = parsing.child(parsing.parse_files(sources(spark, sf)), "functions")
+    f = parsing.child(parsing.parse_files(sources(spark, sf), only=["functions"]), "functions")
     return clusters.exported_names(c, f).select("id", F.array_join("names", ",").alias("names"))
 
 
@@ -346,9 +346,9 @@ def functions_by_export(spark, sf):
     return every.join(counted(p.select(exported=True), "exported"), "module_id", "left").join(counted(p.select(exported=False), "inner_ones"), "module_id", "left").fillna(0)
 
 
-def _parsed(spark: SparkSession, sf: str, path: str, text: str, **more: str) -> DataFrame:
-    """Parsed files that are made of the parts by two expressions."""
-    return parsing.parse_files(_parts(spark, sf, path=path, text=text, **more).select("path", F.regexp_replace("text", "~", "\n").alias("text")))
+def _parsed(spark: SparkSession, sf: str, path: str, text: str, only: list[str] | None) -> DataFrame:
+    """Parsed files that are made of the parts by two expressions, with some kinds of entities."""
+    return parsing.parse_files(_parts(spark, sf, path=path, text=text).select("path", F.regexp_replace("text", "~", "\n").alias("text")), only=only)
 
 
 _ROUTE = _case("p_partkey % 4", ["'app.get(\"/a/' || p_partkey || '\", auth, h' || p_partkey || ');~'", "'router.post(\"/b/' || p_partkey || '\", h' || p_partkey || ');~'", "'server.listen(3);~prisma.file.delete(\"x\");~'", "'api.put(\"/c/' || p_partkey || '\", one, two, h' || p_partkey || ');~'"])
@@ -356,7 +356,7 @@ _ROUTE = _case("p_partkey % 4", ["'app.get(\"/a/' || p_partkey || '\", auth, h'
 
 @query("SELECT 'r/' || p_partkey || '.ts' AS file, CASE p_partkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, CASE p_partkey % 4 WHEN 0 THEN '/a/' WHEN 1 THEN '/b/' ELSE '/c/' END || p_partkey AS path, 'h' || p_partkey AS handler, CASE p_partkey % 4 WHEN 0 THEN 'auth' WHEN 1 THEN '' ELSE 'one,two' END AS middlewares, 1 AS line FROM part WHERE p_partkey % 4 <> 2")
 def source_routes(spark, sf):
-    r = parsing.child(_parsed(spark, sf, "'r/' || p_partkey || '.ts'", _ROUTE), "routes")
+    r = parsing.child(_parsed(spark, sf, "'r/' || p_partkey || '.ts'", _ROUTE, None), "routes")
     return r.select("file", "method", "path", "handler", F.array_join("middlewares", ",").alias("middlewares"), "line")
 
 
@@ -366,7 +366,7 @@ _IMPORT = _case("p_partkey % 4", ["'import { a, b } from \"./m' || p_partkey ||
 @query("SELECT 'i/' || p_partkey || '.js' AS file, CASE p_partkey % 4 WHEN 0 THEN './m' WHEN 1 THEN 'lib' WHEN 2 THEN './r' ELSE 'pkg' END || p_partkey AS source, CASE p_partkey % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN 'd' WHEN 2 THEN 'x,y' ELSE 'z' END AS names, p_partkey % 2 = 1 AS is_default FROM part")
 def source_imports(spark, sf):
     """Imports of both module systems."""
-    i = parsing.child(_parsed(spark, sf, "'i/' || p_partkey || '.js'", _IMPORT), "imports")
+    i = parsing.child(_parsed(spark, sf, "'i/' || p_partkey || '.js'", _IMPORT, None), "imports")
     return i.select("file", "source", F.array_join("names", ",").alias("names"), "is_default")
 
 
@@ -376,7 +376,7 @@ _FUNCTION = f"'/** Does ' || {_W1} || ' */~export async function f' || p_partkey
 @query(f"SELECT 'f' || p_partkey AS name, 'a:number,b:' || u || '?' AS params, 'Promise<' || u || '>' AS return_type, 'Does ' || w AS purpose, 'g' || p_partkey || ',Error' AS calls, '!a' AS edge_cases, 'try-catch,throw' AS errors, 2 AS start_line, 11 AS end_line, true AS is_async, true AS is_exported FROM {_sql(u=_U1, w=_W1)}")
 def source_signatures(spark, sf):
     """What is read of a function: signature, comment, calls, conditions that leave, errors, lines."""
-    f = parsing.child(_parsed(spark, sf, "'f/' || p_partkey || '.ts'", _FUNCTION), "functions")
+    f = parsing.child(_parsed(spark, sf, "'f/' || p_partkey || '.ts'", _FUNCTION, ["functions"]), "functions")
     params = F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit(":"), p["type"], F.when(p["optional"], "?").otherwise(""))), ",")
     errors = F.array_join(F.transform("error_handling", lambda e: e["type"]), ",")
     return f.select("name", params.alias("params"), "return_type", "purpose", F.array_join("calls", ",").alias("calls"), F.array_join("edge_cases", ",").alias("edge_cases"), errors.alias("errors"), "start_line", "end_line", "is_async", "is_exported")
@@ -388,7 +388,7 @@ _GO = f"'package store~~// Saves ' || {_W1} || '~func (s *Store) F' || p_partkey
 @query(f"SELECT 'Store.F' || p_partkey AS name, 'a:int,b:int,c:' || w2 || '.T' AS params, 'Saves ' || w1 AS purpose, 'run' || p_partkey AS calls, 'a == 0,err != nil' AS edge_cases, 'try-catch,throw' AS errors, 4 AS start_line, 13 AS end_line, true AS is_exported FROM {_sql(w1=_W1, w2=_W2)}")
 def go_methods(spark, sf):
     """Methods of Go sources: receiver, shared types, comment, calls, conditions and panics."""
-    c = parsing.child(_parsed(spark, sf, "'store/f' || p_partkey || '.go'", _GO), "classes")
+    c = parsing.child(_parsed(spark, sf, "'store/f' || p_partkey || '.go'", _GO, ["classes"]), "classes")
     f = c.select(F.explode("methods").alias("m")).select("m.*")
     params = F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ",")
     errors = F.array_join(F.transform("error_handling", lambda e: e["type"]), ",")
@@ -402,7 +402,7 @@ _PAGE = _case("p_partkey % 3", ["'app/(shop)/p' || p_partkey || '/route.ts'", "'
 def page_routes(spark, sf):
     """Routes that files declare by their place."""
     text = "'export function GET() {}~export async function POST() {}~export function helper() {}~'"
-    return parsing.next_routes(_parsed(spark, sf, _PAGE, text)).select("url", "method")
+    return parsing.next_routes(_parsed(spark, sf, _PAGE, text, ["functions", "generics"])).select("url", "method")
 
 
 _FOUND = _case("p_partkey % 9", ["'src/p' || p_partkey || '.ts'", "'src/p' || p_partkey || '.test.ts'", "'node_modules/p/' || p_partkey || '.ts'", "'dist/p' || p_partkey || '.js'", "'lib/deep/p' || p_partkey || '.jsx'", "'p' || p_partkey || '.py'", "'src/gen/p' || p_partkey || '.ts'", "'src/p' || p_partkey || '.d.ts'", "'old/p' || p_partkey || '.tsx'"])

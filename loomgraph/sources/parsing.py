@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +27,8 @@ CHILDREN = {
     "exports": "array<struct<name:string,kind:string,file:string>>",
     "routes": "array<struct<method:string,path:string,handler:string,middlewares:array<string>,file:string,line:int>>",
 }
-#: Parsers by extension; a plug-in is a function (path, text) -> entities.
-PARSERS: dict[str, tuple[str, Callable[[str, str], dict]]] = {**{e: ("typescript", script.parse) for e in (".ts", ".tsx")}, **{e: ("javascript", script.parse) for e in (".js", ".mjs", ".cjs", ".jsx")}, ".go": ("go", golang.parse)}
+#: Parsers by extension; a plug-in is a function (path, text, kinds) -> entities of these kinds, or of more.
+PARSERS: dict[str, tuple[str, Callable[[str, str, Collection[str]], dict]]] = {**{e: ("typescript", script.parse) for e in (".ts", ".tsx")}, **{e: ("javascript", script.parse) for e in (".js", ".mjs", ".cjs", ".jsx")}, ".go": ("go", golang.parse)}
 
 # Tasks for each core that files are dealt to, and bytes of entities that are handed on at once.
 TASKS_PER_CORE, SLICE = 4, 4 << 20
@@ -90,12 +90,15 @@ def spread(files: DataFrame) -> DataFrame:
     return files.repartition(TASKS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism, "path")
 
 
-def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
+def parse_files(files: DataFrame, strict: bool = False, only: Collection[str] | None = None) -> DataFrame:
     """One row for each file (path, text): language, hash and arrays of its entities.
 
     Files of other extensions are dropped, or with ``strict`` an error; null texts count as empty.
+    With ``only`` some kinds of entities (names of CHILDREN) just these are read and have columns.
     """
-    schema = "path string, language string, hash string, " + ", ".join(f"{k} {v}" for k, v in CHILDREN.items())
+    kept = {k: v for k, v in CHILDREN.items() if only is None or k in only}
+    kind = ", ".join(f"{k} {v}" for k, v in kept.items())
+    schema, wanted = f"path string, language string, hash string, {kind}", tuple(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([(k, pa.string()) for k in ("path", "language", "hash", "entities")])
@@ -111,7 +114,7 @@ def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
                 out["path"].append(path)
                 out["language"].append(lang)
                 out["hash"].append(hashlib.sha256((text or "").encode()).hexdigest())
-                out["entities"].append(json.dumps(parse(path, text or "")))
+                out["entities"].append(json.dumps(parse(path, text or "", wanted)))
                 held += len(out["entities"][-1])
                 if held >= SLICE:
                     yield pa.RecordBatch.from_pydict(out, schema=kinds)
@@ -119,7 +122,6 @@ def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     raw = spread(files.select("path", "text")).mapInArrow(run, "path string, language string, hash string, entities string")
-    kind = ", ".join(f"{k} {v}" for k, v in CHILDREN.items())
     return raw.select("path", "language", "hash", F.from_json("entities", kind, {"mode": "FAILFAST"}).alias("e")).select("path", "language", "hash", "e.*").to(spark_schema(files.sparkSession, schema))
 
 

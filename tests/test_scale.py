@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, relational
 from loomgraph.plans import adapters, catalog
-from loomgraph.sources import contextfiles, masking, parsing
+from loomgraph.sources import contextfiles, golang, masking, parsing, script
 
 
 def plan(df):
@@ -88,3 +88,19 @@ def test_calls_between_parts_deal_lines_by_order_and_line(spark, tmp_path):
     every = catalog.queries()["entry_points_all"](spark, str(tmp_path))
     assert {r["id"] for r in every.collect()} == {"p:10", "p:70"}
     assert "LeftSemi" in plan(every)
+
+
+def test_only_the_asked_kinds_are_read(spark, monkeypatch):
+    go = "package p\nimport \"fmt\"\nfunc (s *S) Run(a int) { go_on(a) }\nfunc main() { r.GET(\"/a\", h) }\n"
+    ts = "import { a } from './m';\nexport function f() {}\nclass K { run() {} }\ntype T = string;\napp.get('/x', h);\n"
+    files = spark.createDataFrame([("p/a.go", go), ("a.ts", ts)], "path string, text string")
+    every = {r["path"]: r.asDict() for r in parsing.parse_files(files).collect()}
+    for kind in parsing.CHILDREN:
+        some = parsing.parse_files(files, only=[kind])
+        assert some.columns == ["path", "language", "hash", kind]
+        assert {r["path"]: r[kind] for r in some.collect()} == {p: r[kind] for p, r in every.items()}
+    for module, names in ((script, ["functions", "classes", "generics", "exports", "imports"]), (golang, ["declared", "imports"])):
+        for name in names:
+            monkeypatch.setattr(module, name, None)  # a call fails
+    assert [r["path"] for r in script.parse("a.ts", ts, ["routes"])["routes"]] == ["/x"]
+    assert [r["path"] for r in golang.parse("p/a.go", go, ["routes"])["routes"]] == ["/a"]
