@@ -289,7 +289,7 @@ def go_exports(spark, sf):
     """Functions of Go sources made of the parts: a capital exports them."""
     p = _parts(spark, sf, name=_GO_NAME)
     files = p.select(F.concat(F.lit("pkg/p"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("path"), F.concat(F.lit("package pkg\n\nfunc "), "name", F.lit("(a int) error {\n\treturn nil\n}\n")).alias("text"))
-    return parsing.child(parsing.parse_files(files), "functions").select("name", "is_exported")
+    return parsing.child(parsing.parse_files(files, only=["functions"]), "functions").select("name", "is_exported")
 
 
 @query("SELECT path FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'src/' || p_partkey || '/index.ts' WHEN 1 THEN 'src/p' || p_partkey || '.ts' WHEN 2 THEN p_partkey || '/main.go' ELSE 'lib' || p_partkey || '.py' END AS path, p_partkey FROM part) WHERE p_partkey % 4 IN (0, 2)")
