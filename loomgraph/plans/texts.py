@@ -356,7 +356,7 @@ _ROUTE = _case("p_partkey % 4", ["'app.get(\"/a/' || p_partkey || '\", auth, h'
 
 @query("SELECT 'r/' || p_partkey || '.ts' AS file, CASE p_partkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, CASE p_partkey % 4 WHEN 0 THEN '/a/' WHEN 1 THEN '/b/' ELSE '/c/' END || p_partkey AS path, 'h' || p_partkey AS handler, CASE p_partkey % 4 WHEN 0 THEN 'auth' WHEN 1 THEN '' ELSE 'one,two' END AS middlewares, 1 AS line FROM part WHERE p_partkey % 4 <> 2")
 def source_routes(spark, sf):
-    r = parsing.child(_parsed(spark, sf, "'r/' || p_partkey || '.ts'", _ROUTE, None), "routes")
+    r = parsing.child(_parsed(spark, sf, "'r/' || p_partkey || '.ts'", _ROUTE, ["routes"]), "routes")
     return r.select("file", "method", "path", "handler", F.array_join("middlewares", ",").alias("middlewares"), "line")
 
 
