@@ -346,7 +346,7 @@ def functions_by_export(spark, sf):
     return every.join(counted(p.select(exported=True), "exported"), "module_id", "left").join(counted(p.select(exported=False), "inner_ones"), "module_id", "left").fillna(0)
 
 
-def _parsed(spark: SparkSession, sf: str, path: str, text: str, only: list[str] | None) -> DataFrame:
+def _parsed(spark: SparkSession, sf: str, path: str, text: str, only: list[str]) -> DataFrame:
     """Parsed files that are made of the parts by two expressions, with some kinds of entities."""
     return parsing.parse_files(_parts(spark, sf, path=path, text=text).select("path", F.regexp_replace("text", "~", "\n").alias("text")), only=only)
 
@@ -366,7 +366,7 @@ _IMPORT = _case("p_partkey % 4", ["'import { a, b } from \"./m' || p_partkey ||
 @query("SELECT 'i/' || p_partkey || '.js' AS file, CASE p_partkey % 4 WHEN 0 THEN './m' WHEN 1 THEN 'lib' WHEN 2 THEN './r' ELSE 'pkg' END || p_partkey AS source, CASE p_partkey % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN 'd' WHEN 2 THEN 'x,y' ELSE 'z' END AS names, p_partkey % 2 = 1 AS is_default FROM part")
 def source_imports(spark, sf):
     """Imports of both module systems."""
-    i = parsing.child(_parsed(spark, sf, "'i/' || p_partkey || '.js'", _IMPORT, None), "imports")
+    i = parsing.child(_parsed(spark, sf, "'i/' || p_partkey || '.js'", _IMPORT, ["imports"]), "imports")
     return i.select("file", "source", F.array_join("names", ",").alias("names"), "is_default")
 
 
