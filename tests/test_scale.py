@@ -1,5 +1,7 @@
 """What keeps a task's share of the work and of the rows bounded, on tables that one task reads."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, relational
@@ -104,3 +106,17 @@ def test_only_the_asked_kinds_are_read(spark, monkeypatch):
             monkeypatch.setattr(module, name, None)  # a call fails
     assert [r["path"] for r in script.parse("a.ts", ts, ["routes"])["routes"]] == ["/x"]
     assert [r["path"] for r in golang.parse("p/a.go", go, ["routes"])["routes"]] == ["/a"]
+
+
+def test_patterns_of_scripts_are_compiled_once(monkeypatch):
+    text = "import { f1 } from '../a/p1';\nimport d from \"lib\";\n/** Does it */\nexport async function f(a: number, b?: T): Promise<T> {\n  if (!a) { return null; }\n  try { f1(a); } catch (e) { throw new Error('x'); }\n}\nexport class K {\n  run(): void {\n    f(1);\n  }\n}\nconst g = (x) => x?.y(1);\ntype T = string;\n"
+    want = script.parse("a.ts", text)
+    asked = []
+    with monkeypatch.context() as m:
+        for name in ("finditer", "findall", "match", "fullmatch", "search", "sub"):
+            m.setattr(f"re.{name}", lambda *a, _f=getattr(re, name): asked.append(a[0]) or _f(*a))
+        assert script.parse("a.ts", text) == want
+    assert not asked
+    assert [f["calls"] for f in want["functions"]] == [["f1", "Error"], ["x.y"]] and [e["name"] for e in want["exports"]] == ["f", "K"]
+    src = masking.Source("a.ts", "a\n\nbc\n")
+    assert src.starts == [0, 2, 3, 6] and [src.line(i) for i in range(7)] == [1, 1, 2, 3, 3, 3, 4]
