@@ -51,15 +51,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by id and text, so all clean texts of one id, or of none, stay.  Null and
     empty texts and texts without words but their own are classes of their own and stay.
     """
-    rows = materialise(ngram_join.similarity_rows(docs), "rows")
+    rows = ngram_join.similarity_rows(docs)
     of = lambda side: docs["doc_id"].eqNullSafe(side["doc_id"]) & (ngram_join.text_digest(docs["text"]) == side["digest"])
-    gone = materialise(rows.where(~F.col("head")).select("doc_id", "digest").distinct(), "gone")
-    again = rows.where(F.col("head") & F.col("digest").isNotNull()).groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
-    again = materialise(again.where("n > 1").select("doc_id", "digest"), "again")
+    # rows of one id and text are all heads or none: one table has those that go and the heads that repeat
+    told = rows.where(~F.col("head") | F.col("digest").isNotNull()).groupBy("doc_id", "digest", "head").agg(F.count("*").alias("n"))
+    told = materialise(told.where("NOT head OR n > 1").select("doc_id", "digest", "head"), "told")
+    again = told.where("head")
+    kept = docs.join(checked(told), of(told), "left_anti")
     if again.isEmpty():
-        return docs.join(checked(gone), of(gone), "left_anti")
-    both = gone.unionByName(again)
-    kept = docs.join(checked(both), of(both), "left_anti")
+        return kept
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     one = docs.join(checked(again), of(again), "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("one"))
     return kept.unionByName(one.select("doc_id", "text", "one.*").select(docs.columns))

@@ -14,6 +14,8 @@ from loomgraph.storage import cut
 
 #: Edges of a node, at least, that are not shuffled to one task, and the nodes with that many at most.
 HOT, CENTRES = 256, 256
+#: Edges of a written file at least, but for the last.
+FILE_EDGES = 1 << 18
 
 
 def _stars(edges: DataFrame, centres: dict[int, int] | None = None) -> DataFrame:
@@ -35,27 +37,28 @@ def _stars(edges: DataFrame, centres: dict[int, int] | None = None) -> DataFrame
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int, DataFrame]:
-    """How many edges there are, a digest of them, and (u, n, m): each node's edges and the least
-    node among it and those beside it."""
-    h = F.xxhash64("u", "v").cast("decimal(38,0)")
-    k, digest = edges.agg(F.count("*"), F.sum(h)).first()
+def _state(edges: DataFrame) -> tuple[int, int, int, DataFrame]:
+    """How many edges there are, how many nodes have a lesser one and others beside them, the most edges of
+    a node, and (u, n, m): each node's edges and the least node among it and those beside it."""
     ends = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-    return k, int(digest or 0), ends.groupBy("u").agg(F.count("*").alias("n"), F.least(F.min("v"), F.first("u")).alias("m"))
+    nodes = ends.groupBy("u").agg(F.count("*").alias("n"), F.least(F.min("v"), F.first("u")).alias("m"))
+    k, loose, most = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("m") < F.col("u")) & (F.col("n") > 1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return k // 2, loose, most, nodes
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its smallest node.
 
     Nodes are of any ordered type.  Self-loops, repeated and null edges add nothing; an empty table gives an
-    empty one.  Rounds go on until the edges no longer change, O(log² n) of them.
+    empty one.  Rounds go on until every node but the least of its component has one edge, O(log² n) of them.
+    No round adds edges, so a table of them is as few files as those before it need.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e, "edges")
-    before, now = None, _state(e)
-    while now[0] and now[:2] != before:
-        hot = max(HOT, 2 * now[0] // CENTRES)  # so many nodes at most have more
-        centres = {r["u"]: r["m"] for r in now[2].where(F.col("n") > hot).collect()}
-        e, before = cut(_stars(_stars(e, centres)), "edges"), now[:2]
-        now = _state(e)
+    k, loose, most, nodes = _state(e)
+    while loose:
+        hot = max(HOT, 2 * k // CENTRES)  # so many nodes at most have more
+        centres = {r["u"]: r["m"] for r in nodes.where(F.col("n") > hot).collect()} if most > hot else {}
+        e = cut(_stars(_stars(e, centres)).coalesce(k // FILE_EDGES + 1), "edges")
+        k, loose, most, nodes = _state(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

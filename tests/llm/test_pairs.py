@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from loomgraph.llm import decontam, ngram_join, packing
+from loomgraph.llm.common import materialise
 from loomgraph.llm.components import components
 
 VOCAB = ["w%d" % i for i in range(300)]
@@ -313,3 +314,32 @@ def test_the_pipeline_leaves_other_results_and_settings(spark, sf):
     before, held = dict(spark.conf.getAll), packing.pack(docs)
     assert corpus_pipeline.run(spark, sf).count()
     assert held.count() and dict(spark.conf.getAll) == before
+
+
+def test_components_write_no_round_in_vain(spark, monkeypatch):
+    """Stars are done as they come, and rounds over few edges write one file, however many partitions there are."""
+    from loomgraph.operators import components as module
+
+    written, cut, name = [], module.cut, "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(module, "cut", lambda df, label: written.append(cut(df, label)) or written[-1])
+    spark.conf.set(name, "false")
+    try:
+        star = spark.createDataFrame([(1, i) for i in range(2, 40)] + [(50, 51)], "a long, b long")
+        assert {r["node"]: r["component"] for r in components(star).collect()} == {i: 1 for i in range(1, 40)} | {50: 50, 51: 50}
+        assert len(written) == 1
+        chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+        assert {r["node"]: r["component"] for r in components(chain).collect()} == dict.fromkeys(range(41), 0)
+        assert len(written) > 2 and all(len(t.inputFiles()) == 1 for t in written[2:])
+    finally:
+        spark.conf.unset(name)
+
+
+def test_rows_are_told_apart_in_one_table(spark, sf, monkeypatch):
+    """Of the rows, only those that go or repeat a head are written."""
+    written = []
+    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df, label, into=None: written.append(label) or materialise(df, label, into))
+    rows = [(1, LONG, "en"), (1, LONG, "de"), (2, LONG + " more", "en"), (2, "quite another text that is here", "en"), (None, None, "en"), (None, None, "en"), (3, "alone and not alike", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["lang"]) for r in got) == [(0, "", "en"), (0, "", "en"), (1, LONG, "de"), (2, "quite another text that is here", "en"), (3, "alone and not alike", "en")]
+    assert len(written) == 1
